@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import licenses, mixing, secrets, url_reputation
+from veldspar.llm import exact_dedup, licenses, mixing, secrets, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.assign_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad")
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_secrets": op3_secrets,
     "op8_licenses": op8_licenses,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_urls": op10_urls,
 }
 ORACLES: dict[str, str] = {}
