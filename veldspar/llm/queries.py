@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import exact_dedup, licenses, mixing, near_dedup, packing, secrets, url_reputation
+from veldspar.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, secrets, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(language.document_rows(_table(spark, sf_dir, "documents")))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify_language(language.page_rows(_table(spark, sf_dir, "pages")))
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -56,6 +65,8 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_secrets": op3_secrets,
+    "op4_language": op4_language,
+    "language_of_pages": language_of_pages,
     "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
     "op8_licenses": op8_licenses,
