@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.llm.kernels import SPACE
@@ -231,18 +231,19 @@ def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
     Among rows alike in doc_id and in normalised text, the longest original stays, once.
     """
-    groups = written(assign_groups(docs, table_bytes).filter("kept").select("doc_id", "text_sha256"))
-    own = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE.decode(), "").cast("binary"), 256)
-    many = settle(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    if many.isEmpty():
-        return docs.join(groups.select("doc_id"), docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    from pyspark.sql import Window
-
-    tagged = docs.withColumn("dedup_sha", own)
-    kept = tagged.join(
-        groups.withColumnRenamed("text_sha256", "dedup_sha_kept").withColumnRenamed("doc_id", "dedup_id"),
-        F.col("doc_id").eqNullSafe(F.col("dedup_id")) & (F.col("dedup_sha") == F.col("dedup_sha_kept")),
-        "left_semi",
+    groups = assign_groups(docs, table_bytes).select("doc_id", "kept", "text_sha256")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        # The dropped ids are the fewer; Spark broadcasts their table if its size allows it.
+        gone = written(groups.filter("not kept").select(F.col("doc_id").alias("gone_id")))
+        return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    kept = written(groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")))
+    bare = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE.decode(), "").cast("binary")
+    first = Window.partitionBy("doc_id", "own_sha").orderBy(F.length("text").desc_nulls_last(), F.col("text"))
+    return (
+        docs.withColumn("own_sha", F.sha2(bare, 256))
+        .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha")), "left_semi")
+        .withColumn("own_rank", F.row_number().over(first))
+        .filter("own_rank = 1")
+        .select(*docs.columns)
     )
-    first = Window.partitionBy("doc_id", "dedup_sha").orderBy(F.length("text").desc_nulls_last())
-    return kept.withColumn("dedup_rank", F.row_number().over(first)).filter("dedup_rank = 1").drop("dedup_rank", "dedup_sha")

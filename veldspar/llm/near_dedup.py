@@ -321,5 +321,5 @@ def _across(members: DataFrame, component: DataFrame, sigs: DataFrame, plan: tup
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document stays: the smallest doc_id of each component."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("near_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("near_id")), "left_semi")
+    gone = written(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
