@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, secrets, url_reputation
+from veldspar.llm import exact_dedup, language, licenses, mixing, near_dedup, neighbours, packing, secrets, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(language.document_rows(_table(spark, sf_dir, "documents")))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify_language(language.page_rows(_table(spark, sf_dir, "pages")))
     return found.withColumnRenamed("doc_id", "page_id")
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_language": op4_language,
     "language_of_pages": language_of_pages,
+    "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
     "op8_licenses": op8_licenses,
