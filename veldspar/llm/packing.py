@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ END_ID = 2
 FEATURES, DIMENSIONS, BITS = 512, 3, 12
 #: Tokens that one task packs, about.
 TASK_TOKENS = 8_000_000
-#: Distinct chunks of text whose ids a task remembers.
-CACHE = 400_000
+#: Distinct chunks of text whose ids a worker remembers; when so many have come, those before them go.
+WORDS = 350_000
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema(
@@ -32,28 +34,64 @@ PIECES = pa.schema(
 class ChunkEncoder:
     """Token ids of texts, by the chunks between plain spaces and line feeds.
 
-    The tokenizer drops white space and lets no token cross it, so a text's ids are those of its
-    chunks one after the other; each distinct chunk is encoded once while it is remembered.
+    The tokenizer drops white space, lets no token cross it and doesn't tell cases apart, so a
+    text's ids are those of its chunks one after the other. Each distinct chunk is encoded once
+    while it is remembered. Where a text has only Latin-1 characters, and its full stops and
+    commas stand beside letters, digits and white space alone, they are chunks of their own
+    and the case is dropped before, as this leaves fewer chunks to tell apart and the same ids.
     """
 
+    BESIDE = re.compile(r"[.,][^\sa-z0-9à-öø-ÿ]|[^\sa-z0-9à-öø-ÿ][.,]|<\|")
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.former: dict[str, bytes] = {}
+
+    def _split(self, text: str) -> list[str]:
+        if text.isascii() or max(text) <= "\xff":
+            low = text.lower()
+            if not self.BESIDE.search(low):
+                return low.replace("\n", " ").replace(".", " .").replace(",", " ,").split(" ")
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian and 32 bits each."""
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*split) - self.known.keys())
-        if fresh:
-            for chunk, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.words) > WORDS:
+            self.former, self.words = self.words, {"": b""}
+        split = [self._split(t) for t in texts]
+        known, former = self.words, self.former
+        # Membership is asked word by word; taking a dict's keys as a set would walk all of them.
+        fresh = [w for w in set().union(*split) if w not in known]
+        known.update((w, former[w]) for w in fresh if w in former)
+        self._learn([w for w in fresh if w not in known])
+        get = known.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            cuts = np.searchsorted(begins, starts)
+            if (begins[cuts[:-1]] == starts[:-1]).all():
+                ids = np.array(found.ids, "<u4").tobytes()
+                self.words.update((w, ids[4 * i : 4 * j]) for w, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            else:
+                self.words.update(zip(part, self._each(part), strict=True))
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """The encoder of this worker, whose memory lasts from task to task."""
+    return ChunkEncoder(path)
 
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -105,13 +143,13 @@ def curve_keys(ids: list[bytes], features: int = FEATURES, dimensions: int = DIM
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at = 0
             while at < len(batch):
                 texts, size, first = [], 0, at
-                while at < len(batch) and (size < 1 << 20 or not texts):
+                while at < len(batch) and (size < 1 << 19 or not texts):
                     texts.append(batch.column(1)[at].as_py() or "")
                     size += len(texts[-1])
                     at += 1
