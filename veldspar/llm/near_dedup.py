@@ -23,6 +23,8 @@ PERCENT = 85
 BANDS, ROWS = 36, 7
 #: Signature values compared at a time, and the chance that a link may be pruned.
 STEP, MISS = 42, 1e-7
+#: Rounds in which members of a bucket are compared with a pivot, and pivots that a large group meets in each.
+TURNS, SALTS = 3, 8
 #: Members and other members of a bucket that one task compares at a time.
 FEW, MANY = 256, 4096
 
@@ -196,7 +198,7 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     return written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"))
 
 
@@ -213,12 +215,13 @@ def near_duplicates(
     1. Each text becomes its set of distinct shingles, a fingerprint of the set and, once per task
        and fingerprint, a MinHash signature with its band keys. Documents of one set form a
        class that one of them, its node, stands for.
-    2. In each bucket of a band, members are paired with the smallest and the largest
-       node. Pairs are compared signature batch by signature batch and dropped as soon as the posterior
-       chance of a link falls under ``miss``; the full sets of survivors are compared exactly.
-    3. Components of these links. Buckets that still hold several components have all
-       pairs across them compared likewise, in blocks; pairs within a component can't change it. So every
-       pair that shares a bucket is either compared or known to be connected.
+    2. In each bucket of a band, members are paired with a pivot. Pairs are compared signature
+       batch by signature batch and dropped as soon as the posterior chance of a link falls
+       under ``miss``; the full sets of survivors are compared exactly.
+    3. Components of these links. Buckets that still hold several components go through
+       more rounds of pivots, and at last have all pairs across components compared likewise, in blocks; pairs
+       within a component can't change it. So every pair that shares a bucket is either
+       compared or known to be connected.
 
     Returns doc_id, n_shingles, component_id, kept for each row. Null, empty and blank texts have no
     shingles and no links. A row with a null doc_id can't be named by links: its
@@ -246,30 +249,31 @@ def near_duplicates(
         .join(nodes, "node", "left_semi")
         .select("node", F.explode("bands").alias("bucket"))
     )
-    buckets = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = written(keyed.join(buckets, "bucket").select("bucket", "node", "low", "high"))
-    pairs = settle(
-        members.select("node", F.explode(F.array("low", "high")).alias("pivot"))
-        .filter("node <> pivot")
-        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        .distinct()
-    )
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    members = written(keyed.join(shared.select("bucket"), "bucket").select("bucket", "node"))
     held = members.select("node").distinct()
     sigs = written(sketch.filter("sig is not null").select(F.col("doc_id").alias("node"), "sig").join(held, "node", "left_semi"))
-    sig_a = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-    sig_b = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    likely = settle(
-        pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(plan), "a long, b long").distinct()
-    )
-    links = settle(_links(likely, _texts_of(docs, likely), width, percent).distinct())
-    component = connected_components(links)
-
-    open_pairs = settle(_across(members, component, sigs, plan).join(pairs, ["a", "b"], "left_anti"))
-    if not open_pairs.isEmpty():
-        more = settle(_links(open_pairs, _texts_of(docs, open_pairs), width, percent).distinct())
-        if not more.isEmpty():
-            component = connected_components(links.union(more))
+    links = tested = component = None
+    at = members.withColumn("component", F.col("node"))
+    for turn in range(TURNS + 1):
+        likely = _with_pivots(at, turn) if turn < TURNS else None
+        if tested is not None:
+            likely = likely.join(tested, ["a", "b"], "left_anti") if likely is not None else _across(at, sigs, plan).join(tested, ["a", "b"], "left_anti")
+        likely = settle(likely)
+        if turn < TURNS:
+            tested = likely if tested is None else settle(tested.union(likely))
+            likely = settle(_pruned(likely, sigs, plan))
+        found = None if likely.isEmpty() else settle(_links(likely, _texts_of(docs, likely), width, percent).distinct())
+        if found is not None and not found.isEmpty():
+            links = found if links is None else links.union(found)
+            component = connected_components(links)
+        if turn < TURNS:
+            at = settle(_open_buckets(members if turn == 0 else at.select("bucket", "node"), component))
+            if at.isEmpty():
+                break
 
+    if component is None:
+        component = nodes.limit(0).select("node", F.col("node").alias("component"))
     # A component is named by the smallest doc_id of all its classes.
     classes = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -282,27 +286,51 @@ def near_duplicates(
     )
 
 
-def _across(members: DataFrame, component: DataFrame, sigs: DataFrame, plan: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Likely pairs of different components in buckets that hold more than one.
+def _with_pivots(at: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's members with one pivot of it that is in another component.
+
+    The pivot is the member of the smallest digest, salted by turn and by a few classes of
+    buckets: members that share many buckets meet some pivots, not a different one in each.
+    """
+    salt = F.pmod("bucket", F.lit(SALTS)) + F.lit(turn * SALTS)
+    pivots = at.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", salt).alias("h"), "node", "component")).alias("pivot"))
+    return (
+        at.join(pivots, "bucket")
+        .filter(F.col("component") != F.col("pivot.component"))
+        .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+        .distinct()
+    )
+
+
+def _pruned(pairs: DataFrame, sigs: DataFrame, plan: tuple[tuple[int, int], ...]) -> DataFrame:
+    sig_a = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+    sig_b = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    return pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(plan), "a long, b long").distinct()
+
+
+def _open_buckets(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    """bucket, node, component of buckets that hold several components, but those of two members: their pair has been tested."""
+    if component is None:
+        at = members.withColumn("component", F.col("node"))
+    else:
+        at = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    several = at.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"))
+    return at.join(several.filter("c0 < c1 and n > 2").select("bucket"), "bucket")
+
+
+def _across(at: DataFrame, sigs: DataFrame, plan: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Likely pairs of different components in the buckets of ``at`` (bucket, node, component).
 
-    The members outside the component of the bucket's smallest node meet all others of the bucket.
+    The members outside the bucket's largest component meet all others of the bucket.
     Both sides are dealt to chunks, so no task holds a bucket of any size.
     """
-    at = members.select("bucket", "node", "low").join(component, "node", "left")
-    at = at.select("bucket", "node", "low", F.coalesce("component", "node").alias("component"))
-    mixed = at.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter(
-        "c0 < c1 and n > 3"
+    sizes = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = settle(
+        sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"))
     )
-    # Members of three or fewer have all been paired with the smallest and the largest.
-    mixed = settle(at.join(mixed.select("bucket", "n"), "bucket"))
-    main = mixed.filter("node = low").select("bucket", F.col("component").alias("main")).distinct()
-    counts = (
-        mixed.join(main, "bucket")
-        .withColumn("minor", F.col("component") != F.col("main"))
-        .select("bucket", "node", "component", "n", "minor")
+    counts = at.join(main, "bucket").select(
+        "bucket", "node", "component", "n", (F.col("n") - F.col("most")).alias("minors"), (F.col("component") != F.col("main")).alias("minor")
     )
-    minors = counts.groupBy("bucket").agg(F.count_if("minor").alias("minors"))
-    counts = counts.join(minors, "bucket")
     few_parts = F.ceil(F.col("minors") / FEW).cast("int")
     many_parts = F.ceil(F.col("n") / MANY).cast("int")
     spot = F.abs(F.xxhash64("node") % (1 << 30))
