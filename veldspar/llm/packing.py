@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ FEATURES, DIMENSIONS, BITS = 512, 3, 12
 #: Tokens that one task packs, about.
 TASK_TOKENS = 8_000_000
 #: Distinct chunks of text whose ids a worker remembers; when so many have come, those before them go.
-WORDS = 160_000
+WORDS = 300_000
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema(
@@ -31,6 +32,12 @@ PIECES = pa.schema(
 )
 
 
+#: Of Latin-1 bytes: letters in lower case, and line feeds as spaces.
+_FOLD = bytes(32 if c == 10 else ord(chr(c).lower()) for c in range(256))
+#: Their kinds after that: white space, letters and digits, stops, and anything else.
+_KIND = bytes(32 if chr(c).isspace() else 97 if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" or 223 <= c != 247 else 46 if c in b".," else 120 for c in range(256))
+
+
 class ChunkEncoder:
     """Token ids of texts, by the chunks between plain spaces and line feeds.
 
@@ -41,51 +48,60 @@ class ChunkEncoder:
     and the case is dropped before, as this leaves fewer chunks to tell apart and the same ids.
     """
 
-    BESIDE = re.compile(r"[.,][^\sa-z0-9à-öø-ÿ]|[^\sa-z0-9à-öø-ÿ][.,]|<\|")
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.former: dict[str, bytes] = {}
-
-    def _split(self, text: str) -> list[str]:
-        if text.isascii() or max(text) <= "\xff":
-            low = text.lower()
-            if not self.BESIDE.search(low):
-                return low.replace("\n", " ").replace(".", " .").replace(",", " ,").split(" ")
-        return text.replace("\n", " ").split(" ")
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        #: Chunks as bytes where the text was taken as Latin-1, else as they stand.
+        self.known: dict[bytes | str, bytes] = {b"": b"", "": b""}
+        self.former: dict[bytes | str, bytes] = {}
+
+    def _split(self, text: str) -> list:
+        try:
+            low = text.encode("latin-1").translate(_FOLD)
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        kinds = low.translate(_KIND)
+        if b"x." in kinds or b".x" in kinds or b".." in kinds or b"<|" in low:
+            return text.replace("\n", " ").split(" ")
+        return low.replace(b".", b" .").replace(b",", b" ,").split(b" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian and 32 bits each."""
-        if len(self.words) > WORDS:
-            self.former, self.words = self.words, {"": b""}
+        """The ids of each text, little-endian and ``width`` bytes each."""
+        if len(self.known) > WORDS:
+            self.former, self.known = self.known, {b"": b"", "": b""}
         split = [self._split(t) for t in texts]
-        known, former = self.words, self.former
-        # Membership is asked word by word; taking a dict's keys as a set would walk all of them.
-        fresh = [w for w in set().union(*split) if w not in known]
-        known.update((w, former[w]) for w in fresh if w in former)
+        known, former = self.known, self.former
+        flat = list(chain.from_iterable(split))
+        ids = list(map(known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        fresh = {flat[i] for i in missing}
+        if former:
+            known.update((w, former[w]) for w in fresh if w in former)
         self._learn([w for w in fresh if w not in known])
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        for i in missing:
+            ids[i] = known[flat[i]]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(ids[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn(self, fresh: list) -> None:
+        kind = f"<u{self.width}"
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            texts = [w if isinstance(w, str) else w.decode("latin-1") for w in part]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            starts = np.cumsum([0, *map(len, texts)]) + np.arange(len(texts) + 1)
             cuts = np.searchsorted(begins, starts)
-            if (begins[cuts[:-1]] == starts[:-1]).all():
-                ids = np.array(found.ids, "<u4").tobytes()
-                self.words.update((w, ids[4 * i : 4 * j]) for w, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            else:
-                self.words.update(zip(part, self._each(part), strict=True))
+            if len(begins) and cuts[-2] < len(begins) and (begins[cuts[:-1]] == starts[:-1]).all():
+                ids = np.array(found.ids, kind).tobytes()
+                bounds = (cuts * self.width).tolist()
+                self.known.update(zip(part, map(ids.__getitem__, map(slice, bounds, bounds[1:])), strict=False))
+            else:  # some chunk has no ids of its own, or not where it stands
+                each = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+                self.known.update((w, np.array(x.ids, kind).tobytes()) for w, x in zip(part, each, strict=True))
 
 
 @lru_cache(1)
@@ -126,10 +142,10 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def curve_keys(ids: list[bytes], features: int = FEATURES, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
+def curve_keys(ids: list[np.ndarray], features: int = FEATURES, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
     """Hilbert keys of documents: hashed token counts of unit length, projected at random and squashed to a grid."""
-    lengths = np.array([len(b) // 4 for b in ids])
-    tokens = np.frombuffer(b"".join(ids), "<u4").astype(np.uint64)
+    lengths = np.array([len(x) for x in ids])
+    tokens = np.concatenate(ids).astype(np.uint64)
     owner = np.repeat(np.arange(len(ids)), lengths)
     feature = (mix(tokens) % np.uint64(features)).astype(np.int64)
     counts = np.bincount(owner * features + feature, minlength=len(ids) * features).reshape(len(ids), features)
@@ -143,8 +159,10 @@ def curve_keys(ids: list[bytes], features: int = FEATURES, dimensions: int = DIM
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here is cyclic, and walking all remembered words again and again takes a tenth of the time
         encoder = encoder_of(path)
-        end = np.array([end_id], "<u4").tobytes()
+        kind = f"<u{encoder.width}"
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             at = 0
             while at < len(batch):
@@ -157,10 +175,10 @@ def _encode(path: str, end_id: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, at - first),
-                        pa.array(curve_keys(ids)),
+                        pa.array(curve_keys([np.frombuffer(b, kind) for b in ids])),
                         pa.array([zlib.crc32(b) for b in ids], pa.int64()),
-                        pa.array([len(b) // 4 for b in ids], pa.int64()),
-                        pa.array([_narrow(b) for b in ids], pa.binary()),
+                        pa.array([len(b) // encoder.width for b in ids], pa.int64()),
+                        pa.array([bytes([encoder.width]) + b for b in ids], pa.binary()),
                     ],
                     schema=ENCODED,
                 )
@@ -168,12 +186,6 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Two bytes an id where all fit, behind a byte that tells the width."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + ids
-
-
 def _wide(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, f"<u{ids[0]}", offset=1).astype("<u4")
 
