@@ -20,8 +20,9 @@ from veldspar.llm.store import small_batches
 TRAIN_PER_CLASS, TRAIN_CHARS = 3000, 50_000
 WEIGHTS = 1 << 18
 EPOCHS = 60
-#: A kind of token is taken for toxic if so many toxic training documents hold it, and so large a share of all that do are toxic.
-LEAST_DOCS, LEAST_SHARE = 6, 0.97
+#: A kind of token is taken for toxic if at least so many toxic training documents hold it, so large a share of those that
+#: do are toxic, and chance would give less than so many such kinds in all.
+LEAST_DOCS, LEAST_SHARE, CHANCE = 4, 0.4, 0.05
 EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’…*_~`|/\\-+=#"
 TOKEN = re.compile(r"\S+")
 CACHE = 500_000
@@ -83,21 +84,45 @@ def _clip_odds(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(scores, -30, 30))
 
 
-def label_kinds(docs: list[tuple[list[str], int]]) -> set[int]:
-    """Features that tell a toxic token: whole words and longer beginnings that clean documents (nearly) lack."""
-    seen = {0: Counter(), 1: Counter()}
-    known: dict[str, tuple[int, ...]] = {}
+def kinds_of(word: str) -> tuple[str, ...]:
+    """What a token of four letters or more may be known by: itself and its longer beginnings."""
+    w = word.strip(EDGES).lower()
+    return tuple(dict.fromkeys((w + "$", *(w[:n] for n in (4, 5, 6) if n <= len(w))))) if len(w) >= 4 else ()
+
+
+def label_kinds(docs: list[tuple[list[str], int]]) -> set[str]:
+    """Kinds that tell a toxic token, as clean documents (nearly) lack them.
+
+    Copies would make any word of theirs look telling, so documents alike in their two
+    smallest word digests count once.
+    """
+    seen, met = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}
+    known: dict[str, tuple[str, ...]] = {}
+    groups: set[tuple] = set()
     for words, toxic in docs:
-        kinds: set[int] = set()
-        for w in set(words):
+        distinct = set(words)
+        group = (toxic, *sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in distinct)[:2])
+        if group in groups:
+            continue
+        groups.add(group)
+        met[toxic] += 1
+        kinds: set[str] = set()
+        for w in distinct:
             if w not in known:
-                f = features(w)
-                known[w] = (f[0], f[2], f[3], f[4]) if len(w.strip(EDGES)) >= 4 else ()
+                known[w] = kinds_of(w)
             kinds.update(known[w])
         seen[toxic].update(kinds)
-    total = {k: max(1, sum(t == k for _, t in docs)) for k in (0, 1)}
-    ratio = total[1] / total[0]
-    return {k for k, n in seen[1].items() if n >= LEAST_DOCS and n >= LEAST_SHARE * (n + ratio * seen[0][k])}
+    base = met[1] / (met[0] + met[1])
+    least = 2 * math.log(max(1, len(seen[1])) / CHANCE)
+
+    def surprise(n: int, clean: int) -> float:
+        """Likelihood ratio of the share of toxic documents among those that hold a kind, against the share in all."""
+        share = n / (n + clean)
+        return 2 * (n * math.log(share / base) + (clean * math.log((1 - share) / (1 - base)) if clean else 0.0))
+
+    return {
+        k for k, n in seen[1].items() if n >= LEAST_DOCS and n >= max(LEAST_SHARE, 2 * base) * (n + seen[0][k]) and surprise(n, seen[0][k]) >= least
+    } if 0 < base < 0.5 else {k for k, n in seen[1].items() if n >= LEAST_DOCS and not seen[0][k]}
 
 
 def fit(docs: list[tuple[str, int]], epochs: int = EPOCHS, base_rate: float | None = None) -> Chain:
@@ -121,7 +146,7 @@ def fit(docs: list[tuple[str, int]], epochs: int = EPOCHS, base_rate: float | No
             span = tokens[at : at + 24]
             at += 24
             fs = [cache.get(w) or cache.setdefault(w, features(w)) for w in span]
-            own = [y and (f[0] in kinds or f[2] in kinds or f[3] in kinds or f[4] in kinds) for f in fs]
+            own = [bool(y) and not kinds.isdisjoint(kinds_of(w)) for w in span]
             if any(own) or rng.random() < 0.12:
                 rows += fs
                 tags += own
