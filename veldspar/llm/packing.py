@@ -24,7 +24,7 @@ FEATURES, DIMENSIONS, BITS = 512, 3, 12
 #: Tokens that one task packs, about.
 TASK_TOKENS = 8_000_000
 #: Distinct chunks of text whose ids a worker remembers; when so many have come, those before them go.
-WORDS = 300_000
+WORDS = 500_000
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema(
