@@ -26,7 +26,7 @@ STEP, MISS = 42, 1e-7
 #: Rounds in which members of a bucket are compared with a pivot, and pivots that a large group meets in each.
 TURNS, SALTS = 3, 8
 #: Members and other members of a bucket that one task compares at a time.
-FEW, MANY = 256, 4096
+FEW, MANY = 256, 2048
 
 SKETCH = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())]
@@ -149,24 +149,48 @@ def _prune(plan: tuple[tuple[int, int], ...]):
     return run
 
 
-def _cross(plan: tuple[tuple[int, int], ...]):
-    """Pairs of a bucket's members in different components, compared block by block."""
+def _cross(plan: tuple[tuple[int, int], ...], width: int, percent: int):
+    """Links between a bucket's members in different components, compared block by block.
 
-    def run(few, many):
+    A pair that shares several buckets is compared in that of the first band it shares. What the
+    signatures can't rule out is verified on full sets here, so only links leave the task; once two
+    components are linked, their other pairs in the block don't matter.
+    """
+
+    def run(key, few, many):
         import pandas as pd
 
-        if not len(few) or not len(many):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        sig_f, sig_m = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), -1) for x in (few, many))
-        id_f, id_m = few["node"].to_numpy(), many["node"].to_numpy()
-        comp_f, comp_m = few["component"].to_numpy(), many["component"].to_numpy()
-        a, b = [], []
-        for i in range(len(few)):
-            other = np.flatnonzero((comp_m != comp_f[i]) & (id_m != id_f[i]))
-            live = other[_survivors(np.broadcast_to(sig_f[i], (len(other), sig_f.shape[1])), sig_m[other], plan)]
-            a.append(np.minimum(id_f[i], id_m[live]))
-            b.append(np.maximum(id_f[i], id_m[live]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+        links: list[tuple[int, int]] = []
+        if len(few) and len(many):
+            sig_f, sig_m = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), -1) for x in (few, many))
+            keys_f, keys_m = (np.stack(x["bands"].to_list()) for x in (few, many))
+            id_f, id_m = few["node"].to_numpy(), many["node"].to_numpy()
+            comp_f, comp_m = few["component"].to_numpy(), many["component"].to_numpy()
+            sets = [text_shingles(t, width) for t in many["text"]]
+            sizes = np.array([len(x) for x in sets])
+            for i in range(len(few)):
+                other = np.flatnonzero((comp_m != comp_f[i]) & (id_m != id_f[i]))
+                same = keys_m[other] == keys_f[i]
+                first = same.argmax(1)
+                other = other[same.any(1) & (keys_f[i][first] == key[0])]
+                live = other[_survivors(np.broadcast_to(sig_f[i], (len(other), sig_f.shape[1])), sig_m[other], plan)]
+                own = text_shingles(few["text"].iloc[i], width)
+                # Sizes alone bound the similarity.
+                live = live[100 * np.minimum(sizes[live], len(own)) >= percent * np.maximum(sizes[live], len(own))]
+                met: set[int] = set()
+                for at in range(0, len(live), 64):
+                    part = np.array([j for j in live[at : at + 64] if comp_m[j] not in met], int)
+                    if not len(part):
+                        continue
+                    flat = np.concatenate([sets[j] for j in part])
+                    spot = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    starts = np.concatenate([[0], np.cumsum(sizes[part])[:-1]])
+                    shared = np.add.reduceat((own[spot] == flat).astype(np.int64), starts)
+                    for j in part[100 * shared >= percent * (sizes[part] + len(own) - shared)]:
+                        if comp_m[j] not in met:
+                            met.add(comp_m[j])
+                            links.append((min(id_f[i], id_m[j]), max(id_f[i], id_m[j])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64").drop_duplicates()
 
     return run
 
@@ -252,18 +276,18 @@ def near_duplicates(
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     members = written(keyed.join(shared.select("bucket"), "bucket").select("bucket", "node"))
     held = members.select("node").distinct()
-    sigs = written(sketch.filter("sig is not null").select(F.col("doc_id").alias("node"), "sig").join(held, "node", "left_semi"))
+    sigs = written(sketch.filter("sig is not null").select(F.col("doc_id").alias("node"), "sig", "bands").join(held, "node", "left_semi"))
     links = tested = component = None
     at = members.withColumn("component", F.col("node"))
     for turn in range(TURNS + 1):
-        likely = _with_pivots(at, turn) if turn < TURNS else None
-        if tested is not None:
-            likely = likely.join(tested, ["a", "b"], "left_anti") if likely is not None else _across(at, sigs, plan).join(tested, ["a", "b"], "left_anti")
-        likely = settle(likely)
         if turn < TURNS:
+            likely = _with_pivots(at, turn)
+            likely = settle(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"))
             tested = likely if tested is None else settle(tested.union(likely))
             likely = settle(_pruned(likely, sigs, plan))
-        found = None if likely.isEmpty() else settle(_links(likely, _texts_of(docs, likely), width, percent).distinct())
+            found = None if likely.isEmpty() else settle(_links(likely, _texts_of(docs, likely), width, percent).distinct())
+        else:
+            found = settle(_across(docs, at, sigs, plan, width, percent))
         if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
             component = connected_components(links)
@@ -318,8 +342,8 @@ def _open_buckets(members: DataFrame, component: DataFrame | None) -> DataFrame:
     return at.join(several.filter("c0 < c1 and n > 2").select("bucket"), "bucket")
 
 
-def _across(at: DataFrame, sigs: DataFrame, plan: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Likely pairs of different components in the buckets of ``at`` (bucket, node, component).
+def _across(docs: DataFrame, at: DataFrame, sigs: DataFrame, plan: tuple[tuple[int, int], ...], width: int, percent: int) -> DataFrame:
+    """Links between different components in the buckets of ``at`` (bucket, node, component).
 
     The members outside the bucket's largest component meet all others of the bucket.
     Both sides are dealt to chunks, so no task holds a bucket of any size.
@@ -333,18 +357,22 @@ def _across(at: DataFrame, sigs: DataFrame, plan: tuple[tuple[int, int], ...]) -
     )
     few_parts = F.ceil(F.col("minors") / FEW).cast("int")
     many_parts = F.ceil(F.col("n") / MANY).cast("int")
-    spot = F.abs(F.xxhash64("node") % (1 << 30))
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    ids = at.select(F.col("node").alias("doc_id")).distinct()
+    texts = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"))
+    held = sigs.join(texts.withColumnRenamed("doc_id", "node"), "node")
     few = (
         counts.filter("minor")
         .select("bucket", "node", "component", (spot % few_parts).alias("f"), F.explode(F.sequence(F.lit(0), many_parts - 1)).alias("m"))
-        .join(sigs, "node")
+        .join(held, "node")
     )
     many = counts.select(
         "bucket", "node", "component", F.explode(F.sequence(F.lit(0), few_parts - 1)).alias("f"), (spot % many_parts).alias("m")
-    ).join(sigs, "node")
-    kinds = {"bucket": "long", "f": "long", "m": "long", "node": "long", "component": "long", "sig": "binary"}
+    ).join(held, "node")
+    kinds = {"bucket": "long", "f": "long", "m": "long", "node": "long", "component": "long", "sig": "binary", "bands": "array<long>", "text": "binary"}
     few, many = (x.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()]) for x in (few, many))
-    return few.groupBy("bucket", "f", "m").cogroup(many.groupBy("bucket", "f", "m")).applyInPandas(_cross(plan), "a long, b long").distinct()
+    keys = ("bucket", "f", "m")
+    return few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInPandas(_cross(plan, width, percent), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
