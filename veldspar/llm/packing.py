@@ -24,7 +24,9 @@ FEATURES, DIMENSIONS, BITS = 512, 3, 12
 #: Tokens that one task packs, about.
 TASK_TOKENS = 8_000_000
 #: Distinct chunks of text whose ids a worker remembers; when so many have come, those before them go.
-WORDS = 500_000
+WORDS = 600_000
+#: A chunk that is one token and hardly occurs.
+MARK = "~"
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema(
@@ -54,6 +56,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         #: Chunks as bytes where the text was taken as Latin-1, else as they stand.
         self.known: dict[bytes | str, bytes] = {b"": b"", "": b""}
         self.former: dict[bytes | str, bytes] = {}
@@ -87,20 +90,20 @@ class ChunkEncoder:
         return [b"".join(ids[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, fresh: list) -> None:
-        kind = f"<u{self.width}"
+        """Encode chunks many at a time, with a mark between them that none of them holds."""
+        kind, mark = f"<u{self.width}", self.mark
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             texts = [w if isinstance(w, str) else w.decode("latin-1") for w in part]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
-            starts = np.cumsum([0, *map(len, texts)]) + np.arange(len(texts) + 1)
-            cuts = np.searchsorted(begins, starts)
-            if len(begins) and cuts[-2] < len(begins) and (begins[cuts[:-1]] == starts[:-1]).all():
-                ids = np.array(found.ids, kind).tobytes()
-                bounds = (cuts * self.width).tolist()
-                self.known.update(zip(part, map(ids.__getitem__, map(slice, bounds, bounds[1:])), strict=False))
-            else:  # some chunk has no ids of its own, or not where it stands
-                each = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            found = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(texts)], add_special_tokens=False)[0].ids, kind)
+            cuts = np.flatnonzero(found == mark)
+            if len(cuts) == len(part) - 1:
+                ids, width = found.tobytes(), self.width
+                starts = [0, *((cuts + 1) * width).tolist()]
+                ends = [*(cuts * width).tolist(), len(ids)]
+                self.known.update(zip(part, map(ids.__getitem__, map(slice, starts, ends)), strict=True))
+            else:  # some chunk holds the mark itself
+                each = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
                 self.known.update((w, np.array(x.ids, kind).tobytes()) for w, x in zip(part, each, strict=True))
 
 
