@@ -24,7 +24,7 @@ BANDS, ROWS = 36, 7
 #: Signature values compared at a time, and the chance that a link may be pruned.
 STEP, MISS = 42, 1e-7
 #: Rounds in which members of a bucket are compared with a pivot, and pivots that a large group meets in each.
-TURNS, SALTS = 3, 8
+TURNS, SALTS = 2, 8
 #: Members and other members of a bucket that one task compares at a time.
 FEW, MANY = 256, 2048
 
@@ -216,16 +216,11 @@ def _verify(width: int, percent: int):
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts are similar enough."""
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "a long, b long")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"))
-
-
 def near_duplicates(
     docs: DataFrame,
     width: int = WIDTH,
@@ -277,18 +272,15 @@ def near_duplicates(
     members = written(keyed.join(shared.select("bucket"), "bucket").select("bucket", "node"))
     held = members.select("node").distinct()
     sigs = written(sketch.filter("sig is not null").select(F.col("doc_id").alias("node"), "sig", "bands").join(held, "node", "left_semi"))
-    links = tested = component = None
+    texts = written(docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(held, "node", "left_semi"))
+    links = component = None
     at = members.withColumn("component", F.col("node"))
     for turn in range(TURNS + 1):
         if turn < TURNS:
-            likely = _with_pivots(at, turn)
-            likely = settle(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"))
-            tested = likely if tested is None else settle(tested.union(likely))
-            likely = settle(_pruned(likely, sigs, plan))
-            found = None if likely.isEmpty() else settle(_links(likely, _texts_of(docs, likely), width, percent).distinct())
+            found = settle(_links(_pruned(_with_pivots(at, turn), sigs, plan), texts, width, percent).distinct())
         else:
-            found = settle(_across(docs, at, sigs, plan, width, percent))
-        if found is not None and not found.isEmpty():
+            found = settle(_across(at, sigs, texts, plan, width, percent))
+        if not found.isEmpty():
             links = found if links is None else links.union(found)
             component = connected_components(links)
         if turn < TURNS:
@@ -342,7 +334,7 @@ def _open_buckets(members: DataFrame, component: DataFrame | None) -> DataFrame:
     return at.join(several.filter("c0 < c1 and n > 2").select("bucket"), "bucket")
 
 
-def _across(docs: DataFrame, at: DataFrame, sigs: DataFrame, plan: tuple[tuple[int, int], ...], width: int, percent: int) -> DataFrame:
+def _across(at: DataFrame, sigs: DataFrame, texts: DataFrame, plan: tuple[tuple[int, int], ...], width: int, percent: int) -> DataFrame:
     """Links between different components in the buckets of ``at`` (bucket, node, component).
 
     The members outside the bucket's largest component meet all others of the bucket.
@@ -358,9 +350,7 @@ def _across(docs: DataFrame, at: DataFrame, sigs: DataFrame, plan: tuple[tuple[i
     few_parts = F.ceil(F.col("minors") / FEW).cast("int")
     many_parts = F.ceil(F.col("n") / MANY).cast("int")
     spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    ids = at.select(F.col("node").alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"))
-    held = sigs.join(texts.withColumnRenamed("doc_id", "node"), "node")
+    held = sigs.join(texts, "node")
     few = (
         counts.filter("minor")
         .select("bucket", "node", "component", (spot % few_parts).alias("f"), F.explode(F.sequence(F.lit(0), many_parts - 1)).alias("m"))
