@@ -6,6 +6,7 @@ import ast
 import operator
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def _value(node: ast.AST) -> float:
 
 def calculate(text: Column) -> Column:
     """``evaluate`` on a column, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else evaluate(t))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def hash_vectors(chunks: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
 
     The digest is computed once per distinct token; all else is joins and sums. A text without tokens has zeros.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<bucket:int,sign:int>")
     def slot(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:

@@ -130,6 +130,11 @@ def audit_sentences(answers: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def _mean(total: Column, n: Column) -> Column:
+    """Mean of whole hundred-thousandths, rounded half up without a detour by binary fractions."""
+    return F.floor((2 * total + n) / (2 * n)) / 100000
+
+
 def audit(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """Counts, mean support and verdict of each answer."""
     per = audit_sentences(answers, sources).groupBy("message_id").agg(
@@ -144,7 +149,7 @@ def audit(answers: DataFrame, sources: DataFrame) -> DataFrame:
         F.when(F.col("sentence_count") == 0, "unknown").when(supported, "supported").when(F.col("supported_count") + F.col("weak_count") > 0, "weak").otherwise("unsupported")
     )
     return both.select(
-        "message_id", *counts[:4], F.round(F.col("total") / 100000 / F.greatest("sentence_count", F.lit(1)), 5).alias("support_score"), supported.alias("answer_supported"), quality.alias("quality")
+        "message_id", *counts[:4], _mean(F.col("total"), F.greatest("sentence_count", F.lit(1))).alias("support_score"), supported.alias("answer_supported"), quality.alias("quality")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +50,6 @@ def diversify(ranked: DataFrame, balance: float = 0.7) -> DataFrame:
     the last pick alone update running maxima, so n candidates need n squared comparisons, not their cube.
     A query with more than ``MOST_CANDIDATES`` is an error.
     """
-    import pandas as pd
-
     from veldspar.functions.text import token_set
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.dom import minidom
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -296,8 +297,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def pages_markdown(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, html) as Markdown, in Arrow batches: page_id, markdown."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(html_markdown)
