@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldspar.llm.oracles import ORACLES  # noqa: F401
 from veldspar.llm import exact_dedup, language, licenses, mixing, near_dedup, neighbours, packing, secrets, toxicity, url_reputation
 
 
@@ -83,4 +84,3 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_urls": op10_urls,
 }
-ORACLES: dict[str, str] = {}
