@@ -50,7 +50,8 @@ class ChunkEncoder:
     and the case is dropped before, as this leaves fewer chunks to tell apart and the same ids.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remember: int = WORDS) -> None:
+        self.remember = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,7 +74,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian and ``width`` bytes each."""
-        if len(self.known) > WORDS:
+        if len(self.known) > self.remember:
             self.former, self.known = self.known, {b"": b"", "": b""}
         split = [self._split(t) for t in texts]
         known, former = self.known, self.former
@@ -108,9 +109,9 @@ class ChunkEncoder:
 
 
 @lru_cache(1)
-def encoder_of(path: str) -> ChunkEncoder:
+def encoder_of(path: str, remember: int) -> ChunkEncoder:
     """The encoder of this worker, whose memory lasts from task to task."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, remember)
 
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -160,10 +161,10 @@ def curve_keys(ids: list[np.ndarray], features: int = FEATURES, dimensions: int
     return hilbert_index(np.minimum((place * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, remember: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here is cyclic, and walking all remembered words again and again takes a tenth of the time
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, remember)
         kind = f"<u{encoder.width}"
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
@@ -251,11 +252,12 @@ def _pack(length: int):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = SEQUENCE, task_tokens: int = TASK_TOKENS
+    docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = SEQUENCE, task_tokens: int = TASK_TOKENS, remember: int = WORDS
 ) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of ``length`` tokens (a power of two), neighbours on the curve together.
 
-    ``tokenizer`` is the path of a tokenizer file whose tokens never cross white space. Documents, each with ``end_id``
+    ``tokenizer`` is the path of a tokenizer file whose tokens never cross white space; a worker remembers
+    the ids of ``remember`` to twice as many chunks of text, which trades memory for time. Documents, each with ``end_id``
     behind its ids, are range-sorted by Hilbert key; ties, as of copies, fall by a digest of the ids and the doc_id,
     so copies of one text are no single range. A task lays its range end to end: only its last sequences
     are shorter than ``length``, of powers of two, so nothing is padded.
@@ -266,7 +268,7 @@ def pack_documents(
     small_batches(docs.sparkSession)
     encoded = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _encode(tokenizer, end_id), "doc_id long, curve long, tie long, n_tokens long, ids binary"
+            _encode(tokenizer, end_id, remember), "doc_id long, curve long, tie long, n_tokens long, ids binary"
         )
     )
     tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
