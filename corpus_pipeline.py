@@ -17,6 +17,10 @@ from veldspar.llm.queries import tokenizer_path
 from veldspar.llm.store import written
 
 
+#: Chunks of text whose ids a packing worker remembers: few, as executors that ran the stages before have grown.
+REMEMBERED = 80_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language no evidence settles go."""
     return drop_unidentified(docs)
@@ -39,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences; a document that is taken twice is packed twice."""
-    return pack_documents(docs, tokenizer_path())
+    return pack_documents(docs, tokenizer_path(), remember=REMEMBERED)
 
 
 STAGES = [
