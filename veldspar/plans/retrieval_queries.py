@@ -90,7 +90,7 @@ _CANDIDATES = S.with_(
     "best as (select query_id, chunk_id, round(lexical_score, 5) as score, row_number() over (partition by query_id order by round(lexical_score, 5) desc, chunk_id) as rank from lexical)",
     "candidates as (select query_id % 100000 as query_id, chunk_id, cast(floor(query_id / 100000) * 100 + rank as int) as ord, score, 1 as query_hits from best where rank <= 15)",
     "fused as (select query_id, chunk_id, min(ord) as ord, round(max(score) + least(0.2, 0.04 * (sum(query_hits) - 1)), 5) as score, cast(sum(query_hits) as bigint) as query_hits from candidates group by query_id, chunk_id)",
-    f"ranked as (select query_id, chunk_id, ord, query_hits, file_id, text, round(score + 0.15 * {S.shared(S.token_set('query'), S.token_set('text'))} / greatest(len({S.token_set('query')}), 1), 9) as score"
+    f"ranked as (select query_id, chunk_id, ord, query_hits, file_id, text, score + 0.15 * ({S.shared(S.token_set('query'), S.token_set('text'))} / greatest(len({S.token_set('query')}), 1)) as score"
     " from fused join base using (query_id) join chunks using (chunk_id))",
     "reranked as (select *, row_number() over (partition by query_id order by score desc, ord) as rank from ranked)",
 )
@@ -107,14 +107,14 @@ def _reranked(spark, d) -> DataFrame:
 
 
 def rerank(spark, d):
-    return _reranked(spark, d).select("query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
+    return _reranked(spark, d).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
 def per_file_cap(spark, d):
     ranked = _reranked(spark, d)
     order = Window.partitionBy("query_id", "file_id").orderBy("rank")
     kept = ranked.withColumn("r", F.row_number().over(order)).filter("r <= 1")
-    return kept.select("query_id", "chunk_id", "file_id", F.round("score", 5).alias("score"))
+    return kept.select("query_id", "chunk_id", "file_id", F.round("score", 9).alias("score"))
 
 
 def budget_select(spark, d):
@@ -311,8 +311,8 @@ QUERIES = {
         + "select query_id, chunk_id, round(raw, 5) as score, row_number() over (partition by query_id order by round(raw, 5) desc, chunk_id) as rank from b where raw >= 0.05 qualify rank <= 15",
     ),
     "fuse_candidates": (fuse_candidates, _CANDIDATES + "select * from fused"),
-    "rerank": (rerank, _CANDIDATES + "select query_id, rank, chunk_id, round(score, 5) as score from reranked"),
-    "per_file_cap": (per_file_cap, _CANDIDATES + "select query_id, chunk_id, file_id, round(score, 5) as score from reranked qualify row_number() over (partition by query_id, file_id order by rank) <= 1"),
+    "rerank": (rerank, _CANDIDATES + "select query_id, rank, chunk_id, round(score, 9) as score from reranked"),
+    "per_file_cap": (per_file_cap, _CANDIDATES + "select query_id, chunk_id, file_id, round(score, 9) as score from reranked qualify row_number() over (partition by query_id, file_id order by rank) <= 1"),
     "budget_select": (budget_select, None),
     "mmr_select": (mmr_select, None),
     "window_expand": (
