@@ -1,0 +1,464 @@
+"""Corpus-preparation operators against brute force, and on odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veldspar.llm import components, exact_dedup, kernels, language, licenses, mixing, near_dedup, neighbours, packing, queries, secrets, toxicity, url_reputation
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "", 0), (3, " \n\t ", "en", "s", 4), (None, "orphan text of some words here", "en", "s", 30),
+    (4, "twice the same row of text", "en", "s", 26), (4, "twice the same row of text", "en", "s", 26), (5, "twice  the same row\nof text", "xx", "t", 27),
+    (6, "long " * 30000, "en", "t", 150000), (7, "ünïcödé 語 text", "de", "t", 14), (4, "the same id with another text", "en", "s", 29),
+]
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [r.asDict() for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS).withColumn("size", F.lit("clash")).withColumn("kept", F.lit(1)).withColumn("rank", F.lit(2))
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(name, spark, sf_dir):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    got = sorted(repr([plain(r[k]) for k in columns]) for r in df.collect())
+    cursor = c.execute(queries.ORACLES[name])
+    names = [x[0] for x in cursor.description]
+    assert got == sorted(repr([plain(r[names.index(k)]) for k in columns]) for r in cursor.fetchall())
+
+
+# 1 mixing
+
+
+def test_mix_meets_its_targets(spark, docs, rows):
+    plan = mixing.mix_plan_of(docs, block_rows=3).collect()
+    assert len(plan) == len(rows)
+    own = {r["doc_id"]: (r["source"], len(WORD.findall(r["text"]))) for r in rows}
+    words, taken, target = Counter(), Counter(), {}
+    for r in plan:
+        source, size = own[r["doc_id"]]
+        assert r["size"] == size and 0 <= r["taken"] <= 2 * size
+        words[source] += size
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+    assert sum(target.values()) == pytest.approx(1.5 * sum(words.values()))
+    assert all(abs(taken[s] - t) <= 0.5 and t <= 2 * words[s] + 1e-6 for s, t in target.items())
+    again = mixing.mix_plan_of(docs.repartition(7), block_rows=50).collect()
+    key = lambda r: (r["doc_id"], r["taken"], r["position"])
+    assert sorted(map(key, again), key=repr) == sorted(map(key, plan), key=repr)
+
+
+def test_mixed_rows_hold_what_the_plan_takes(docs):
+    plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan_of(docs).collect()}
+    got = Counter()
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert got == Counter({k: v for k, v in plan.items() if v})
+
+
+def test_schedules_invert(spark):
+    for points in mixing.CURRICULUM:
+        shares = [k / 20 for k in range(20)]
+        at = [r[0] for r in spark.createDataFrame([(s,) for s in shares], "s double").select(mixing.invert_schedule(F.col("s"), points)).collect()]
+        grid = np.linspace(0, 1, 20001)
+        area = np.concatenate([[0], np.cumsum(np.interp((grid[1:] + grid[:-1]) / 2, *zip(*points, strict=True)))])
+        assert at == pytest.approx(np.interp(np.array(shares) * area[-1], area, grid).tolist(), abs=1e-3)
+
+
+def test_mix_of_odd_rows(odd, empty):
+    assert mixing.mix_plan_of(odd).count() == len(ODD)
+    mixing.mix_documents(odd).collect()
+    assert mixing.mix_plan_of(empty).count() == 0 == mixing.mix_documents(empty).count()
+
+
+# 2 toxicity
+
+
+def test_chain_marginals_against_enumeration():
+    rng = np.random.default_rng(5)
+    odds, pairs = np.exp(rng.normal(size=7)), rng.normal(size=(2, 2))
+    first = np.array([True, False, False, True, False, False, False])
+    total, hit = 0.0, np.zeros(7)
+    for code in range(1 << 7):
+        y = [(code >> k) & 1 for k in range(7)]
+        w = np.prod([odds[k] if y[k] else 1.0 for k in range(7)]) * np.exp(sum(pairs[y[k - 1], y[k]] for k in range(1, 7) if not first[k]))
+        total += w
+        hit += w * np.array(y)
+    assert toxicity.marginals(odds, first, pairs)[0] == pytest.approx(hit / total, rel=1e-6)
+
+
+def test_toxicity_on_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, d).collect()}
+    told = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [(told[k], r["predicted"]) for k, r in got.items() if k in told and r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) for k, r in got.items())
+    assert sum(t and p for t, p in held) >= 0.7 * sum(t for t, _ in held)
+    assert sum(p and not t for t, p in held) <= 0.02 * len(held)
+
+
+def test_toxicity_of_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (6, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(odd, labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score_toxicity(empty, labels).count() == 0
+    assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(odd, labels.limit(0)).collect())
+
+
+# 3 secrets
+
+
+def base_spans(text):
+    a = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = [(m.start(), 0, m.end(), "assign") for m in a.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(found)]
+
+
+def test_secret_spans_against_regexes(spark, docs, rows):
+    rng = random.Random(9)
+    parts = ["password=", "token: ", "secret: ", "API_KEY = \"", "AKIA", "ABCDEF0123456789", "deadbeef" * 4, "'", " ", "\n", "é語", "x.y/z-1", "apikey", "abc"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [r["text"] for r in rows]
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        want = base_spans(texts[r["doc_id"]])
+        assert r["base"] == ",".join(want)
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("linked")] == want
+
+
+def test_weak_secrets_need_company(spark):
+    key = "aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    texts = [f"user=admin {key} https://db.example.com/x", f"nothing {key} here", f"user=admin {key}", f"user=admin {'pad ' * 300}{key} host=db.example.com"]
+    got = {r["doc_id"]: r["linked"] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [len(got[k]) for k in range(4)] == [1, 0, 0, 0]
+    s = got[0][0]
+    assert texts[0][s["start"] : s["end"]] == key
+
+
+def test_secrets_of_odd_rows(odd, empty):
+    assert secrets.scan_secrets(odd).count() == len(ODD)
+    assert secrets.scan_secrets(empty).count() == 0
+
+
+# 4 language
+
+
+def test_language_of_documents(docs, rows):
+    got = {r["doc_id"]: r for r in language.identify_language(language.document_rows(docs)).collect()}
+    assert len(got) == len(rows)
+    assert np.mean([got[r["doc_id"]]["lang"] == r["lang"] for r in rows]) >= 0.98
+    assert not any(r["rejected"] for r in got.values())
+
+
+def test_other_evidence_settles_short_texts(spark, docs):
+    train = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("host"), F.lit(None).cast("string").alias("domain"))
+    extra = spark.createDataFrame([(10**9, "12 345", None, None, "fr", None), (10**9 + 1, "zz", "de", None, "de", None)], train.schema)
+    got = {r["doc_id"]: r for r in language.identify_language(train.unionByName(extra)).filter(f"doc_id >= {10**9}").collect()}
+    assert got[10**9]["rejected"] and got[10**9]["lang"] == "fr"
+    assert got[10**9 + 1]["lang"] == "de"
+
+
+def test_language_of_odd_rows(odd, empty):
+    got = language.identify_language(language.document_rows(odd)).collect()
+    assert len(got) == len(ODD)
+    assert {r["doc_id"] for r in got if r["rejected"]} >= {1, 2, 3}
+    assert language.identify_language(language.document_rows(empty)).count() == 0
+    assert 7 in {r["doc_id"] for r in language.drop_unidentified(odd).collect()}
+
+
+# 5 neighbours
+
+
+def test_recall_and_scores(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(600, 8)).astype(np.float32)
+    v[50:90] = v[50]
+    bad = [(1000, [0.0] * 8), (1001, None), (1002, [float("nan")] + [1.0] * 7), (1003, [None] + [1.0] * 7), (1004, []), (1005, [float("inf")] * 8), (None, [1.0] * 8)]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + bad, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in neighbours.search(rows, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    x = v.astype(float)
+    hit = 0
+    assert sorted(got) == list(range(0, 600, 20))
+    for q, found in got.items():
+        scores = (x * x[q]).sum(1)
+        assert all(abs(scores[i] - s) < 1e-12 and i != q for i, s in found)
+        assert found == sorted(found, key=lambda t: (-t[1], t[0]))
+        scores[q] = -np.inf
+        hit += len({i for i, _ in found} & set(np.lexsort((np.arange(600), -scores))[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_search_of_few_or_no_vectors(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(rows, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
+    assert neighbours.search(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_heap_visits_cells_in_order():
+    rng = np.random.default_rng(2)
+    books = (rng.normal(size=(5, 3)), rng.normal(size=(4, 3)))
+    q = rng.normal(size=6)
+    cells = neighbours.visit_cells(q, books, np.ones(20, int), 20)
+    value = [books[0][c // 4] @ q[:3] + books[1][c % 4] @ q[3:] for c in cells]
+    assert sorted(cells) == list(range(20)) and value == sorted(value, reverse=True)
+
+
+# 6 packing
+
+
+def test_packing_round_trip(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    odd_texts = ["it's İstanbul Σίσυφος. ÀÉÎ,... ..,, x,.y ﬁ <|endoftext|>. a\x1cb 'LL", "", "a~b ~ ~", None, "x<|ENDOFTEXT|>, y", "µ. ª. ½, 3,000"]
+    texts = {r["doc_id"]: r["text"] for r in rows} | {10**6 + i: t for i, t in enumerate(odd_texts)}
+    frame = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    pieces = defaultdict(list)
+    fill = Counter()
+    for r in packing.pack_documents(frame, path, task_tokens=20000).orderBy("sequence_id", "offset").collect():
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+        pieces[r["doc_id"]].append(r)
+    assert all(n == 4096 or n & (n - 1) == 0 for n in fill.values()) and max(fill.values()) <= 4096
+    for k, t in texts.items():
+        ids = np.array(whole.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        at = 0
+        for p in sorted(pieces[k], key=lambda p: p["start"]):
+            assert (p["start"], p["doc_tokens"]) == (at, len(ids))
+            assert p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    assert packing.pack_documents(frame.limit(0), path).count() == 0
+
+
+def test_hilbert_curve_visits_neighbours():
+    side = 8
+    grid = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    key = packing.hilbert_index(grid, 3)
+    walk = grid[np.argsort(key)]
+    assert sorted(key.tolist()) == list(range(side**3))
+    assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
+# 7 near duplicates
+
+
+def brute_components(texts):
+    sets = {}
+    for k, t in texts.items():
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    up = {k: k for k in sets}
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {k: (len(sets[k]), top(k)) for k in ids}
+
+
+def test_near_duplicates_against_brute_force(spark, rows):
+    rng = random.Random(4)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    long = [w for r in rows for w in r["text"].split()][:400]
+    for k in range(60):  # a group of near copies, some of which only others link
+        w = list(long)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        texts[10**6 + k] = " ".join(w)
+    texts |= {10**7: "One two three", 10**7 + 1: "one  TWO three", 10**7 + 2: "one two", 10**7 + 3: "", 10**7 + 4: None, 10**7 + 5: " \n"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == brute_components(texts)
+
+
+def test_blocks_link_what_pivots_do_not(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TURNS", 1)
+    monkeypatch.setattr(near_dedup, "SALTS", 1)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    monkeypatch.setattr(near_dedup, "MANY", 8)
+    rng = random.Random(6)
+    base = [w for r in rows for w in r["text"].split()][:300]
+    texts = {}
+    for k in range(50):
+        w = list(base)
+        for _ in range(5):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts[k] = " ".join(w)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == brute_components(texts)
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    got = near_dedup.near_duplicates(odd).collect()
+    assert len(got) == len(ODD)
+    assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
+    assert {r["component_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
+    assert near_dedup.near_duplicates(empty).count() == 0
+    assert near_dedup.drop_near_duplicates(odd).columns == odd.columns
+
+
+def test_pruning_bound_keeps_links():
+    plan = near_dedup.least_matches(252, 42, 85, 1e-7)
+    assert [n for n, _ in plan] == [42, 84, 126, 168, 210, 252]
+    assert all(m < 0.85 * n for n, m in plan) and plan[-1][1] > 0.6 * 252
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def test_word_hashes_follow_words():
+    text = b"The quick\tbrown  fox " * 50 + b"x" * 100
+    want = text.split()
+    for chunk in (5, 64, 1 << 18):
+        h = kernels.word_hashes(text, chunk)
+        assert len(h) == len(want) and len(set(h.tolist())) == len(set(want))
+    assert len(kernels.word_hashes(b"")) == 0 == len(kernels.word_hashes(b" \n"))
+
+
+# 8 licences
+
+
+def test_licenses_against_all_templates(spark, docs, rows):
+    texts = [r["text"] for r in rows] + ["// released UNDER the mit-license.\ncode", "Licensed under the Apache License,\n Version 2.0", "mit", "", "This work is licensed under the GNU General Public License, version 3!"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        units = [*re.split(r"\n|\r", t), *[u for u in [*re.split(r"\n[ \t\r]*\n", t), t] if "\n" in u]]
+        best = {}
+        for name, template in licenses.TEMPLATES.items():
+            g = set(licenses.bigrams_of(template))
+            best[name] = max((2 * len(g & set(b)) / (len(g) + len(b)) for b in map(licenses.bigrams_of, units)), default=0.0)
+        want = sorted(n for n, d in best.items() if d >= 0.8)
+        assert got[k]["licenses"] == ",".join(want)
+        assert got[k]["best"] == pytest.approx(max((best[n] for n in want), default=0.0))
+
+
+def test_licenses_of_odd_rows(odd, empty):
+    assert licenses.scan_licenses(odd).count() == len(ODD)
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+# 9 exact copies
+
+
+@pytest.mark.parametrize("table_bytes", [1, 2000, 48 << 20])
+def test_exact_groups_at_any_table_size(spark, rows, table_bytes):
+    texts = [(r["doc_id"], r["text"]) for r in rows] + [(10**6 + k, " same  text " + " " * (k % 3)) for k in range(300)] + [(10**7, None), (10**7 + 1, "\n")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    groups = defaultdict(list)
+    for k, t in texts:
+        groups[(t or "").translate(dict.fromkeys((32, 9, 10, 11, 12, 13)))].append((-len(t or ""), k))
+    want = {k: (min(g)[1], len(g), k == min(g)[1], hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for _, k in g}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.assign_groups(frame, table_bytes).collect()}
+    assert got == want
+
+
+def test_exact_groups_of_odd_rows(odd, empty):
+    got = exact_dedup.assign_groups(odd).collect()
+    assert len(got) == len(ODD)
+    assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter({r["text_sha256"]: 1 for r in got})
+    kept = exact_dedup.drop_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted(
+        [(0, ODD[3][1]), (5, ODD[6][1]), (6, ODD[7][1]), (7, ODD[8][1]), (4, ODD[9][1]), (3, ODD[2][1])], key=lambda x: (x[0], x[1])
+    )
+    assert exact_dedup.assign_groups(empty).count() == 0 == exact_dedup.drop_copies(empty).count()
+
+
+# 10 urls
+
+
+def test_rules_and_parts_of_urls(spark):
+    urls = [
+        "http://WWW.Example.com/en/a?x#y", "https://a.example.com/en/", "http://example.com", "no url", None, "x://b.net/es/1", "x://b.net/de/", "ftp://h/p://q/r", "http://evilexample.com/en/", "x://a.org?://b",
+    ]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
+    told = spark.createDataFrame([(6, 1), (9, None), (None, 1)], "page_id long, bad int")
+    got = {r["page_id"]: tuple(r)[1:4] for r in url_reputation.filter_urls(pages, told).collect()}
+    assert got == {
+        0: ("www.example.com", "/en/a", "www.example.com/en/"), 1: ("a.example.com", "/en/", "example.com/en/"), 2: ("example.com", "", None), 3: ("", "", None), 4: ("", "", None),
+        5: ("b.net", "/es/1", "net/es/"), 6: ("b.net", "/de/", None), 7: ("h", "/p://q/r", None), 8: ("evilexample.com", "/en/", "com/"), 9: ("a.org", "", None),
+    }
+    assert url_reputation.filter_urls(pages.limit(0), told.limit(0)).count() == 0
+
+
+def test_hosts_are_shrunk_towards_their_parents(spark):
+    hosts = [("a.bad.org", 200, 190), ("b.bad.org", 0, 0), ("c.good.org", 200, 5), ("d.good.org", 1, 1), ("e.co.uk", 3, 0)]
+    got = {r["host"]: r for r in url_reputation.host_reputation(spark.createDataFrame(hosts, "host string, n long, k long")).collect()}
+    assert got["a.bad.org"]["lower"] > 0.8 and got["c.good.org"]["upper"] < 0.1
+    assert got["a.bad.org"]["rate"] > got["b.bad.org"]["rate"] > got["e.co.uk"]["rate"] > got["c.good.org"]["rate"]
+    assert got["d.good.org"]["lower"] < got["d.good.org"]["rate"] < 1
+    assert url_reputation.parents(F.lit("x.y.co.uk")) is not None
+    row = spark.range(1).select(*url_reputation.parents(F.lit("x.y.co.uk")), *url_reputation.parents(F.lit("host"))).first()
+    assert tuple(row) == ("y.co.uk", "co.uk", "host", "host")
+
+
+# pipeline
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, rows):
+    import corpus_pipeline
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"])].append((-len(r["text"]), r["doc_id"]))
+    kept = {min(g)[1] for g in groups.values()}
+    near = brute_components({r["doc_id"]: r["text"] for r in rows if r["doc_id"] in kept})
+    kept = {k for k, (_, c) in near.items() if k == c}
+    plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan_of(spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in rows if r["doc_id"] in kept], "doc_id long, text string, source string")).collect()}
+    assert {p["doc_id"] for p in pieces} == {k for k, n in plan.items() if n}
+    assert {p["sequence_id"] for p in pieces} and all(p["length"] > 0 for p in pieces)
