@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables written so far: session, path and the tag they were written under.
+_written: list[tuple[SparkSession, str, str]] = []
+_tag = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +38,12 @@ def written(df: DataFrame) -> DataFrame:
     """Write a wide frame as Parquet in the shared folder and read it again.
 
     Columnar and compressed, so it suits frames that hold texts or signatures, and the
-    size that Spark knows of it is its true one. Removed when the process ends.
+    size that Spark knows of it is its true one. Removed when the process ends, or by ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veldspar-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append((spark, path, _tag))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,12 +54,33 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def tagged(tag: str) -> Iterator[None]:
+    """Tables written meanwhile bear ``tag``."""
+    global _tag
+    before, _tag = _tag, tag
+    try:
+        yield
+    finally:
+        _tag = before
+
+
+def drop(tag: str) -> None:
+    """Delete the tables that bear ``tag``; what was computed from them must have been written by now."""
+    for entry in [e for e in _written if e[2] == tag]:
+        _delete(*entry[:2])
+        _written.remove(entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the JVM may have ended already
             return
