@@ -47,14 +47,18 @@ def search_files(queries: DataFrame, files: DataFrame) -> DataFrame:
         F.count_if(F.col("part") == "by_name").alias("n_name"), F.count_if(F.col("part") == "by_keyword").alias("n_keyword"),
         F.count_if(F.col("part") == "by_summary").alias("n_summary"), F.array_sort(F.collect_set("term")).alias("matched"),
     )
-    # A name in the query shares its first word with it, so words are the key on which such pairs meet.
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: w != "")))
-    opening = f.select("file_id", "name", "stem", F.explode(F.array_distinct(F.array(F.regexp_extract("name", "[a-z0-9]+", 0), F.regexp_extract("stem", "[a-z0-9]+", 0)))).alias("w"))
+    # A name that stands in the query begins with its first word, which is some run of letters and digits within a
+    # query's word. Those runs are the key on which queries and names meet, rather than each with each.
+    first_words = F.array_distinct(F.array(F.regexp_extract("name", "[a-z0-9]+", 0), F.regexp_extract("stem", "[a-z0-9]+", 0)))
+    opening = f.select("file_id", "name", "stem", F.explode(first_words).alias("w"))
     inside = F.when((F.col("name") != "") & F.contains("text", "name"), 3.0).when((F.col("stem") != "") & F.contains("text", "stem"), 2.0).otherwise(0.0)
-    # The query's word may only begin with or hold the name's first word; its own words' tails cover that.
-    tails = F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.sequence(i, F.length(w)), lambda j: F.substring(w, i, j - i + 1))))))))
+
+    def runs(word: F.Column) -> F.Column:
+        ends = lambda i: F.transform(F.sequence(i, F.length(word)), lambda j: F.substring(word, i, j - i + 1))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), ends))
+
+    tails = F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)), runs))))
     named = q.select("query_id", "text", tails.alias("w")).join(opening, "w").withColumn("exact", inside).filter("exact > 0").groupBy("query_id", "file_id").agg(F.max("exact").alias("exact"))
-    del word
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     both = by.join(named, ["query_id", "file_id"], "full_outer").join(f.select("file_id", "created_at"), "file_id")
     score = zero("exact", 0.0) + 1.5 * zero("n_name", 0) + 1.25 * zero("n_keyword", 0) + 0.75 * zero("n_summary", 0)
