@@ -60,7 +60,7 @@ def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS, languages: int
     pick = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     sample = rows.filter(F.col("declared").isin(names) & pick).select("declared", F.col("text").cast("binary").alias("text"))
     table = np.zeros((len(names), BUCKETS))
-    for label, counts in sample.coalesce(8).mapInArrow(_count, "label string, counts binary").collect():
+    for label, counts in sample.repartition(8).mapInArrow(_count, "label string, counts binary").collect():
         table[names.index(label)] += np.frombuffer(counts, np.int64)
     table += 0.5
     return names, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
