@@ -30,7 +30,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify_language(language.document_rows(_table(spark, sf_dir, "documents")))
+    found = language.identify_language(language.document_rows(_table(spark, sf_dir, "documents")))
+    return found.withColumn("kept", ~F.col("rejected"))
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
