@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.llm.kernels import SPACE
+from veldspar.llm.kernels import SPACE, tidy
 from veldspar.llm.store import settle, small_batches, written
 
 #: Bytes of distinct content that a table holds before it passes the rest on.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 FAN_OUT = 16
 
 LOCAL = pa.schema(
@@ -121,7 +121,7 @@ def _gather(table_bytes: int):
                     yield from flush()
         yield from flush()
 
-    return run
+    return tidy(run)
 
 
 def _grace(records: Iterator[tuple[int, bytes, int, int, int | None, int]], folder: str, depth: int, table_bytes: int):
@@ -194,7 +194,7 @@ def _resolve(table_bytes: int):
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    return run
+    return tidy(run)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 
@@ -16,6 +19,23 @@ _IS_WORD[list(SPACE)] = False
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+def tidy(run: Callable) -> Callable:
+    """Give freed memory back when a task ends, as its worker stays for tasks of later stages."""
+
+    @wraps(run)
+    def until_end(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return until_end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

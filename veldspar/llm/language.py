@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.kernels import LOWER
+from veldspar.llm.kernels import LOWER, tidy
 from veldspar.llm.store import settle, small_batches
 
 #: Rows that the text model is fitted on, about; the languages it may tell apart, at most.
@@ -86,7 +86,7 @@ def _score(table: np.ndarray, evidence: float, kept: int):
                 [*batch.columns[1 : 1 + kept], *columns], names=[*batch.schema.names[1 : 1 + kept], "p", "letters"]
             )
 
-    return run
+    return tidy(run)
 
 
 def _sums(n: int) -> list[Column]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.llm.components import connected_components
-from veldspar.llm.kernels import LOWER, jaccard_parts, mix, shingle_set, word_hashes
+from veldspar.llm.kernels import LOWER, jaccard_parts, mix, shingle_set, tidy, word_hashes
 from veldspar.llm.store import settle, small_batches, written
 
 WIDTH = 5
@@ -92,7 +92,7 @@ def _sketch(width: int, bands: int, rows: int):
                     at += 1
                 yield _sketch_rows(part, seen, bands, rows, n)
 
-    return run
+    return tidy(run)
 
 
 def _sketch_rows(part: list, seen: set[bytes], bands: int, rows: int, n: int) -> pa.RecordBatch:
@@ -146,7 +146,7 @@ def _prune(plan: tuple[tuple[int, int], ...]):
             sig = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(len(batch), -1) for i in (2, 3)]
             yield batch.select([0, 1]).take(pa.array(_survivors(sig[0], sig[1], plan)))
 
-    return run
+    return tidy(run)
 
 
 def _cross(plan: tuple[tuple[int, int], ...], width: int, percent: int):
@@ -211,7 +211,7 @@ def _verify(width: int, percent: int):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return run
+    return tidy(run)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.kernels import mix
+from veldspar.llm.kernels import mix, tidy
 from veldspar.llm.store import small_batches, written
 
 SEQUENCE = 4096
@@ -161,10 +161,10 @@ def curve_keys(ids: list[np.ndarray], features: int = FEATURES, dimensions: int
     return hilbert_index(np.minimum((place * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
-def _encode(path: str, end_id: int, remember: int):
+def _encode(path: str, end_id: int, remember: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here is cyclic, and walking all remembered words again and again takes a tenth of the time
-        encoder = encoder_of(path, remember)
+        encoder = encoder_of(path, remember) if keep else ChunkEncoder(path, remember)
         kind = f"<u{encoder.width}"
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
@@ -187,7 +187,7 @@ def _encode(path: str, end_id: int, remember: int):
                     schema=ENCODED,
                 )
 
-    return run
+    return tidy(run)
 
 
 def _wide(ids: bytes) -> np.ndarray:
@@ -248,16 +248,16 @@ def _pack(length: int):
         if rows:
             yield emit()
 
-    return run
+    return tidy(run)
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = SEQUENCE, task_tokens: int = TASK_TOKENS, remember: int = WORDS
+    docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = SEQUENCE, task_tokens: int = TASK_TOKENS, remember: int = WORDS, keep: bool = True
 ) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of ``length`` tokens (a power of two), neighbours on the curve together.
 
     ``tokenizer`` is the path of a tokenizer file whose tokens never cross white space; a worker remembers
-    the ids of ``remember`` to twice as many chunks of text, which trades memory for time. Documents, each with ``end_id``
+    the ids of ``remember`` to twice as many chunks of text, with ``keep`` from task to task, which trades memory for time. Documents, each with ``end_id``
     behind its ids, are range-sorted by Hilbert key; ties, as of copies, fall by a digest of the ids and the doc_id,
     so copies of one text are no single range. A task lays its range end to end: only its last sequences
     are shorter than ``length``, of powers of two, so nothing is padded.
@@ -268,7 +268,7 @@ def pack_documents(
     small_batches(docs.sparkSession)
     encoded = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _encode(tokenizer, end_id, remember), "doc_id long, curve long, tie long, n_tokens long, ids binary"
+            _encode(tokenizer, end_id, remember, keep), "doc_id long, curve long, tie long, n_tokens long, ids binary"
         )
     )
     tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.llm.kernels import tidy
 from veldspar.llm.store import small_batches
 
 #: Labelled documents that the model learns from, of each class at most, and their length at most.
@@ -239,7 +240,7 @@ def _score(chain: Chain):
                     names=["doc_id", "held_out", "score", "spans"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _score_texts(chain: Chain, known: _Odds, texts: list[str]) -> tuple[list[float], list[list[dict]]]:
