@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences; a document that is taken twice is packed twice."""
-    return pack_documents(docs, tokenizer_path(), remember=REMEMBERED)
+    return pack_documents(docs, tokenizer_path(), remember=REMEMBERED, keep=False)
 
 
 STAGES = [
