@@ -6,7 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,10 +20,10 @@ from veldspar.llm.store import small_batches
 #: Labelled documents that the model learns from, of each class at most, and their length at most.
 TRAIN_PER_CLASS, TRAIN_CHARS = 3000, 50_000
 WEIGHTS = 1 << 18
-EPOCHS = 60
-#: A kind of token is taken for toxic if at least so many toxic training documents hold it, so large a share of those that
-#: do are toxic, and chance would give less than so many such kinds in all.
-LEAST_DOCS, LEAST_SHARE, CHANCE = 4, 0.4, 0.05
+EPOCHS, SENTENCE = 60, 24
+#: A kind of token is taken for toxic if at least so many toxic training documents hold it, toxic ones hold it so many times
+#: as often as clean ones, and chance would give less than so many such kinds in all.
+LEAST_DOCS, LEAST_LIFT, CHANCE = 4, 5.0, 0.05
 EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’…*_~`|/\\-+=#"
 TOKEN = re.compile(r"\S+")
 CACHE = 500_000
@@ -91,28 +91,29 @@ def kinds_of(word: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys((w + "$", *(w[:n] for n in (4, 5, 6) if n <= len(w))))) if len(w) >= 4 else ()
 
 
-def label_kinds(docs: list[tuple[list[str], int]]) -> set[str]:
+def label_kinds(docs: list[tuple[np.ndarray, int]], names: list[str]) -> set[str]:
     """Kinds that tell a toxic token, as clean documents (nearly) lack them.
 
-    Copies would make any word of theirs look telling, so documents alike in their two
-    smallest word digests count once.
+    ``docs`` have numbers of words in ``names``. Copies would make any word of theirs look
+    telling, so documents alike in their two smallest word digests count once.
     """
     seen, met = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}
-    known: dict[str, tuple[str, ...]] = {}
+    known = [kinds_of(w) for w in names]
+    digests = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in names], np.int64)
     groups: set[tuple] = set()
     for words, toxic in docs:
-        distinct = set(words)
-        group = (toxic, *sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in distinct)[:2])
+        distinct = np.unique(words)
+        group = (toxic, *np.sort(digests[distinct])[:2].tolist())
         if group in groups:
             continue
         groups.add(group)
         met[toxic] += 1
         kinds: set[str] = set()
-        for w in distinct:
-            if w not in known:
-                known[w] = kinds_of(w)
+        for w in distinct.tolist():
             kinds.update(known[w])
         seen[toxic].update(kinds)
+    if not met[0] or not met[1]:
+        return set()
     base = met[1] / (met[0] + met[1])
     least = 2 * math.log(max(1, len(seen[1])) / CHANCE)
 
@@ -121,69 +122,67 @@ def label_kinds(docs: list[tuple[list[str], int]]) -> set[str]:
         share = n / (n + clean)
         return 2 * (n * math.log(share / base) + (clean * math.log((1 - share) / (1 - base)) if clean else 0.0))
 
-    return {
-        k for k, n in seen[1].items() if n >= LEAST_DOCS and n >= max(LEAST_SHARE, 2 * base) * (n + seen[0][k]) and surprise(n, seen[0][k]) >= least
-    } if 0 < base < 0.5 else {k for k, n in seen[1].items() if n >= LEAST_DOCS and not seen[0][k]}
+    lift = lambda n, clean: (n / met[1]) / ((clean + 0.5) / met[0])
+    return {k for k, n in seen[1].items() if n >= LEAST_DOCS and lift(n, seen[0][k]) >= LEAST_LIFT and surprise(n, seen[0][k]) >= least}
 
 
-def fit(docs: list[tuple[str, int]], epochs: int = EPOCHS, base_rate: float | None = None) -> Chain:
+def fit(docs: Iterable[tuple[str, int]], epochs: int = EPOCHS, base_rate: float | None = None) -> Chain:
     """Train on texts with document labels.
 
     Tokens are labelled first: in toxic documents, those of a kind that sets them apart. The chain
     then learns tags from tokens' features and neighbours by gradient ascent on the
     conditional likelihood of sentences; a logistic layer learns documents from its marginals.
+    Texts are held as numbers of their words, so that the driver needs little memory.
     """
-    chain = Chain(np.zeros(WEIGHTS))
-    words = [(TOKEN.findall(t), y) for t, y in docs]
-    if not any(y for _, y in docs):
+    chain, vocabulary = Chain(np.zeros(WEIGHTS)), {}
+    words = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in TOKEN.findall(t)], np.int32), int(y)) for t, y in docs]
+    names = list(vocabulary)
+    if not names or len({y for _, y in words}) < 2:
         return chain
-    kinds = label_kinds(words)
+    kinds = label_kinds(words, names)
+    known = np.array([features(w) for w in names], np.int32)
+    telling = np.array([not kinds.isdisjoint(kinds_of(w)) for w in names])
     rng = np.random.default_rng(11)
-    cache: dict[str, tuple[int, ...]] = {}
     rows, tags, first = [], [], []
-    for tokens, y in words:
-        at = 0
-        while at < len(tokens):
-            span = tokens[at : at + 24]
-            at += 24
-            fs = [cache.get(w) or cache.setdefault(w, features(w)) for w in span]
-            own = [bool(y) and not kinds.isdisjoint(kinds_of(w)) for w in span]
-            if any(own) or rng.random() < 0.12:
-                rows += fs
-                tags += own
-                first += [True] + [False] * (len(span) - 1)
-    x, y, starts = np.array(rows, np.int64), np.array(tags, float), np.array(first)
-    if not len(x):
+    for tokens, toxic in words:
+        for at in range(0, len(tokens), SENTENCE):
+            span = tokens[at : at + SENTENCE]
+            own = telling[span] & bool(toxic)
+            if own.any() or rng.random() < 0.12:
+                rows.append(span)
+                tags.append(own)
+                first.append(np.arange(len(span)) == 0)
+    if not rows:
         return chain
+    x, y, starts = known[np.concatenate(rows)], np.concatenate(tags).astype(float), np.concatenate(first)
     g2, gp2 = np.full(WEIGHTS, 1e-8), np.full((2, 2), 1e-8)
     linked = ~starts[1:]
     was, now = y[:-1][linked], y[1:][linked]
     seen_pairs = np.array([[((1 - was) * (1 - now)).sum(), ((1 - was) * now).sum()], [(was * (1 - now)).sum(), (was * now).sum()]])
     for _ in range(epochs):
-        odds = _clip_odds(chain.weights[x].sum(1) - 3.0)
-        p, forward, backward = marginals(odds, starts, chain.pairs)
+        p, forward, backward = marginals(_clip_odds(chain.weights[x].sum(1) - 3.0), starts, chain.pairs)
         m = np.exp(chain.pairs)
         f, b = forward[:-1][linked], backward[1:][linked]
         joint = np.stack([m[0, 0] * np.ones_like(f), m[0, 1] * b, m[1, 0] * f, m[1, 1] * f * b])
         expected = (joint / joint.sum(0)).sum(1).reshape(2, 2)
-        grad = np.bincount(x.ravel(), np.repeat(y - p, x.shape[1]), WEIGHTS) - 0.02 * chain.weights
+        grad = -0.02 * chain.weights
+        for k in range(x.shape[1]):
+            grad += np.bincount(x[:, k], y - p, WEIGHTS)
         g2 += grad**2
         chain.weights += 0.5 * grad / np.sqrt(g2)
         pair_grad = seen_pairs - expected - 0.5 * chain.pairs
         gp2 += pair_grad**2
         chain.pairs += 0.2 * pair_grad / np.sqrt(gp2)
-    layer_x = np.stack([summary(*document_marginals(chain, tokens)) for tokens, _ in words])
-    chain.layer = fit_layer(layer_x, np.array([t for _, t in docs], float), base_rate)
+    odds = _clip_odds(chain.weights[known].sum(1) - 3.0)
+    layer_x = []
+    for tokens, _ in words:
+        start = np.zeros(len(tokens), bool)
+        start[:1] = True
+        layer_x.append(summary(marginals(odds[tokens], start, chain.pairs)[0], len(tokens)))
+    chain.layer = fit_layer(np.stack(layer_x), np.array([t for _, t in words], float), base_rate)
     return chain
 
 
-def document_marginals(chain: Chain, tokens: list[str]) -> tuple[np.ndarray, int]:
-    odds = _clip_odds(np.array([chain.weights[list(features(w))].sum() - 3.0 for w in tokens]))
-    first = np.zeros(len(tokens), bool)
-    first[:1] = True
-    return marginals(odds, first, chain.pairs)[0], len(tokens)
-
-
 def summary(p: np.ndarray, n: int) -> np.ndarray:
     """What the logistic layer sees: 1, the largest marginal, and the sure ones by number and by share."""
     sure = float(np.where(p > 0.05, p, 0.0).sum())
@@ -191,13 +190,14 @@ def summary(p: np.ndarray, n: int) -> np.ndarray:
 
 
 def fit_layer(x: np.ndarray, y: np.ndarray, base_rate: float | None) -> np.ndarray:
+    """Logistic regression with a ridge, classes weighed to the base rate, by Newton's method."""
     rate = y.mean() if base_rate is None else min(0.999, max(0.001, base_rate))
     weight = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
-    beta = np.zeros(x.shape[1])
+    beta, ridge = np.zeros(x.shape[1]), 1e-5 * len(y)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * len(y) / 100 * np.eye(len(beta))
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-3 * len(y) / 100 * beta)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -292,7 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("text", "ascending")])
     )
-    return fit(list(zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True)), base_rate=totals[1] / (totals[0] + totals[1]))
+    pairs = ((t.as_py(), y.as_py()) for t, y in zip(rows["text"], rows["toxic"], strict=True))
+    return fit(pairs, base_rate=totals[1] / (totals[0] + totals[1]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
