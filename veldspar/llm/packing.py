@@ -168,11 +168,11 @@ def _encode(path: str, end_id: int, remember: int, keep: bool):
         kind = f"<u{encoder.width}"
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            at = 0
+            whole, at = batch.column(1).to_pylist(), 0
             while at < len(batch):
                 texts, size, first = [], 0, at
                 while at < len(batch) and (size < 1 << 19 or not texts):
-                    texts.append(batch.column(1)[at].as_py() or "")
+                    texts.append(whole[at] or "")
                     size += len(texts[-1])
                     at += 1
                 ids = [b + end for b in encoder.encode(texts)]
@@ -187,7 +187,7 @@ def _encode(path: str, end_id: int, remember: int, keep: bool):
                     schema=ENCODED,
                 )
 
-    return tidy(run)
+    return run if keep else tidy(run)
 
 
 def _wide(ids: bytes) -> np.ndarray:
@@ -248,7 +248,7 @@ def _pack(length: int):
         if rows:
             yield emit()
 
-    return tidy(run)
+    return run
 
 
 def pack_documents(
