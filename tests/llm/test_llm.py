@@ -358,6 +358,18 @@ def test_components_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("order", ["shuffled", "descending"])
+def test_components_of_a_long_chain(spark, order):
+    ids = list(range(1000))
+    if order == "shuffled":
+        random.Random(3).shuffle(ids)
+    else:
+        ids = [0, *ids[:0:-1]]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+
+
 def test_word_hashes_follow_words():
     text = b"The quick\tbrown  fox " * 50 + b"x" * 100
     want = text.split()

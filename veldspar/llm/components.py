@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from veldspar.llm.store import settle
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a, b), as node, component.
 
-    Each round takes the smallest label among a node's neighbours, then the label of
-    that label (pointer jumping), so chains shorten by doubling. Labels only fall and each is a
-    node of the component, so an unchanged round is the end. Minima combine before they
-    are shuffled, so a node with very many neighbours is no bottleneck.
+    Edges point from a node to a smaller one. Each round moves them in two steps: a node's larger neighbours
+    go to the smallest of its neighbourhood (large star), then its smaller neighbours and itself go to
+    the smallest of these (small star). Neither parts a component nor adds edges, and rounds grow with the
+    logarithm of the number of nodes, however doc_ids lie along a chain. The loop ends only when each
+    component is a star around its smallest node. Minima combine before they are shuffled, so a node
+    with very many neighbours is no bottleneck.
     """
-    both = settle(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    )
-    labels = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        of = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = settle(
-            lower.join(of, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
+    held = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).distinct())
+    while True:
+        ends = held.select(F.col("child").alias("node"), F.col("parent").alias("other"), F.lit(1).alias("up")).union(
+            held.select(F.col("parent").alias("node"), F.col("child").alias("other"), F.lit(0).alias("up"))
         )
-        changed = after.filter("component < was").isEmpty()
-        labels = after.select("node", "component")
-        if changed:
-            break
-    return labels
+        around = settle(
+            ends.groupBy("node").agg(F.min("other").alias("m"), F.sum("up").alias("parents"), F.count(F.lit(1)).alias("n"))
+            .select("node", F.least("node", "m").alias("least"), ((F.col("parents") > 0) & (F.col("n") > 1)).alias("open"))
+        )
+        if around.filter("open").isEmpty():
+            return around.select("node", F.col("least").alias("component"))
+        large = held.join(around, held["parent"] == around["node"]).select("child", F.col("least").alias("parent")).distinct()
+        low = large.groupBy("child").agg(F.min("parent").alias("least"))
+        moved = large.join(low, "child").filter("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent"))
+        held = settle(moved.union(low.select("child", F.col("least").alias("parent"))).distinct())
