@@ -170,6 +170,29 @@ def test_weak_secrets_need_company(spark):
     assert texts[0][s["start"] : s["end"]] == key
 
 
+def test_links_against_brute_force(spark):
+    rng = random.Random(8)
+    span = lambda start, size: (start, start + size)
+    roles = ("identifier", "endpoint", "assign", "access")
+    docs = [
+        {"weak": [span(350, 100)], "identifier": [span(800, 10)], "endpoint": [span(845, 9)]},
+        {"weak": [span(350, 100)], "identifier": [span(850, 10)], "endpoint": [span(851, 20)]},
+        {"weak": [span(1300, 30)], "identifier": [span(1340, 10)], "endpoint": [span(390, 900)]},
+    ]
+    for _ in range(300):
+        docs.append({"weak": [span(rng.randrange(4000), rng.randint(20, 128)) for _ in range(4)]} | {r: [span(rng.randrange(4000), rng.choice((4, 40, 900, 2000)))] for r in roles if rng.random() < 0.5})
+    kinds = ("weak", *roles)
+    schema = "doc_id long, key string, " + ", ".join(f"{k} array<struct<start:int,end:int>>" for k in kinds)
+    frame = spark.createDataFrame([(i, "k", *[d.get(k, []) for k in kinds]) for i, d in enumerate(docs)], schema)
+    want = set()
+    for i, d in enumerate(docs):
+        for s, e in d["weak"]:
+            if sum(any(a - e <= 400 and s - b <= 400 for a, b in d.get(r, [])) for r in roles) >= 2:
+                want.add((i, s, e))
+    assert {(0, 350, 450), (2, 1300, 1330)} <= want and not any(i == 1 for i, _, _ in want)
+    assert {(r["doc_id"], r["start"], r["end"]) for r in secrets.link_parts(frame).collect()} == want
+
+
 def test_secrets_of_odd_rows(odd, empty):
     assert secrets.scan_secrets(odd).count() == len(ODD)
     assert secrets.scan_secrets(empty).count() == 0

@@ -81,32 +81,32 @@ def credential_parts(docs: DataFrame) -> DataFrame:
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Interval join of weak secrets with identifiers and endpoints of the same document.
 
-    A scope reaches ``scope`` code points to both sides of a secret. Positions are dealt
-    to bins of that length, so an equi-join on (document, bin) finds every neighbour; of
-    each bin and role only the first and last part matter, as one of them is nearest
-    to any secret of a bin beside, and parts within the secret's own bin always reach it.
-    So a secret meets six rows at most. Returns doc_id, key, start, end of the secrets
+    A scope reaches ``scope`` code points to both sides of a secret. Parts, and secrets widened by their scope,
+    are dealt to every bin of that length that they touch, so an equi-join on (document, bin) finds every
+    neighbour. A widened secret is longer than a bin, so in a bin it touches at most one of its ends lies, and of
+    each bin and role only the first start and the last end matter.
+    So a secret meets few rows. Returns doc_id, key, start, end of the secrets
     that have an identifier and an endpoint in reach, or either one of them beside an
     assignment or access key.
     """
     both = parts.filter("size(weak) > 0 and (size(identifier) + size(endpoint) + size(assign) + size(access)) > 0")
     role = lambda name: F.transform(name, lambda x: F.struct(F.lit(name).alias("role"), x.start.alias("start"), x.end.alias("end")))
     part = both.select("doc_id", "key", F.explode(F.concat(*(role(r) for r in ("identifier", "endpoint", "assign", "access")))).alias("p"))
+    touched = lambda first, last: F.explode(F.sequence(F.floor(first / scope), F.floor(last / scope))).alias("bin")
     ends = (
-        part.select("doc_id", "key", "p.role", "p.start", "p.end", F.floor(F.col("p.start") / scope).alias("bin"))
+        part.select("doc_id", "key", "p.role", "p.start", "p.end", touched(F.col("p.start"), F.col("p.end")))
         .groupBy("doc_id", "key", "role", "bin")
         .agg(F.min("start").alias("first"), F.max("end").alias("last"))
     )
-    reach = ends.select("doc_id", "key", "role", "bin", "first", "last", F.explode(F.expr("array(bin - 1, bin, bin + 1)")).alias("seen_from"))
-    secret = both.select("doc_id", "key", F.explode("weak").alias("w")).select(
-        "doc_id", "key", "w.start", "w.end", F.floor(F.col("w.start") / scope).alias("at")
-    ).distinct()
-    near = secret.alias("s").join(
-        reach.alias("r"),
+    secret = both.select("doc_id", "key", F.explode("weak").alias("w")).select("doc_id", "key", "w.start", "w.end").distinct()
+    reach = secret.select("*", touched(F.col("start") - scope, F.col("end") + scope))
+    near = reach.alias("s").join(
+        ends.alias("r"),
         F.col("s.doc_id").eqNullSafe(F.col("r.doc_id"))
         & (F.col("s.key") == F.col("r.key"))
-        & (F.col("s.at") == F.col("r.seen_from"))
-        & ((F.col("r.bin") == F.col("s.at")) | ((F.col("r.first") - F.col("s.end") <= scope) & (F.col("s.start") - F.col("r.last") <= scope))),
+        & (F.col("s.bin") == F.col("r.bin"))
+        & (F.col("r.first") - F.col("s.end") <= scope)
+        & (F.col("s.start") - F.col("r.last") <= scope),
     )
     return (
         near.groupBy("s.doc_id", "s.key", "s.start", "s.end")
