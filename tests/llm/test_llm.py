@@ -216,6 +216,31 @@ def test_other_evidence_settles_short_texts(spark, docs):
     assert got[10**9 + 1]["lang"] == "de"
 
 
+def _tongue(k: int, rng: random.Random, words: int = 40) -> str:
+    own = random.Random(k)
+    stock = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+    return " ".join(rng.choice(stock) for _ in range(words))
+
+
+def test_every_declared_language_counts(spark):
+    rng = random.Random(2)
+    names = [f"q{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    texts = [(10 * k + i, _tongue(k, rng), names[k] if i % 2 else f"{names[k].upper()}-US") for k in range(40) for i in range(5)]
+    frame = spark.createDataFrame([(i, t, n, None, None, None) for i, t, n in texts], "doc_id long, text string, declared string, suffix string, host string, domain string")
+    got = {r["doc_id"]: r for r in language.identify_language(frame).collect()}
+    assert all(got[i]["lang"] == got[i]["text_lang"] == n.lower()[:3] and not got[i]["rejected"] for i, _, n in texts)
+
+
+def test_a_rare_language_has_all_its_rows(spark):
+    rng = random.Random(3)
+    rows = [(_tongue(0, rng), "en") for _ in range(600)] + [(_tongue(1, rng), "is") for _ in range(10)]
+    frame = spark.createDataFrame(rows, "text string, declared string")
+    names, table = language.fit_text_model(frame, 20)
+    alone, own = language.fit_text_model(frame.filter("declared = 'is'"), 20)
+    assert names == ["en", "is"] and alone == ["is"]
+    assert np.array_equal(table[1], own[0])
+
+
 def test_language_of_odd_rows(odd, empty):
     got = language.identify_language(language.document_rows(odd)).collect()
     assert len(got) == len(ODD)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from veldspar.llm.kernels import LOWER, tidy
 from veldspar.llm.store import settle, small_batches
 
-#: Rows that the text model is fitted on, about; the languages it may tell apart, at most.
-TRAIN_ROWS, LANGUAGES = 20_000, 32
+#: Rows of each language that the text model is fitted on, about.
+TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
 #: A text's evidence counts as that of so many independent n-grams at most.
 EVIDENCE = 40.0
@@ -46,24 +46,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+def primary(tag: Column) -> Column:
+    """The language of a tag without its variants, in lower case: en of en-US and EN_gb; null if there is none."""
+    plain = F.lower(F.trim(tag))
+    first = F.regexp_extract(plain, r"\A((?:[ix][-_])?[^-_]+)", 1)
+    return F.when(first != "", first)
+
+
+def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Trigram log-probabilities by declared language, from a bounded sample of ``rows`` (declared, text).
 
-    The sample is drawn by a digest of the text, in proportion ``train_rows`` to all rows; of
-    the declared values, the ``languages`` most frequent ones count. Tables of a fixed size come to the driver.
+    Every language that a row with text declares counts. Of each, about ``train_rows`` rows are drawn by a digest
+    of the text, or all if there are no more. A table of a fixed size for each language comes to the driver.
     """
-    sizes = rows.filter("declared is not null and text <> ''").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(languages).collect()
-    names, total = sorted(r[0] for r in sizes), sum(r[1] for r in sizes)
+    told = rows.select(primary(F.col("declared")).alias("declared"), "text").filter("declared is not null and text <> ''")
+    sizes = {r[0]: r[1] for r in told.groupBy("declared").count().collect()}
+    names = sorted(sizes)
     if not names:
         return ["und"], np.zeros((1, BUCKETS), np.float32)
-    share = min(1.0, train_rows / total)
-    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    sample = rows.filter(F.col("declared").isin(names) & pick).select("declared", F.col("text").cast("binary").alias("text"))
-    table = np.zeros((len(names), BUCKETS))
-    for label, counts in sample.repartition(8).mapInArrow(_count, "label string, counts binary").collect():
-        table[names.index(label)] += np.frombuffer(counts, np.int64)
+    limits = [F.lit(x) for k in names for x in (k, int(min(1.0, train_rows / sizes[k]) * (1 << 20)) + 1)]
+    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(F.create_map(*limits), F.col("declared"))
+    sample = told.filter(pick).select("declared", F.col("text").cast("binary").alias("text"))
+    at, table = {k: i for i, k in enumerate(names)}, np.zeros((len(names), BUCKETS))
+    # Part by part, as the driver needn't hold the counts of all tasks at once.
+    for label, counts in settle(sample.repartition(8).mapInArrow(_count, "label string, counts binary")).toLocalIterator():
+        table[at[label]] += np.frombuffer(counts, np.int64)
     table += 0.5
-    return names, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    table /= table.sum(1, keepdims=True)
+    return names, np.log(table, out=table).astype(np.float32)
 
 
 def _score(table: np.ndarray, evidence: float, kept: int):
@@ -116,7 +126,7 @@ def identify_language(
 ) -> DataFrame:
     """The language of each row of ``rows``: doc_id, text, declared, suffix, host, domain.
 
-    declared is what the markup (or metadata) says, suffix what the address ends in, host and
+    declared is what the markup (or metadata) says, of which variants such as en-US are merged; suffix what the address ends in, host and
     domain where the text comes from; each may be null, then it is no evidence. A naive Bayes
     model of byte trigrams gives P(text | language) of the whole text. From its posteriors, grouped
     sums give P(declared | language), P(suffix | language) and each host's prior, a
@@ -130,6 +140,7 @@ def identify_language(
     """
     spark = rows.sparkSession
     small_batches(spark)
+    rows = rows.withColumn("declared", primary(F.col("declared")))
     names, table = fit_text_model(rows.select("declared", "text"), train_rows)
     n = len(names)
     keep = ["doc_id", "declared", "suffix", "host", "domain"]
