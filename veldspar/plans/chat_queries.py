@@ -19,7 +19,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _remembering(spark, d) -> DataFrame:
     """User turns that state something about the user."""
-    content = F.concat(F.element_at(F.array(F.lit("Remember that "), F.lit("My favourite word is "), F.lit("I prefer "), F.lit("please call me ")), (F.col("pos") % 4 + 1).cast("int")), F.left("content", F.lit(60)), F.lit(". Thanks!"))
+    content = F.concat(F.element_at(F.array(F.lit("Remember that "), F.lit("My favourite word is "), F.lit("I prefer "), F.lit("please call me ")), (F.col("pos") % 4 + 1).cast("int")), F.col("content"), F.lit(". Thanks!"))
     return messages(spark, d).withColumn("content", content)
 
 
@@ -136,7 +136,7 @@ def list_files(spark, d):
 
 
 def clean_tags(spark, d):
-    tags = F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda x: F.concat(F.lit("  "), F.left(x, F.lit(20)), F.lit(" ")))
+    tags = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("  "), x, F.lit(" ")))
     return documents(spark, d).select("doc_id", F.array_join(T.clean_tags(tags), "|").alias("tags"))
 
 

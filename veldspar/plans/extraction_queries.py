@@ -32,7 +32,7 @@ def clean_markdown(spark, d):
 
 
 def clean_tables(spark, d):
-    raw = F.concat(F.lit("before"), F.lit(_TABLE), F.left("text", F.lit(50)))
+    raw = F.concat(F.lit("before"), F.lit(_TABLE), F.col("text"))
     return documents(spark, d).select("doc_id", cleaning.clean_markdown(raw).alias("clean"))
 
 
