@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from veldspar.operators import search
 from veldspar.plans import catalog
 
 
@@ -27,3 +32,22 @@ def test_memories_of_the_whole_message(spark, long_texts):
 def test_tags_of_all_lines(spark, long_texts):
     tags = catalog.QUERIES["clean_tags"](spark, long_texts).first()["tags"].split("|")
     assert tags[1:] == ["two", "three", "a fourth line of more than twenty characters", "tailmark"]
+
+
+def test_every_twentieth_vector_asks(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {r["vec_id"]: np.sort(x @ x[i])[::-1][:10] for i, r in enumerate(rows) if r["vec_id"] % 20 == 0}
+    got = defaultdict(list)
+    for r in catalog.QUERIES["cosine_topk_all"](spark, sf_dir).collect():
+        got[r["query_id"]].append(r["cosine"])
+    assert sorted(got) == sorted(want)
+    assert all(np.allclose(sorted(got[k], reverse=True), want[k], atol=1e-4) for k in want)
+
+
+def test_blocks_of_queries_are_joined(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("vec_id").cast("long").alias("query_id"))
+    q = v.filter("query_id % 20 = 0").select("query_id", "vector")
+    rows = lambda block: sorted((r[0], r[1]) for r in search.dense_top_k(q, v.select("chunk_id", "vector"), 5, block).collect())
+    assert rows(7) == rows(2000)

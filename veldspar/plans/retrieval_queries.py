@@ -61,6 +61,14 @@ def cosine_topk(spark, d):
     return best.select("query_id", "chunk_id", F.round("cosine", 4).alias("cosine"))
 
 
+def cosine_topk_all(spark, d):
+    """Every vec_id that 20 divides asks, against all rows; ``cosine_topk`` has the few queries of its SQL."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), "vec_id")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("query_id"), "vector")
+    best = search.dense_top_k(q, v.select("chunk_id", "vector"), 10)
+    return best.select("query_id", "chunk_id", F.round("cosine", 4).alias("cosine"))
+
+
 def hybrid_topk(spark, d):
     """Blend of the lexical share and keyword rank; embeddings here belong to other rows, so the dense part is a digest."""
     q, chunks = questions(spark, d), document_chunks(spark, d)
@@ -300,6 +308,7 @@ QUERIES = {
         "with p as (select q.vec_id as query_id, cast(v.vec_id as varchar) as chunk_id, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) as c from embeddings q, embeddings v where q.vec_id < 25)"
         " select query_id, chunk_id, round(c, 4) as cosine from p qualify row_number() over (partition by query_id order by c desc, chunk_id) <= 10",
     ),
+    "cosine_topk_all": (cosine_topk_all, None),
     "hybrid_topk": (
         hybrid_topk,
         S.with_(
