@@ -20,14 +20,27 @@ EVIDENCE = 40.0
 #: Pseudo-counts that pull a host towards its domain and a domain towards all hosts.
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 50.0
 MIN_POSTERIOR = 0.5
+#: A text speaks for an unknown language as much as against its best one if its n-grams are, on average, so far from
+#: the usual level of that language (0) towards that of n-grams never seen in it (1).
+UNKNOWN_LEVEL = 0.4
+
+
+#: Of bytes in lower case: letters and parts of characters beyond ASCII 2, a space 1, anything else 0.
+_KIND = np.array([2 if 97 <= c <= 122 or c >= 128 else int(c in (9, 10, 11, 12, 13, 32)) for c in range(256)], np.uint8)
 
 
 def gram_buckets(text: bytes, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Buckets of the byte trigrams of a whole text, lower-cased and between spaces."""
+    """Buckets of the byte trigrams of a whole text, lower-cased and between spaces, that hold letters and spaces only.
+
+    Figures, marks, keys and the like belong to no language, so trigrams with any of their characters don't count.
+    """
     data = b" " + text.translate(LOWER) + b" "
     for at in range(0, len(data) - 2, chunk):
-        b = np.frombuffer(data[at : at + chunk + 2], np.uint8).astype(np.uint32)
-        yield ((b[:-2] * np.uint32(0x9E3B) + b[1:-1] * np.uint32(0x85EB5) + b[2:] * np.uint32(0xC2B2AE3)) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
+        raw = np.frombuffer(data[at : at + chunk + 2], np.uint8)
+        kind = _KIND[raw]
+        fine = (kind[:-2] > 0) & (kind[1:-1] > 0) & (kind[2:] > 0) & ((kind[:-2] == 2) | (kind[1:-1] == 2) | (kind[2:] == 2))
+        b = np.where(kind == 1, np.uint8(32), raw).astype(np.uint32)
+        yield (((b[:-2] * np.uint32(0x9E3B) + b[1:-1] * np.uint32(0x85EB5) + b[2:] * np.uint32(0xC2B2AE3)) * np.uint32(0x27D4EB2F)) >> np.uint32(16))[fine]
 
 
 def has_letters(text: bytes) -> bool:
@@ -53,45 +66,53 @@ def primary(tag: Column) -> Column:
     return F.when(first != "", first)
 
 
-def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Trigram log-probabilities by declared language, from a bounded sample of ``rows`` (declared, text).
+def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Trigram log-probabilities by declared language, and the level of an unknown one, from a bounded sample of ``rows`` (doc_id, declared, text).
 
     Every language that a row with text declares counts. Of each, about ``train_rows`` rows are drawn by a digest
-    of the text, or all if there are no more. A table of a fixed size for each language comes to the driver.
+    of id and text, or all if there are no more. A table of a fixed size for each language comes to the driver. The
+    level is a log-probability for each language, between its own mean and that of trigrams it lacks.
     """
-    told = rows.select(primary(F.col("declared")).alias("declared"), "text").filter("declared is not null and text <> ''")
+    told = rows.select("doc_id", primary(F.col("declared")).alias("declared"), "text").filter("declared is not null and text <> ''")
     sizes = {r[0]: r[1] for r in told.groupBy("declared").count().collect()}
     names = sorted(sizes)
     if not names:
-        return ["und"], np.zeros((1, BUCKETS), np.float32)
+        return ["und"], np.zeros((1, BUCKETS), np.float32), np.full(1, -np.inf)
     limits = [F.lit(x) for k in names for x in (k, int(min(1.0, train_rows / sizes[k]) * (1 << 20)) + 1)]
-    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(F.create_map(*limits), F.col("declared"))
+    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(F.create_map(*limits), F.col("declared"))
     sample = told.filter(pick).select("declared", F.col("text").cast("binary").alias("text"))
     at, table = {k: i for i, k in enumerate(names)}, np.zeros((len(names), BUCKETS))
     # Part by part, as the driver needn't hold the counts of all tasks at once.
     for label, counts in settle(sample.repartition(8).mapInArrow(_count, "label string, counts binary")).toLocalIterator():
         table[at[label]] += np.frombuffer(counts, np.int64)
+    share = table / np.maximum(table.sum(1, keepdims=True), 1.0)
     table += 0.5
     table /= table.sum(1, keepdims=True)
-    return names, np.log(table, out=table).astype(np.float32)
-
-
-def _score(table: np.ndarray, evidence: float, kept: int):
+    logs = np.log(table, out=table)
+    usual = (share * logs).sum(1)
+    return names, logs.astype(np.float32), usual + UNKNOWN_LEVEL * (logs.min(1) - usual)
+
+
+def text_posterior(text: bytes, table: np.ndarray, unknown: np.ndarray, evidence: float) -> np.ndarray:
+    """P(language | text) with all languages and, last, an unknown one alike beforehand."""
+    sums, n = np.zeros(len(table)), 0
+    for grams in gram_buckets(text):
+        n += len(grams)
+        for k in range(len(table)):
+            sums[k] += table[k].take(grams).sum(dtype=np.float64)
+    logs = np.zeros(len(table) + 1)
+    if n:
+        best = int(sums.argmax())
+        logs[:-1], logs[-1] = sums * (min(n, evidence) / n), unknown[best] * min(n, evidence)
+    e = np.exp(logs - logs.max())
+    return e / e.sum()
+
+
+def _score(table: np.ndarray, unknown: np.ndarray, evidence: float, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logs, letters = [], []
-            for text in batch.column(0):
-                text = text.as_py() or b""
-                sums, n = np.zeros(len(table)), 0
-                for grams in gram_buckets(text):
-                    n += len(grams)
-                    for k in range(len(table)):
-                        sums[k] += table[k].take(grams).sum(dtype=np.float64)
-                letters.append(has_letters(text))
-                sums = sums * (min(n, evidence) / n if n and letters[-1] else 0.0)
-                e = np.exp(sums - sums.max())
-                logs.append(e / e.sum())
-            columns = [pa.array(logs, pa.list_(pa.float64())), pa.array(letters, pa.bool_())]
+            texts = [text.as_py() or b"" for text in batch.column(0)]
+            columns = [pa.array([text_posterior(t, table, unknown, evidence) for t in texts], pa.list_(pa.float64())), pa.array([has_letters(t) for t in texts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1 : 1 + kept], *columns], names=[*batch.schema.names[1 : 1 + kept], "p", "letters"]
             )
@@ -128,42 +149,44 @@ def identify_language(
 
     declared is what the markup (or metadata) says, of which variants such as en-US are merged; suffix what the address ends in, host and
     domain where the text comes from; each may be null, then it is no evidence. A naive Bayes
-    model of byte trigrams gives P(text | language) of the whole text. From its posteriors, grouped
+    model of byte trigrams gives P(text | language) of the whole text, and one more class stands for what no modelled language explains,
+    such as other languages and gibberish. From its posteriors, grouped
     sums give P(declared | language), P(suffix | language) and each host's prior, a
     host's counts being shrunk towards its domain's and those towards all, without the row itself.
-    Their product is the posterior.
+    Their product is the posterior. A host's counts are all its rows', those of a domain all its hosts'; a host named with several
+    domains belongs to each by the rows that name it.
 
-    Returns doc_id, lang, confidence, text_lang (by text alone) and rejected: no letters, or
-    a posterior below ``min_posterior``. Null, empty and letterless texts are rejected; their text says
-    nothing, so lang is the best by the other evidence. Every row returns once. If no row declares a
+    Returns doc_id, lang, confidence (its posterior), text_lang (by text alone) and rejected: no letters, or
+    a posterior below ``min_posterior``, as of texts in no modelled language. Null, empty and letterless texts are rejected; their text says
+    nothing, so lang is the best by the other evidence. Every row returns once, repeated ones too; null ids stay null. If no row declares a
     language, all are ``und``.
     """
     spark = rows.sparkSession
     small_batches(spark)
     rows = rows.withColumn("declared", primary(F.col("declared")))
-    names, table = fit_text_model(rows.select("declared", "text"), train_rows)
-    n = len(names)
+    names, table, unknown = fit_text_model(rows.select("doc_id", "declared", "text"), train_rows)
+    n = len(names) + 1  # the last stands for none of them
     keep = ["doc_id", "declared", "suffix", "host", "domain"]
     narrow = rows.select(F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in keep[1:]])
     scored = settle(
-        narrow.mapInArrow(_score(table, evidence, len(keep)), "doc_id long, declared string, suffix string, host string, domain string, p array<double>, letters boolean")
+        narrow.mapInArrow(_score(table, unknown, evidence, len(keep)), "doc_id long, declared string, suffix string, host string, domain string, p array<double>, letters boolean")
     )
     totals = scored.agg(*_sums(n)).first()
     whole = sum(totals[k] or 0.0 for k in range(n))
     everywhere = [((totals[k] or 0.0) + 1.0) / (whole + n) for k in range(n)]
-    hosts = settle(scored.groupBy("host", "domain").agg(*_sums(n)).select("host", "domain", _array(n).alias("host_counts")))
-    domains = hosts.filter("domain is not null").select("domain", *[F.col("host_counts")[k].alias(f"c{k}") for k in range(n)])
-    domains = domains.groupBy("domain").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n)]).select(F.col("domain").alias("own_domain"), _array(n).alias("domain_counts"))
+    # A row's host counts are those of its (host, domain); the domain's are of all its hosts.
+    hosts = settle(scored.filter("host is not null").groupBy(F.col("host").alias("own_host"), F.col("domain").alias("own_domain")).agg(*_sums(n)))
+    domains = hosts.filter("own_domain is not null").groupBy(F.col("own_domain").alias("of_domain")).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n)])
+    domains = domains.select("of_domain", _array(n).alias("domain_counts"))
     hosts = settle(
-        hosts.filter("host is not null")
-        .join(domains, F.col("domain") == F.col("own_domain"), "left")
-        .groupBy(F.col("host").alias("own_host"))
-        .agg(F.max("host_counts").alias("host_counts"), F.max("domain_counts").alias("domain_counts"))
+        hosts.select("own_host", "own_domain", _array(n).alias("host_counts"))
+        .join(domains, F.col("own_domain") == F.col("of_domain"), "left")
+        .select("own_host", "own_domain", "host_counts", "domain_counts")
     )
     fused = (
         scored.join(_likelihood(scored, "declared", n), "declared", "left")
         .join(_likelihood(scored, "suffix", n), "suffix", "left")
-        .join(hosts, F.col("host") == F.col("own_host"), "left")
+        .join(hosts, (F.col("host") == F.col("own_host")) & F.col("domain").eqNullSafe(F.col("own_domain")), "left")
     )
     prior = F.array(*[F.lit(x) for x in everywhere])
     zero = F.array(*[F.lit(0.0)] * n)
@@ -186,10 +209,11 @@ def identify_language(
     logs = F.transform("p", lambda p: F.log(F.greatest(p, F.lit(1e-30))))
     for part in (F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero), F.transform("host_prior", lambda x: F.log(x))):
         logs = add(logs, part)
-    best = lambda c: F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(c, F.array_max(c)).cast("int"))
+    known = lambda c: F.slice(c, 1, n - 1)
+    best = lambda c: F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(known(c), F.array_max(known(c))).cast("int"))
     fused = fused.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     mass = F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda s, x: s + x)
-    return fused.withColumn("confidence", F.round(1.0 / mass, 6)).select(
+    return fused.withColumn("confidence", F.round(F.exp(F.array_max(known("logs")) - F.col("top")) / mass, 6)).select(
         "doc_id",
         best(F.col("logs")).alias("lang"),
         "confidence",
@@ -199,9 +223,12 @@ def identify_language(
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, lang, source) as evidence: lang is declared, source is the host, and there is no address."""
-    none = F.lit(None).cast("string")
-    return docs.select("doc_id", "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    """Documents (doc_id, text, lang, source) as evidence: lang is declared and source the host. Only a source with a dot has a domain and a suffix."""
+    from veldspar.llm.url_reputation import parents
+
+    domain, suffix = parents(F.col("source"))
+    dotted = lambda c: F.when(F.contains(F.col("source"), F.lit(".")), c)
+    return docs.select("doc_id", "text", F.col("lang").alias("declared"), dotted(suffix).alias("suffix"), F.col("source").alias("host"), dotted(domain).alias("domain"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
