@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm.components import connected_components
@@ -23,8 +24,8 @@ PERCENT = 85
 BANDS, ROWS = 36, 7
 #: Signature values compared at a time, and the chance that a link may be pruned.
 STEP, MISS = 42, 1e-7
-#: Rounds in which members of a bucket are compared with a pivot, and pivots that a large group meets in each.
-TURNS, SALTS = 2, 8
+#: Pivots that a large group meets in a round, and comparisons left for each node that call for one more round.
+SALTS, LEFT = 8, 20_000
 #: Members and other members of a bucket that one task compares at a time.
 FEW, MANY = 256, 2048
 
@@ -144,13 +145,13 @@ def _prune(plan: tuple[tuple[int, int], ...]):
             if not len(batch):
                 continue
             sig = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(len(batch), -1) for i in (2, 3)]
-            yield batch.select([0, 1]).take(pa.array(_survivors(sig[0], sig[1], plan)))
+            yield batch.select([0, 1, 4, 5]).take(pa.array(_survivors(sig[0], sig[1], plan)))
 
     return tidy(run)
 
 
 def _cross(plan: tuple[tuple[int, int], ...], width: int, percent: int):
-    """Links between a bucket's members in different components, compared block by block.
+    """Links between the components of a bucket's members, compared block by block.
 
     A pair that shares several buckets is compared in that of the first band it shares. What the
     signatures can't rule out is verified on full sets here, so only links leave the task; once two
@@ -189,14 +190,14 @@ def _cross(plan: tuple[tuple[int, int], ...], width: int, percent: int):
                     for j in part[100 * shared >= percent * (sizes[part] + len(own) - shared)]:
                         if comp_m[j] not in met:
                             met.add(comp_m[j])
-                            links.append((min(id_f[i], id_m[j]), max(id_f[i], id_m[j])))
+                            links.append((min(comp_f[i], comp_m[j]), max(comp_f[i], comp_m[j])))
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64").drop_duplicates()
 
     return run
 
 
 def _verify(width: int, percent: int):
-    """Exact comparison of full shingle sets; the set of a text met again just after is reused."""
+    """Exact comparison of full shingle sets; the set of a text met again just after is reused. Returns the components linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray] = (b"", np.empty(0, np.uint64))
@@ -215,10 +216,11 @@ def _verify(width: int, percent: int):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar enough."""
+    """The components (a, b) of those of ``pairs`` (a, b, comp_a, comp_b) whose texts are similar enough."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "a long, b long")
+    both = pairs.join(tb, "b").join(ta, "a").select("comp_a", "comp_b", "text_a", "text_b")
+    return both.mapInArrow(_verify(width, percent), "comp_a long, comp_b long").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
 
 
 def near_duplicates(
@@ -237,8 +239,9 @@ def near_duplicates(
     2. In each bucket of a band, members are paired with a pivot. Pairs are compared signature
        batch by signature batch and dropped as soon as the posterior chance of a link falls
        under ``miss``; the full sets of survivors are compared exactly.
-    3. Components of these links. Buckets that still hold several components go through
-       more rounds of pivots, and at last have all pairs across components compared likewise, in blocks; pairs
+    3. Components of these links become single nodes. While buckets with several components leave very many pairs and a
+       round still finds links, there is one more round of pivots. At last all pairs across components
+       are compared likewise, in blocks; pairs
        within a component can't change it. So every pair that shares a bucket is either
        compared or known to be connected.
 
@@ -268,28 +271,37 @@ def near_duplicates(
         .join(nodes, "node", "left_semi")
         .select("node", F.explode("bands").alias("bucket"))
     )
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = written(keyed.join(shared.select("bucket"), "bucket").select("bucket", "node"))
+    shared = (
+        keyed.groupBy("bucket")
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(_digest(0).alias("h"), "node")).alias("pivot"))
+        .filter("low < high")
+        .select("bucket", F.col("pivot.node").alias("pivot"))
+    )
+    members = written(keyed.join(shared, "bucket").select("bucket", "node", "pivot"))
     held = members.select("node").distinct()
     sigs = written(sketch.filter("sig is not null").select(F.col("doc_id").alias("node"), "sig", "bands").join(held, "node", "left_semi"))
     texts = written(docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(held, "node", "left_semi"))
-    links = component = None
-    at = members.withColumn("component", F.col("node"))
-    for turn in range(TURNS + 1):
-        if turn < TURNS:
-            found = settle(_links(_pruned(_with_pivots(at, turn), sigs, plan), texts, width, percent).distinct())
-        else:
-            found = settle(_across(at, sigs, texts, plan, width, percent))
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            component = connected_components(links)
-        if turn < TURNS:
-            at = settle(_open_buckets(members if turn == 0 else at.select("bucket", "node"), component))
-            if at.isEmpty():
-                break
+    at = members.select("bucket", "node", F.col("node").alias("component"))
+    paired = members.filter("node <> pivot").select("node", F.col("node").alias("own"), "pivot", F.col("pivot").alias("other"))
+    label = None
+    for turn in itertools.count(1):
+        step = _components(_links(_pruned(_pairs(paired), sigs, plan), texts, width, percent))
+        if step is not None:
+            label = step if label is None else _composed(label, step)
+            at = at.join(step, at["component"] == step["node"], "left").select("bucket", at["node"], F.coalesce(step["component"], at["component"]).alias("component"))
+        main = settle(_open_buckets(at))
+        left, rows = main.agg(F.sum(F.col("minors") * F.col("n")), F.sum("n")).first()
+        if not left:
+            break
+        at = written(at.join(main.select("bucket"), "bucket"))
+        if step is None or left <= LEFT * rows:
+            step = _components(_across(at, main, sigs, texts, plan, width, percent))
+            if step is not None:
+                label = step if label is None else _composed(label, step)
+            break
+        paired = _with_pivots(at, turn)
 
-    if component is None:
-        component = nodes.limit(0).select("node", F.col("node").alias("component"))
+    component = nodes.limit(0).select("node", F.col("node").alias("component")) if label is None else label
     # A component is named by the smallest doc_id of all its classes.
     classes = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -302,51 +314,64 @@ def near_duplicates(
     )
 
 
-def _with_pivots(at: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each bucket's members with one pivot of it that is in another component.
+def _digest(turn: int) -> Column:
+    """What a bucket's pivot is the smallest by.
 
-    The pivot is the member of the smallest digest, salted by turn and by a few classes of
-    buckets: members that share many buckets meet some pivots, not a different one in each.
+    It is salted by turn and by a few classes of buckets: members that share many buckets meet some pivots, not a different one in each.
     """
-    salt = F.pmod("bucket", F.lit(SALTS)) + F.lit(turn * SALTS)
-    pivots = at.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", salt).alias("h"), "node", "component")).alias("pivot"))
-    return (
-        at.join(pivots, "bucket")
-        .filter(F.col("component") != F.col("pivot.component"))
-        .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        .distinct()
+    return F.xxhash64("node", F.pmod("bucket", F.lit(SALTS)) + F.lit(turn * SALTS))
+
+
+def _with_pivots(at: DataFrame, turn: int) -> DataFrame:
+    """Each bucket's members with one pivot of it that is in another component: node, own, pivot, other."""
+    pivots = at.groupBy("bucket").agg(F.min(F.struct(_digest(turn).alias("h"), "node", "component")).alias("pivot"))
+    return at.join(pivots, "bucket").filter(F.col("component") != F.col("pivot.component")).select(
+        "node", F.col("component").alias("own"), F.col("pivot.node").alias("pivot"), F.col("pivot.component").alias("other")
     )
 
 
+def _pairs(paired: DataFrame) -> DataFrame:
+    """``paired`` (node, own, pivot, other) as distinct pairs a < b with their components."""
+    ends = F.array_sort(F.array(F.struct(F.col("node").alias("id"), F.col("own").alias("comp")), F.struct(F.col("pivot").alias("id"), F.col("other").alias("comp"))))
+    return paired.select(ends.alias("e")).select(
+        F.col("e")[0]["id"].alias("a"), F.col("e")[1]["id"].alias("b"), F.col("e")[0]["comp"].alias("comp_a"), F.col("e")[1]["comp"].alias("comp_b")
+    ).distinct()
+
+
 def _pruned(pairs: DataFrame, sigs: DataFrame, plan: tuple[tuple[int, int], ...]) -> DataFrame:
     sig_a = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     sig_b = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(plan), "a long, b long").distinct()
+    both = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b", "comp_a", "comp_b")
+    return both.mapInArrow(_prune(plan), "a long, b long, comp_a long, comp_b long")
+
+
+def _components(links: DataFrame) -> DataFrame | None:
+    found = settle(links)
+    return None if found.isEmpty() else connected_components(found)
 
 
-def _open_buckets(members: DataFrame, component: DataFrame | None) -> DataFrame:
-    """bucket, node, component of buckets that hold several components, but those of two members: their pair has been tested."""
-    if component is None:
-        at = members.withColumn("component", F.col("node"))
-    else:
-        at = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    several = at.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"))
-    return at.join(several.filter("c0 < c1 and n > 2").select("bucket"), "bucket")
+def _composed(label: DataFrame, step: DataFrame) -> DataFrame:
+    """``label`` (node, component) with components moved on by ``step``, and what ``step`` alone has."""
+    named = step.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    both = label.join(named, label["component"] == named["was"], "full_outer")
+    return both.select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "component").alias("component"))
 
 
-def _across(at: DataFrame, sigs: DataFrame, texts: DataFrame, plan: tuple[tuple[int, int], ...], width: int, percent: int) -> DataFrame:
+def _open_buckets(at: DataFrame) -> DataFrame:
+    """Buckets that hold several components, but those of two members, whose pair has been tested: bucket, main (the largest component), n, minors."""
+    sizes = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    by = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"))
+    return by.filter("n > most and n > 2").select("bucket", "main", "n", (F.col("n") - F.col("most")).alias("minors"))
+
+
+def _across(at: DataFrame, main: DataFrame, sigs: DataFrame, texts: DataFrame, plan: tuple[tuple[int, int], ...], width: int, percent: int) -> DataFrame:
     """Links between different components in the buckets of ``at`` (bucket, node, component).
 
     The members outside the bucket's largest component meet all others of the bucket.
-    Both sides are dealt to chunks, so no task holds a bucket of any size.
+    Both sides are dealt to chunks, so no task holds a bucket of any size. Texts go with them: of texts that share long
+    passages, signatures let so many pairs through that handing these on would be more than the texts.
     """
-    sizes = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = settle(
-        sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"))
-    )
-    counts = at.join(main, "bucket").select(
-        "bucket", "node", "component", "n", (F.col("n") - F.col("most")).alias("minors"), (F.col("component") != F.col("main")).alias("minor")
-    )
+    counts = at.join(main, "bucket").select("bucket", "node", "component", "n", "minors", (F.col("component") != F.col("main")).alias("minor"))
     few_parts = F.ceil(F.col("minors") / FEW).cast("int")
     many_parts = F.ceil(F.col("n") / MANY).cast("int")
     spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
@@ -362,7 +387,7 @@ def _across(at: DataFrame, sigs: DataFrame, texts: DataFrame, plan: tuple[tuple[
     kinds = {"bucket": "long", "f": "long", "m": "long", "node": "long", "component": "long", "sig": "binary", "bands": "array<long>", "text": "binary"}
     few, many = (x.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()]) for x in (few, many))
     keys = ("bucket", "f", "m")
-    return few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInPandas(_cross(plan, width, percent), "a long, b long").distinct()
+    return few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInPandas(_cross(plan, width, percent), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
