@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm.kernels import SPACE, tidy
@@ -229,21 +229,23 @@ def assign_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Among rows alike in doc_id and in normalised text, the longest original stays, once.
+    Among rows alike in doc_id and in normalised text, the longest original stays, once. A null doc_id ranks
+    after any other of as many code points.
     """
     groups = assign_groups(docs, table_bytes).select("doc_id", "kept", "text_sha256")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
         # The dropped ids are the fewer; Spark broadcasts their table if its size allows it.
         gone = written(groups.filter("not kept").select(F.col("doc_id").alias("gone_id")))
-        return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
     kept = written(groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")))
     bare = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE.decode(), "").cast("binary")
-    first = Window.partitionBy("doc_id", "own_sha").orderBy(F.length("text").desc_nulls_last(), F.col("text"))
+    # An aggregate keeps one row of a key in each task, however many rows share it.
+    order = F.struct(-F.length("text"), F.col("text"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]))
     return (
         docs.withColumn("own_sha", F.sha2(bare, 256))
         .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha")), "left_semi")
-        .withColumn("own_rank", F.row_number().over(first))
-        .filter("own_rank = 1")
-        .select(*docs.columns)
+        .groupBy(F.col("doc_id").alias("own_id"), "own_sha")
+        .agg(F.min_by(F.struct(*docs.columns), order).alias("own_row"))
+        .select(*[F.col("own_row")[c].alias(c) for c in docs.columns])
     )
