@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from veldspar.llm.kernels import tidy
 from veldspar.llm.store import small_batches
 
-#: Labelled documents that the model learns from, of each class at most, and their length at most.
-TRAIN_PER_CLASS, TRAIN_CHARS = 3000, 50_000
+#: Labelled documents that the model learns from, of each class at most, and the characters of their texts in all, about.
+TRAIN_PER_CLASS, TRAIN_CHARS = 3000, 12_000_000
 WEIGHTS = 1 << 18
 EPOCHS, SENTENCE = 60, 24
 #: A kind of token is taken for toxic if at least so many toxic training documents hold it, toxic ones hold it so many times
@@ -95,7 +95,7 @@ def label_kinds(docs: list[tuple[np.ndarray, int]], names: list[str]) -> set[str
     """Kinds that tell a toxic token, as clean documents (nearly) lack them.
 
     ``docs`` have numbers of words in ``names``. Copies would make any word of theirs look
-    telling, so documents alike in their two smallest word digests count once.
+    telling, so documents alike in their four smallest word digests count once.
     """
     seen, met = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}
     known = [kinds_of(w) for w in names]
@@ -103,7 +103,7 @@ def label_kinds(docs: list[tuple[np.ndarray, int]], names: list[str]) -> set[str
     groups: set[tuple] = set()
     for words, toxic in docs:
         distinct = np.unique(words)
-        group = (toxic, *np.sort(digests[distinct])[:2].tolist())
+        group = (toxic, *np.sort(digests[distinct])[:4].tolist())
         if group in groups:
             continue
         groups.add(group)
@@ -269,11 +269,12 @@ def _score_texts(chain: Chain, known: _Odds, texts: list[str]) -> tuple[list[flo
     return scores, spans
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Chain:
-    """Fit on ``per_class`` labelled documents of each class at most, chosen by a digest of doc_id.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, chars: int = TRAIN_CHARS) -> Chain:
+    """Fit on ``per_class`` labelled documents of each class at most, chosen by a digest of doc_id, of about ``chars`` characters in all.
 
-    ``labels`` has doc_id and toxic; of several labels of a document the toxic one holds. The
-    ids are bounded by ``per_class``, so they are broadcast to fetch the texts.
+    ``labels`` has doc_id and toxic; of several labels of a document the toxic one holds, and of several texts of
+    a doc_id the first in order. The ids are bounded by ``per_class``, so they are broadcast to find the lengths of their texts;
+    half of ``chars`` goes to each class, in the order of the digest. A text that is longer than that is not learnt from.
     """
     told = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r[0]: r[1] for r in told.groupBy((F.col("toxic") > 0).cast("int")).count().collect()}
@@ -283,16 +284,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     for toxic in (0, 1):
         part = told.filter((F.col("toxic") > 0) == F.lit(bool(toxic))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    rows = (
-        docs.filter(F.length("text") <= TRAIN_CHARS)
-        .select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-        .limit(3 * per_class)
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    )
-    pairs = ((t.as_py(), y.as_py()) for t, y in zip(rows["text"], rows["toxic"], strict=True))
+    chosen = chosen.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = docs.filter("text is not null").select("doc_id", "text", F.length("text").alias("n")).filter(F.col("n") <= chars // 2)
+    sizes = known.select("doc_id", "n", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("h", "n")).alias("one"))
+    fits, used = {}, [0, 0]
+    for doc_id, toxic, one, _ in sizes.select("doc_id", "toxic", "one", F.xxhash64("doc_id").alias("d")).orderBy("d", "doc_id").collect():
+        if used[toxic] + one["n"] <= chars // 2:
+            used[toxic] += one["n"]
+            fits[doc_id] = (toxic, one["h"])
+    if len({toxic for toxic, _ in fits.values()}) < 2:
+        return Chain(np.zeros(WEIGHTS))
+    wanted = docs.sparkSession.createDataFrame([(k, h) for k, (_, h) in fits.items()], "doc_id long, h long")
+    texts = known.join(F.broadcast(wanted), "doc_id").filter(F.xxhash64("text") == F.col("h")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = texts.toArrow().sort_by("doc_id")
+    pairs = ((t.as_py(), fits[k][0]) for k, t in zip(rows["doc_id"].to_pylist(), rows["text"], strict=True))
     return fit(pairs, base_rate=totals[1] / (totals[0] + totals[1]))
 
 
