@@ -164,6 +164,12 @@ def curve_keys(ids: list[np.ndarray], features: int = FEATURES, dimensions: int
 def _encode(path: str, end_id: int, remember: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here is cyclic, and walking all remembered words again and again takes a tenth of the time
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()  # workers go on to tasks of other stages
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, remember) if keep else ChunkEncoder(path, remember)
         kind = f"<u{encoder.width}"
         end = np.array([end_id], kind).tobytes()
@@ -272,7 +278,7 @@ def pack_documents(
         )
     )
     tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    tasks = max(1, min(50_000, -(-tokens // task_tokens)))
+    tasks = max(1, -(-tokens // task_tokens))
     ordered = encoded.withColumn("deal", F.xxhash64("tie", "doc_id"))
     return (
         ordered.repartitionByRange(tasks, "curve", "deal")

@@ -16,7 +16,7 @@ _tag = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The folder named in ``spark.checkpoint.dir``; where the setting is absent, a temporary one, but only if all runs on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veldspar-checkpoint-"))
     return sc.getCheckpointDir()
 
