@@ -70,9 +70,9 @@ def test_chunks_fit_and_spans_agree(spark):
 
 def test_chunk_arguments_are_checked():
     with pytest.raises(ValueError):
-        chunks.chunk_spans(F.lit("x"), 0, 0)
+        chunks.chunk_documents(None, 0, 0)
     with pytest.raises(ValueError):
-        chunks.chunk_spans(F.lit("x"), 10, 10)
+        chunks.chunk_documents(None, 10, 10)
 
 
 def test_text_functions(spark):

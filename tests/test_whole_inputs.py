@@ -40,7 +40,7 @@ def test_every_twentieth_vector_asks(spark, sf_dir):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = {r["vec_id"]: np.sort(x @ x[i])[::-1][:10] for i, r in enumerate(rows) if r["vec_id"] % 20 == 0}
     got = defaultdict(list)
-    for r in catalog.QUERIES["cosine_topk_all"](spark, sf_dir).collect():
+    for r in catalog.QUERIES["cosine_topk"](spark, sf_dir).collect():
         got[r["query_id"]].append(r["cosine"])
     assert sorted(got) == sorted(want)
     assert all(np.allclose(sorted(got[k], reverse=True), want[k], atol=1e-4) for k in want)

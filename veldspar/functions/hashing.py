@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.text import tokens
+from veldspar.functions import rowwise
 
 DIMENSIONS = 384
 
@@ -19,28 +15,7 @@ def content_key(content: Column, version: str) -> Column:
     return F.sha2(F.concat(F.lit(version.encode() + b"\x00"), content.cast("binary")), 256)
 
 
-def token_slot(token: str, dimensions: int = DIMENSIONS) -> tuple[int, int]:
-    """Bucket and sign of a token."""
-    digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
-    return int.from_bytes(digest[:4], "big") % dimensions, 1 if digest[4] & 1 else -1
-
-
 def hash_vectors(chunks: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Signed, hashed token counts of unit length: chunk_id, vector.
-
-    The digest is computed once per distinct token; all else is joins and sums. A text without tokens has zeros.
-    """
-    @F.pandas_udf("struct<bucket:int,sign:int>")
-    def slot(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([token_slot(t, dimensions) for t in s], columns=["bucket", "sign"])
-
-    counts = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    slots = counts.select("token").distinct().withColumn("slot", slot("token"))
-    sums = counts.join(slots, "token").groupBy("chunk_id", "slot.bucket").agg(F.sum(F.col("n") * F.col("slot.sign")).alias("v"))
-    maps = sums.groupBy("chunk_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", F.col("v").cast("double")))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")
-    )
-    norm = F.when(F.coalesce("norm", F.lit(0.0)) > 0, F.col("norm")).otherwise(1.0)
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / norm)
-    return chunks.select("chunk_id").join(maps, "chunk_id", "left").select("chunk_id", vector.alias("vector"))
+    """Signed, hashed token counts of unit length: chunk_id, vector. A text without tokens has zeros."""
+    embed = rowwise.Embedder(dimensions)
+    return rowwise.each(chunks.select("chunk_id", "text"), "text", "vector array<double>", lambda text: [(embed(text).tolist(),)])

@@ -2,39 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-# Inclusive ranges of code points (hexadecimal) of each writing system, in order of precedence.
-SCRIPTS: dict[str, str] = {
-    "Arabic": "0600-06FF 0750-077F 08A0-08FF FB50-FDFF FE70-FEFF",
-    "Hebrew": "0590-05FF FB1D-FB4F",
-    "Devanagari": "0900-097F",
-    "Bengali": "0980-09FF",
-    "Gurmukhi": "0A00-0A7F",
-    "Gujarati": "0A80-0AFF",
-    "Oriya": "0B00-0B7F",
-    "Tamil": "0B80-0BFF",
-    "Telugu": "0C00-0C7F",
-    "Kannada": "0C80-0CFF",
-    "Malayalam": "0D00-0D7F",
-    "Sinhala": "0D80-0DFF",
-    "Thai": "0E00-0E7F",
-    "Lao": "0E80-0EFF",
-    "Tibetan": "0F00-0FFF",
-    "Myanmar": "1000-109F",
-    "Khmer": "1780-17FF",
-    "Hiragana": "3040-309F",
-    "Katakana": "30A0-30FF 31F0-31FF",
-    "Han": "3400-4DBF 4E00-9FFF F900-FAFF 20000-2A6DF",
-    "Hangul": "AC00-D7AF 1100-11FF",
-    "Cyrillic": "0400-04FF 0500-052F",
-    "Greek": "0370-03FF",
-    "Armenian": "0530-058F",
-    "Georgian": "10A0-10FF",
-    "Latin": "0041-005A 0061-007A 00C0-024F 1E00-1EFF",
+# Inclusive ranges of code points of each writing system, in order of precedence.
+SCRIPTS: dict[str, tuple[tuple[int, int], ...]] = {
+    "Arabic": ((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF),),
+    "Hebrew": ((0x0590, 0x05FF), (0xFB1D, 0xFB4F),),
+    "Devanagari": ((0x0900, 0x097F),),
+    "Bengali": ((0x0980, 0x09FF),),
+    "Gurmukhi": ((0x0A00, 0x0A7F),),
+    "Gujarati": ((0x0A80, 0x0AFF),),
+    "Oriya": ((0x0B00, 0x0B7F),),
+    "Tamil": ((0x0B80, 0x0BFF),),
+    "Telugu": ((0x0C00, 0x0C7F),),
+    "Kannada": ((0x0C80, 0x0CFF),),
+    "Malayalam": ((0x0D00, 0x0D7F),),
+    "Sinhala": ((0x0D80, 0x0DFF),),
+    "Thai": ((0x0E00, 0x0E7F),),
+    "Lao": ((0x0E80, 0x0EFF),),
+    "Tibetan": ((0x0F00, 0x0FFF),),
+    "Myanmar": ((0x1000, 0x109F),),
+    "Khmer": ((0x1780, 0x17FF),),
+    "Hiragana": ((0x3040, 0x309F),),
+    "Katakana": ((0x30A0, 0x30FF), (0x31F0, 0x31FF),),
+    "Han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF),),
+    "Hangul": ((0xAC00, 0xD7AF), (0x1100, 0x11FF),),
+    "Cyrillic": ((0x0400, 0x04FF), (0x0500, 0x052F),),
+    "Greek": ((0x0370, 0x03FF),),
+    "Armenian": ((0x0530, 0x058F),),
+    "Georgian": ((0x10A0, 0x10FF),),
+    "Latin": ((0x0041, 0x005A), (0x0061, 0x007A), (0x00C0, 0x024F), (0x1E00, 0x1EFF),),
 }
-RANGES = {name: "".join(r"\x{%s}-\x{%s}" % tuple(r.split("-")) for r in spans.split()) for name, spans in SCRIPTS.items()}
+RANGES = {name: "".join(rf"\x{{{low:04X}}}-\x{{{high:04X}}}" for low, high in spans) for name, spans in SCRIPTS.items()}
 # Pairs of letters that are common in European prose.
 COMMON_PAIRS = (
     "th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar",
@@ -73,13 +77,23 @@ def coarse_script(text: Column) -> Column:
     return found.when(t.rlike(r"[\x{0980}-\x{09FF}]"), "Bengali").when(t.rlike(r"[\x{4E00}-\x{9FFF}]"), "Han").otherwise("Latin")
 
 
+_LETTERS, _PAIRS = re.compile("[^a-z\u00c0-\u024f]+"), re.compile(f"(?=(?:{'|'.join(COMMON_PAIRS)}))")
+
+
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("letters", "vowels", "pairs")]))
+def _letter_counts(texts: pd.Series) -> pd.DataFrame:
+    """Of each text: its letters in lower case, the vowels among them, and where a common pair starts (pairs overlap)."""
+    letters = [_LETTERS.sub("", (t or "").lower()) for t in texts]
+    return pd.DataFrame({"letters": [len(x) for x in letters], "vowels": [sum(map(x.count, "aeiou")) for x in letters], "pairs": [len(_PAIRS.findall(x)) for x in letters]})
+
+
 def text_trust(text: Column, least: int = 100) -> Column:
     """Struct of letters, vowel_ratio, bigram_ratio and trusted; with few letters a text is trusted."""
-    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\x{00C0}-\x{024F}]", "")
-    n = F.length(letters)
-    # Pairs overlap; a lookahead finds those that start at every letter.
-    pairs = F.regexp_count(letters, F.lit(f"(?=(?:{'|'.join(COMMON_PAIRS)}))"))
-    vowels = F.regexp_count(letters, F.lit("[aeiou]")) / F.greatest(n, F.lit(1))
-    common = pairs / F.greatest(n - 1, F.lit(1))
-    trusted = (n < least) | ((vowels >= 0.25) & (vowels <= 0.60) & (common >= 0.08))
-    return F.struct(n.alias("letters"), F.round(vowels, 3).alias("vowel_ratio"), F.round(common, 3).alias("bigram_ratio"), trusted.alias("trusted"))
+
+    def judged(c: Column) -> Column:
+        n = c["letters"]
+        vowels, common = c["vowels"] / F.greatest(n, F.lit(1)), c["pairs"] / F.greatest(n - 1, F.lit(1))
+        trusted = (n < least) | ((vowels >= 0.25) & (vowels <= 0.60) & (common >= 0.08))
+        return F.struct(n.alias("letters"), F.round(vowels, 3).alias("vowel_ratio"), F.round(common, 3).alias("bigram_ratio"), trusted.alias("trusted"))
+
+    return judged(_letter_counts(text))

@@ -18,6 +18,7 @@ TOOL_TRIGGERS: dict[str, tuple[str, ...]] = {
     "file_stats": (r"(?i)\b(stats|statistics|how many|count).*\b(files|chunks|documents)\b",),
     "time": (r"(?i)\b(time|date|today|now)\b",),
 }
+# How follow-up questions begin.
 FOLLOW_UPS = ("and ", "what about", "how about", "then ", "also ", "compare", "same for")
 
 
@@ -62,19 +63,26 @@ def memory_block(memories: DataFrame, items: int = MEMORIES, chars: int = MEMORY
     return kept.groupBy("chat_id").agg(F.count(F.lit(1)).alias("lines"), joined.alias("memory"))
 
 
+# What states a fact about the user.
+REMEMBER = r"(?i)\bremember(?: that)? ([^.?!]+)"
+MY = r"(?i)\bmy ([a-zA-Z][a-zA-Z0-9_ -]{1,40}) is ([^.?!]+)"
+MY_WHOLE = r"(?i)\Amy ([a-zA-Z][a-zA-Z0-9_ -]{1,40}) is (.+)"
+PREFER = r"(?i)\bi prefer ([^.?!]+)"
+CALL_ME = r"(?i)\bcall me ([^.?!]+)"
+
+
 def _memories(text: Column) -> Column:
     """Facts a message states about its user, in canonical form, distinct."""
     trim_marks = lambda c: F.regexp_replace(F.regexp_replace(c, r"\A[ ,;:]+", ""), r"[ ,;:]+\z", "")
-    own = r"(?i)\Amy ([a-zA-Z][a-zA-Z0-9_ -]{1,40}) is (.+)"
-    fact = lambda c: F.when(c.rlike(own), F.concat(F.lit("User's "), strip(F.regexp_extract(c, own, 1)), F.lit(" is "), strip(F.regexp_extract(c, own, 2)))).otherwise(c)
+    part = lambda m, pattern, k: strip(F.regexp_extract(m, pattern, k))
     all_ = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    remember = r"(?i)\bremember(?: that)? ([^.?!]+)"
-    mine = r"(?i)\bmy ([a-zA-Z][a-zA-Z0-9_ -]{1,40}) is ([^.?!]+)"
+    owned = lambda m, pattern: F.concat(F.lit("User's "), part(m, pattern, 1), F.lit(" is "), part(m, pattern, 2))
+    fact = lambda c: F.when(c.rlike(MY_WHOLE), owned(c, MY_WHOLE)).otherwise(c)
     found = F.concat(
-        F.transform(all_(f"({remember})".replace("((?i)", "(?i)(")), lambda m: fact(strip(F.regexp_extract(m, remember, 1)))),
-        F.transform(all_(mine), lambda m: F.concat(F.lit("User's "), strip(F.regexp_extract(m, mine, 1)), F.lit(" is "), strip(F.regexp_extract(m, mine, 2)))),
-        F.transform(all_(r"(?i)\bi prefer ([^.?!]+)"), lambda m: F.concat(F.lit("User prefers "), strip(F.substring(m, 10, 1 << 30)))),
-        F.transform(all_(r"(?i)\bcall me ([^.?!]+)"), lambda m: F.concat(F.lit("User wants to be called "), strip(F.substring(m, 9, 1 << 30)))),
+        F.transform(all_(REMEMBER), lambda m: fact(part(m, REMEMBER, 1))),
+        F.transform(all_(MY), lambda m: owned(m, MY)),
+        F.transform(all_(PREFER), lambda m: F.concat(F.lit("User prefers "), part(m, PREFER, 1))),
+        F.transform(all_(CALL_ME), lambda m: F.concat(F.lit("User wants to be called "), part(m, CALL_ME, 1))),
     )
     plain = F.filter(F.transform(found, trim_marks), lambda c: F.length(c) >= 4)
     return F.array_distinct(F.transform(plain, lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1 << 30))))
@@ -142,9 +150,10 @@ def plan_queries(messages: DataFrame, most: int = 3) -> DataFrame:
     A follow-up puts the system hint and the last user turn before itself; else the message comes first. Then come the last
     two user turns with it, and the hint with it. White space is compacted, repeats go, ``most`` stay.
     """
-    before = Window.partitionBy("chat_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    said = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("content"))).over(before)
-    at = messages.withColumn("users", said("user")).withColumn("systems", said("system")).filter("role = 'user'")
+    order = Window.partitionBy("chat_id").orderBy("pos")
+    notes = F.collect_list(F.when(F.col("role") == "system", F.col("content"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # Of the user's turns only the last two count.
+    at = messages.withColumn("systems", notes).filter("role = 'user'").withColumn("last", F.lag("content").over(order)).withColumn("former", F.lag("content", 2).over(order))
     raw = F.array_join(F.filter(F.transform("systems", strip), lambda s: s != ""), "\n\n")
     label = "Earlier conversation summary:"
     swapped = F.when(
@@ -154,16 +163,15 @@ def plan_queries(messages: DataFrame, most: int = 3) -> DataFrame:
     hint = compact(swapped)
     hint = F.when(F.length(hint) > 500, F.regexp_replace(F.right(hint, F.lit(500)), r"\A[^ ]* ", "")).otherwise(hint)
     at = at.withColumn("hint", hint).withColumn("follow", is_follow_up(F.col("content")))
-    last = F.try_element_at("users", F.lit(-1))
     line = lambda *parts: F.concat_ws("\n", *parts)
-    told = F.size("users") > 0
+    told = F.col("last").isNotNull()
     hinted = F.col("hint") != ""
     planned = F.array_compact(
         F.array(
             F.when(F.col("follow") & hinted, line(F.col("hint"), F.col("content"))),
-            F.when(F.col("follow") & told, line(last, F.col("content"))),
+            F.when(F.col("follow") & told, line(F.col("last"), F.col("content"))),
             F.col("content"),
-            F.when(told, line(F.array_join(F.slice("users", F.greatest(F.size("users") - 1, F.lit(1)), 2), "\n"), F.col("content"))),
+            F.when(told, line(F.col("former"), F.col("last"), F.col("content"))),
             F.when(hinted, line(F.col("hint"), F.col("content"))),
         )
     )
@@ -194,21 +202,21 @@ def select_tools(triggered: DataFrame, requested: Sequence[str] | None = None, f
     return triggered.withColumn("tools", F.filter(F.array(*[F.lit(t) for t in order]), lambda t: F.array_contains(chosen, t)))
 
 
-def match_skills(messages: DataFrame, skills: DataFrame, content: str = "content") -> DataFrame:
-    """Enabled skills one of whose triggers stands in a message: chat_id, pos, skill_id.
+def match_skills(messages: DataFrame, skills: DataFrame, content: str = "content", chosen: DataFrame | None = None) -> DataFrame:
+    """Enabled skills one of whose triggers stands in a message, and those chosen for it: chat_id, pos, skill_id.
 
-    ``skills`` (skill_id, enabled, triggers) is a small table of definitions; one row of all its triggers goes with the plan.
+    ``skills`` (skill_id, enabled, triggers) is a small table of definitions: all of them go to each message as one row, whatever their
+    number, and only those that match come of it. ``chosen`` (chat_id, pos, skill_id) adds enabled skills that a request names.
     """
-    rows = skills.filter("enabled").select("skill_id", "triggers").limit(1000).collect()
-    hits = []
-    for skill_id, triggers in sorted((r[0], r[1] or []) for r in rows):
-        on = F.lit(False)
-        for t in triggers:
-            if t.strip():
-                on = on | F.contains(F.lower(content), F.lit(t.lower().strip()))
-        hits.append(F.when(on, F.lit(skill_id)))
-    each = F.explode(F.array_compact(F.array(*hits))) if hits else F.explode(F.expr("cast(array() as array<string>)"))
-    return messages.select("chat_id", "pos", each.alias("skill_id"))
+    active = skills.filter("enabled").select("skill_id", F.filter(F.transform("triggers", lambda t: F.trim(F.lower(t))), lambda t: t != "").alias("triggers"))
+    one = active.agg(F.collect_list(F.struct("skill_id", "triggers")).alias("skills"))
+    said = messages.select("chat_id", "pos", F.lower(F.col(content)).alias("said")).join(F.broadcast(one), how="cross")  # one row
+    hit = F.filter("skills", lambda s: F.exists(s["triggers"], lambda t: F.contains("said", t)))
+    found = said.select("chat_id", "pos", F.explode(F.transform(hit, lambda s: s["skill_id"])).alias("skill_id"))
+    if chosen is None:
+        return found
+    named = chosen.join(active.select("skill_id"), "skill_id", "left_semi").select("chat_id", "pos", "skill_id")
+    return found.unionByName(named).distinct()
 
 
 def context_suggestions(current: DataFrame, suggested: DataFrame, replace: bool = False) -> DataFrame:

@@ -2,85 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.functions.text import excerpt, keyword_terms, normalize_text, split_sentences, strip
+from veldspar.functions import rowwise
 
 CHUNK_SIZE, OVERLAP = 900, 180
 
-SPAN = "array<struct<text:string,start_char:int,end_char:int>>"
-
-
-def paragraphs(text: Column) -> Column:
-    """Stripped paragraphs (parted by blank lines) of a normalised text with their spans."""
-    raw = F.split(text, r"\n(?U)\s*\n", -1)
-    gaps = F.regexp_extract_all(text, F.lit(r"(\n(?U)\s*\n)"), F.lit(1))
-    placed = F.aggregate(
-        F.zip_with(raw, gaps, lambda p, g: F.struct(F.coalesce(p, F.lit("")).alias("p"), F.length(F.coalesce(g, F.lit(""))).alias("g"))),
-        F.expr(f"named_struct('at', 0, 'out', cast(array() as {SPAN}))"),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["p"]) + x["g"]).alias("at"),
-            F.when(
-                strip(x["p"]) != "",
-                F.concat(s["out"], F.array(_trimmed(x["p"], s["at"]))),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return placed
-
-
-def _trimmed(text: Column, at: Column) -> Column:
-    inner = strip(text)
-    lead = F.length(text) - F.length(F.regexp_replace(text, r"(?U)\A\s+", ""))
-    return F.struct(inner.alias("text"), (at + lead).cast("int").alias("start_char"), (at + lead + F.length(inner)).cast("int").alias("end_char"))
-
-
-def windows(paragraph: Column, size: int, overlap: int) -> Column:
-    """Fixed windows of one long paragraph, each stripped; the count follows from its length."""
-    last = F.ceil(F.greatest(F.length(paragraph["text"]) - size, F.lit(0)) / (size - overlap)).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: _trimmed(F.substring(paragraph["text"], i * (size - overlap) + 1, F.lit(size)), paragraph["start_char"] + i * (size - overlap)),
-    )
-    return F.filter(cut, lambda c: c["text"] != "")
-
-
-def chunk_spans(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
-    """Chunks of a normalised text: paragraphs packed while they fit, longer ones cut in overlapping windows."""
+
+def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """``docs`` (file_id, filename, text) as chunks: chunk_id, file_id, filename, chunk_index, text, start_char, end_char.
+
+    Paragraphs of the normalised text are packed while they fit, longer ones are cut in overlapping windows. No shuffle: a
+    text is one row and its chunks come of it where it is read.
+    """
     if size <= 0:
         raise ValueError("size must be positive")
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
-    none = F.expr(f"cast(array() as {SPAN})")
-    empty = F.expr("cast(null as struct<text:string,start_char:int,end_char:int>)")
-    flush = lambda s: F.when(s["open"].isNotNull(), F.concat(s["out"], F.array(s["open"]))).otherwise(s["out"])
-
-    def step(s: Column, p: Column) -> Column:
-        joined = F.struct(
-            F.concat(s["open"]["text"], F.lit("\n\n"), p["text"]).alias("text"), s["open"]["start_char"].alias("start_char"), p["end_char"].alias("end_char")
-        )
-        long = F.length(p["text"]) > size
-        fits = s["open"].isNotNull() & (F.length(s["open"]["text"]) + 2 + F.length(p["text"]) <= size)
-        return F.struct(
-            F.when(long, empty).when(fits, joined).otherwise(p).alias("open"),
-            F.when(long, F.concat(flush(s), windows(p, size, overlap))).when(fits, s["out"]).otherwise(flush(s)).alias("out"),
-        )
-
-    return F.aggregate(paragraphs(text), F.struct(empty.alias("open"), none.alias("out")), step, flush)
-
 
-def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` (file_id, filename, text) as chunks: chunk_id, file_id, filename, chunk_index, text, start_char, end_char.
+    def cut(text: str | None) -> Iterator[tuple]:
+        return ((i, *c) for i, c in enumerate(rowwise.chunks(rowwise.normalize(text), size, overlap)))
 
-    No shuffle: a text is one row and its chunks come of it where it is read.
-    """
-    each = docs.select("file_id", "filename", F.posexplode(chunk_spans(normalize_text(F.col("text")), size, overlap)).alias("chunk_index", "c"))
-    return each.select(
-        F.concat_ws(":", F.col("file_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
-        "file_id", "filename", "chunk_index", "c.text", "c.start_char", "c.end_char",
-    )
+    found = rowwise.each(docs.select("file_id", "filename", F.col("text").alias("whole")), "whole", "chunk_index int, text string, start_char int, end_char int", cut)
+    return found.select(F.concat_ws(":", F.col("file_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), *found.columns)
 
 
 def neighbours(chunks: DataFrame, width: int) -> DataFrame:
@@ -99,33 +46,10 @@ def neighbours(chunks: DataFrame, width: int) -> DataFrame:
 
 def keywords(docs: DataFrame, limit: int = 12) -> DataFrame:
     """The most frequent keyword terms of each document: doc_id, rank, term, n (ties by term)."""
-    terms = docs.select("doc_id", F.explode(keyword_terms(normalize_text(F.col("text")))).alias("term"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")
-    counts = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("doc_id", "rank", "term", "n")
-
-
-def sentence_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Sentences of the compacted text: doc_id, position, sentence; one overlong sentence is cut at a word."""
-    from veldspar.functions.text import compact, word_cut
-
-    found = split_sentences(compact(normalize_text(F.col(text))))
-    only = F.get(found, F.lit(0))
-    cut = F.when((F.size(found) == 1) & (F.length(only) > 700), F.array(strip(word_cut(only, 700)))).otherwise(found)
-    return docs.select("doc_id", F.posexplode(cut).alias("position", "sentence"))
+    top = lambda text: ((i + 1, w, n) for i, (w, n) in enumerate(rowwise.keywords(rowwise.normalize(text), limit)))
+    return rowwise.each(docs.select("doc_id", "text"), "text", "rank int, term string, n long", top)
 
 
 def summaries(docs: DataFrame, most: int = 3, limit: int = 600) -> DataFrame:
-    """Extractive summaries: the sentences that share most keywords, in text order. doc_id, summary."""
-    from veldspar.functions.text import token_set
-
-    words = keywords(docs).groupBy("doc_id").agg(F.collect_set("term").alias("keywords"))
-    scored = sentence_rows(docs).join(words, "doc_id", "left").select(
-        "doc_id", "position", "sentence",
-        (F.size(F.array_intersect(token_set(F.col("sentence")), F.coalesce("keywords", F.expr("cast(array() as array<string>)")))) + (F.col("position") == 0).cast("int")).alias("score"),
-    )
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "position")
-    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    joined = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "sentence"))).alias("s"))
-    text = strip(F.array_join(F.transform("s", lambda x: x["sentence"]), " "))
-    return docs.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce(excerpt(text, limit), F.lit("")).alias("summary"))
+    """Extractive summaries, the sentences that share most keywords, in text order: doc_id, summary, keywords (the most frequent first)."""
+    return rowwise.each(docs.select("doc_id", "text"), "text", "summary string, keywords array<string>", lambda text: [rowwise.summary(rowwise.normalize(text), 12, most, limit)])

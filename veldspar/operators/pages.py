@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def decide_pages(
-    pages: DataFrame, force: bool = False, min_chars: int = 50, min_ink: float = 0.005, flood: int = 30
+    pages: DataFrame, force: bool = False, min_chars: int = 50, min_ink: float = 0.005, flood: int = 30, made: str | None = None
 ) -> DataFrame:
     """How each page is read: rendered whole for recognition, its text kept, both, or left blank.
 
     ``pages`` has doc_id, page_index, chars (of native text), trusted, images, ink (share of dark pixels). A document whose first page is
     untrusted or flooded with images is rendered throughout. Adds action (render, text, hybrid, blank) and reason;
-    where several hold, untrusted text comes before a flood, that before missing text, that before little text.
+    where several hold, untrusted text comes before a flood, that before missing text, that before little text. ``made`` names a column with the
+    number of blocks that reading the text gave, if that is known: a page that gave none is rendered if it has any ink, and else is blank.
     """
     sick = ~F.col("trusted") | (F.col("images") > flood)
     first = F.max(F.when(F.col("page_index") == 0, sick).otherwise(False)).over(Window.partitionBy("doc_id"))
@@ -30,9 +34,69 @@ def decide_pages(
         .when(short & ink, "low_text")
     )
     action = F.when(reason.isNotNull(), "render").when((F.col("chars") == 0) & (F.col("images") == 0), "blank").when(F.col("images") > 0, "hybrid").otherwise("text")
+    if made is not None:
+        nothing = reason.isNull() & (F.col(made) == 0)
+        action = F.when(nothing & ink, "render").when(nothing, "blank").otherwise(action)
+        reason = F.when(nothing & ink, "safety_net_force_render").otherwise(reason)
     return pages.withColumn("action", action).withColumn("reason", reason)
 
 
+@F.pandas_udf(DoubleType())
+def _density(pixels: pd.Series, white: pd.Series) -> pd.Series:
+    return pd.Series([float((np.frombuffer(p, np.uint8) < w).mean()) if p else 0.0 for p, w in zip(pixels, white, strict=True)])
+
+
+def visual_density(pixels: Column, white: int = 250) -> Column:
+    """Share of the pixels of a grey image (a byte each) that are darker than ``white``; 0 for none."""
+    return _density(pixels, F.lit(white))
+
+
+def reading_order(blocks: DataFrame, by: str = "page_index") -> DataFrame:
+    """Blocks (doc_id, page_index, y, block_pos and any others) with their place on the page from the top; those of one height stay in order."""
+    order = Window.partitionBy("doc_id", by).orderBy("y", "block_pos")
+    return blocks.withColumn("place", F.row_number().over(order))
+
+
+def settle_blocks(blocks: DataFrame, fallback: str) -> DataFrame:
+    """What becomes of image blocks whose backend has answered or refused: adds final_text, final_backend, error.
+
+    ``blocks`` has backend, probe_text (null without a probe), text, status (null if it answered, else what it failed with, 0 without any
+    answer). A refusal for good of a block that was probed leaves the probe; any other failure a comment.
+    """
+    refused = F.col("status").between(400, 499) & F.col("probe_text").isNotNull() & (F.col("backend") != fallback)
+    failed = F.col("status").isNotNull() & ~refused
+    what = F.concat(F.lit("status "), F.col("status").cast("string"))
+    return (
+        blocks.withColumn("final_text", F.when(failed, F.concat(F.lit("<!-- OCR failed: "), what, F.lit(" -->"))).otherwise(F.trim(F.when(refused, F.col("probe_text")).otherwise(F.col("text")))))
+        .withColumn("final_backend", F.when(failed, F.lit(None)).when(refused, F.lit(fallback)).otherwise(F.col("backend")))
+        .withColumn("error", F.when(failed, what))
+    )
+
+
+def histograms(blocks: DataFrame, default: str = "Latin") -> DataFrame:
+    """Blocks of each document by script and by what read them: doc_id, scripts, buckets (maps), dominant_script.
+
+    ``blocks`` has page_index, block_pos, source (ocr or native), script, backend. The script of most blocks is dominant, the one met first among
+    equals; native text has a bucket of its own.
+    """
+    placed = blocks.withColumn("script", F.coalesce("script", F.lit(default))).withColumn("bucket", F.when(F.col("source") == "ocr", F.coalesce("backend", F.lit("default"))).otherwise("native_text"))
+
+    def counted(column: str) -> DataFrame:
+        n = placed.groupBy("doc_id", column).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_index", "block_pos")).alias("first"))
+        return n.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", F.col(column).alias("name")))).alias(f"{column}s"))
+
+    as_map = lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["name"], -x["n"])))
+    both = counted("script").join(counted("bucket"), "doc_id")
+    return both.select("doc_id", as_map("scripts").alias("scripts"), as_map("buckets").alias("buckets"), F.get("scripts", F.lit(0))["name"].alias("dominant_script"))
+
+
+def counters(blocks: DataFrame, timings: DataFrame) -> DataFrame:
+    """Pages, blocks and seconds of each document, as its sidecar tells them: ``timings`` has doc_id, stage, seconds."""
+    n = blocks.groupBy("doc_id").agg(F.count_distinct("page_index").alias("pages"), F.count_if(F.col("source") == "ocr").alias("ocr_blocks"))
+    spent = timings.groupBy("doc_id").agg(F.round(F.sum("seconds"), 3).alias("seconds"), F.max_by("stage", F.struct("seconds", "stage")).alias("slowest"))
+    return n.join(spent, "doc_id", "left")
+
+
 def route_blocks(blocks: DataFrame, backends: Mapping[str, str], fallback: str, mode: str = "surrounding_text", min_tokens: int = 8) -> DataFrame:
     """The recognition backend of each image block, by the script around it or by a probe.
 

@@ -155,7 +155,13 @@ QUERIES = {
                 f"l as (select chat_id, pos, role || ': ' || case when length({_RC}) > 240 then {S.word_cut(_RC, 240)} || '...' else {_RC} end as line from o)")
         + f"select chat_id, count(*) as folded, right({S.strip('string_agg(line, chr(10) order by pos)')}, 3000) as summary from l group by chat_id",
     ),
-    "memory_extract": (memory_extract, None),
+    "memory_extract": (
+        memory_extract,
+        S.with_(_MSG, f"c as (select chat_id, pos, {S.compact("(['Remember that ', 'My favourite word is ', 'I prefer ', 'please call me '])[pos % 4 + 1] || content || '. Thanks!'")} as c from m where role = 'user')",
+                f"x as (select chat_id, pos, trim(case pos % 4 when 0 then {S.strip("regexp_extract(c, '^Remember that ([^.?!]+)', 1)")} when 1 then 'User''s favourite word is ' || {S.strip("regexp_extract(c, '^My favourite word is ([^.?!]+)', 1)")}"
+                f" when 2 then 'User prefers ' || {S.strip("regexp_extract(c, '^I prefer ([^.?!]+)', 1)")} else 'User wants to be called ' || {S.strip("regexp_extract(c, '^please call me ([^.?!]+)', 1)")} end, ' ,;:') as x from c)")
+        + "select chat_id, pos, 0 as item, upper(left(x, 1)) || substr(x, 2) as memory from x where length(x) >= 4",
+    ),
     "memory_block": (
         memory_block,
         S.with_(_MSG, f"l as (select chat_id, pos, '- ' || {S.strip('content')} as line from m qualify row_number() over (partition by chat_id order by pos desc) <= 4)",
@@ -179,7 +185,16 @@ QUERIES = {
         "with r as (select doc_id as message_id, case when quality = 1 then 'up' else 'down' end as rating, case when doc_id % 2 = 0 then 'helpful' else 'citation' end as tags, doc_id % 97 as updated_at from labels),"
         " f as (select *, count(*) over () as total from r where rating = 'down' and tags = 'helpful') select * from f order by updated_at desc, message_id limit 20",
     ),
-    "plan_queries": (plan_queries, None),
+    "plan_queries": (
+        plan_queries,
+        S.with_(_MSG, f"sys as (select chat_id, pos, role, content, string_agg(case when role = 'system' and {S.strip('content')} <> '' then {S.strip('content')} end, chr(10) || chr(10)) over (partition by chat_id order by pos rows between unbounded preceding and 1 preceding) as raw from m)",
+                f"u0 as (select chat_id, pos, content, {S.compact("coalesce(raw, '')")} as h, lag(content) over w as p1, lag(content, 2) over w as p2 from sys where role = 'user' window w as (partition by chat_id order by pos))",
+                "u as (select *, case when length(h) > 500 then regexp_replace(right(h, 500), '^[^ ]* ', '') else h end as hint,"
+                f" (len(list_filter(string_split({S.compact('lower(content)')}, ' '), lambda x: x <> '')) <= 5 or regexp_matches({S.strip('lower(content)')}, '^(and |what about|how about|then |also |compare|same for)')) as follow from u0)",
+                f"p as (select chat_id, pos, list_filter(list_transform([case when follow and hint <> '' then hint || chr(10) || content end, case when follow then p1 || chr(10) || content end, content, coalesce(p2 || chr(10), '') || p1 || chr(10) || content, case when hint <> '' then hint || chr(10) || content end], lambda x: {S.compact('x')}), lambda x: x is not null and x <> '') as l from u)",
+                "d as (select chat_id, pos, list_filter(l, lambda x, i: list_position(l, x) = i)[1:3] as l from p)")
+        + "select chat_id, pos, cast(unnest(range(len(l))) as int) as plan_pos, unnest(l) as query from d",
+    ),
     "tool_trigger": (
         tool_trigger,
         S.with_(_MSG, "t as (select chat_id, pos, content || ([' what is 3 * 4', ' list my files', ' how many chunks', ' the date'])[chat_id % 4 + 1] as c from m)")
@@ -211,5 +226,9 @@ QUERIES = {
     "replace_chunks": (replace_chunks, S.with_(S.CHUNKS) + "select chunk_id, file_id, chunk_index from chunks where file_id % 7 <> 0 or chunk_index = 0"),
     "delete_files": (delete_files, S.with_(S.CHUNKS) + "select chunk_id, file_id from chunks where file_id not in (select doc_id from documents where lang = 'fr')"),
     "list_files": (list_files, "select source, row_number() over (partition by source order by doc_id desc) as r, doc_id, count(*) over (partition by source) as total from documents qualify r <= 10"),
-    "clean_tags": (clean_tags, None),
+    "clean_tags": (
+        clean_tags,
+        f"with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: left({S.compact('lower(x)')}, 80)), lambda x: x <> '') as l from documents)"
+        " select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:20], '|') as tags from l",
+    ),
 }

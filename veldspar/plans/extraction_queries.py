@@ -26,14 +26,14 @@ def html_to_markdown(spark, d):
 
 def clean_markdown(spark, d):
     """The chain without tables and entities, on documents made untidy."""
-    raw = F.concat(F.lit("#Title\t  x\r\n"), F.regexp_replace("text", r" (\w+)\.", " <b>$1</b> ....... "), F.lit("\n\n\n\n|  | |\n| a |b|\n_______ ( q ) <br/>end"))
+    raw = F.concat(F.lit("#Title\t  x\r\n"), F.regexp_replace("text", r" ([a-zA-Z0-9_]+)\.", " <b>$1</b> ....... "), F.lit("\n\n\n\n|  | |\n| a |b|\n_______ ( q ) <br/>end"))
     clean = cleaning.clean_markdown(raw, tables=False)
     return documents(spark, d).select("doc_id", F.length(clean).alias("chars"), F.md5(clean.cast("binary")).alias("digest"))
 
 
 def clean_tables(spark, d):
     raw = F.concat(F.lit("before"), F.lit(_TABLE), F.col("text"))
-    return documents(spark, d).select("doc_id", cleaning.clean_markdown(raw).alias("clean"))
+    return documents(spark, d).select("doc_id", F.md5(cleaning.clean_markdown(raw).cast("binary")).alias("clean"))
 
 
 def plain_lines(spark, d):
@@ -54,6 +54,64 @@ def page_decision(spark, d):
     return pages.decide_pages(_features(spark, d)).select("doc_id", "page_index", "action", "reason")
 
 
+def page_safety_net(spark, d):
+    """Pages of which it is known how many blocks their text gave."""
+    made = _features(spark, d).withColumn("made", (F.col("page_index") % 3).cast("int"))
+    return pages.decide_pages(made, made="made").select("doc_id", "page_index", "action", "reason")
+
+
+def visual_density(spark, d):
+    """The digits of a digest as dark pixels."""
+    return documents(spark, d).select("doc_id", pages.visual_density(F.md5(F.col("text").cast("binary")).cast("binary"), 97).alias("density"))
+
+
+def reading_order(spark, d):
+    b = _blocks(spark, d).withColumn("y", F.length("text") % 50)
+    return pages.reading_order(b).select("doc_id", "page_index", "block_pos", "place")
+
+
+def settled_blocks(spark, d):
+    b = _blocks(spark, d).select(
+        "doc_id", "block_pos", F.when(F.col("block_pos") % 2 == 0, "a").otherwise("b").alias("backend"), F.when(F.col("block_pos") % 3 > 0, F.lit(" probe ")).alias("probe_text"), "text",
+        F.element_at(F.array(F.lit(None).cast("int"), F.lit(413), F.lit(503), F.lit(None).cast("int"), F.lit(0)), (F.col("doc_id") % 5 + 1).cast("int")).alias("status"),
+    )
+    return pages.settle_blocks(b, "a").select("doc_id", "block_pos", "final_text", "final_backend", "error")
+
+
+def extraction_histograms(spark, d):
+    b = _blocks(spark, d).withColumn("backend", F.when(F.col("block_pos") % 4 == 0, "eu").when(F.col("block_pos") % 4 == 2, "asia"))
+    out = pages.histograms(b)
+    told = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return out.select("doc_id", told("scripts").alias("scripts"), told("buckets").alias("buckets"), "dominant_script")
+
+
+def sidecar_counters(spark, d):
+    b = _blocks(spark, d)
+    return pages.counters(b, b.select("doc_id", F.concat(F.lit("stage"), (F.col("block_pos") % 3).cast("string")).alias("stage"), (F.length("text") / 8.0).alias("seconds")))
+
+
+def _job_files(spark, d) -> tuple:
+    """Chats as jobs whose turns are attachments; every fifth has no data."""
+    items = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("t"), F.col("turn").cast("string").alias("attachment_id"), F.col("role").alias("title")))).alias("a"))
+    attachments = F.transform("a", lambda x: F.struct(x["attachment_id"].alias("attachment_id"), x["title"].alias("title")))
+    data = F.when(F.col("conv_id") % 5 > 0, F.to_json(F.struct(F.lit("u").alias("user_id"), F.col("conv_id").cast("string").alias("message_id"), attachments.alias("attachments"))))
+    results = table(spark, d, "conversations").filter("conv_id % 3 > 0 or turn % 2 = 0").select(F.col("conv_id").alias("job_id"), F.col("turn").cast("string").alias("attachment_id"), F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") % 2 == 1), F.concat(F.lit("bad "), F.col("turn").cast("string"))).alias("error"))
+    return jobs.validate(items.select(F.col("conv_id").alias("job_id"), data.alias("data"))), results
+
+
+def job_statuses(spark, d):
+    return jobs.statuses(*_job_files(spark, d))[0]
+
+
+def file_statuses(spark, d):
+    return jobs.statuses(*_job_files(spark, d))[1]
+
+
+def attachment_order(spark, d):
+    r = table(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), (-F.col("turn")).alias("idx"), "role")
+    return jobs.ordered_results(r).select("job_id", F.array_join(F.transform("results", lambda x: x["role"]), ",").alias("roles"))
+
+
 _SCRIPTS = ("Latin", "Arabic", "Han", None)
 
 
@@ -81,7 +139,7 @@ def render_markdown(spark, d):
 
 
 def sidecar(spark, d):
-    return pages.sidecar(_blocks(spark, d)).select("doc_id", F.length("blocks").alias("chars"))
+    return pages.sidecar(_blocks(spark, d))
 
 
 def image_fit(spark, d):
@@ -144,15 +202,45 @@ def format_registry(spark, d):
 _FEAT = "f as (select user_id as doc_id, event_id as page_index, case when event_id % 7 < 2 then 0 else cast(floor(value) as int) end as chars, event_type <> 'error' as trusted, case when event_id % 7 = 3 then 40 else event_id % 7 end as images, event_id % 100 / 1000 as ink from events)"
 _BLK = "b as (select conv_id as doc_id, turn % 3 as page_index, 'page ' || (turn % 3 + 1) as page_label, turn as block_pos, text, role, case when turn % 2 = 0 then 'Latin' else 'Han' end as script from conversations)"
 
+_BARE = (
+    "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'),"
+    " '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), " + S.SPACE + ") || chr(10)"
+)
+
+
+def _cleaned(rows: str, key: str) -> str:
+    """The cleaning chain of ``rows`` (key, t) without entities and tables, as ``cleaned``."""
+    def subs(text: str, rules: list[tuple[str, str]]) -> str:
+        for pattern, new in rules:
+            text = f"regexp_replace({text}, '{pattern}', {new}, 'g')"
+        return text
+
+    plain = "regexp_replace(replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), ' '), '[\\x00-\\x09\\x0b-\\x1f]', '', 'g')"
+    tags = [(r"(?i)<br\s*/?>", "chr(10)"), (r"(?is)<b[^>]*>(.*?)</b>", r"'**\1**'"), (r"<[^>]+>", "''")]
+    marks = [(r"\.{5,}", "'...'"), (r"={5,}", "'---'"), (r"_{5,}", "'---'"), (r"-{5,}", "'---'"), (r"\s+([,.;:!?])", r"'\1'"), (r"([(\[{])\s+", r"'\1'"), (r"\s+([)\]}])", r"'\1'")]
+    cell = f"list_transform(string_split(trim(s, '|'), '|'), lambda c: {S.strip('c')})"
+    table = "(starts_with(s, '|') and ends_with(s, '|'))"
+    lines = f"list_transform(string_split({subs(subs(plain, tags), marks)}, chr(10)), lambda s: {S.strip('s')})"
+    kept = f"list_filter(l, lambda s: not ({table} and len(list_filter({cell}, lambda c: c <> '')) = 0))"
+    even = f"list_transform({kept}, lambda s: case when {table} then '| ' || array_to_string({cell}, ' | ') || ' |' else s end)"
+    spaced = f"list_transform({even}, lambda s: {S.strip(subs('s', [('^(#{1,6})([^ #])', chr(39) + chr(92) + '1 ' + chr(92) + '2' + chr(39)), (' {2,}', chr(39) + ' ' + chr(39))]))})"
+    joined = subs(f"array_to_string({spaced}, chr(10))", [(r"[ \t]*\n[ \t]*", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)")])
+    return f"split as (select {key}, {lines} as l from {rows}),\ncleaned as (select {key}, {S.strip(joined)} || chr(10) as t from split)"
+
+
 QUERIES = {
-    "strip_html": (
-        strip_html,
-        "with x as (select page_id, " + S.compact(r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')")
-        + " as t from pages) select page_id, length(t) as chars, md5(t) as digest from x",
-    ),
+    "strip_html": (strip_html, f"with x as (select page_id, {_BARE} as t from pages) select page_id, length(t) as chars, md5(t) as digest from x"),
     "html_to_markdown": (html_to_markdown, None),
-    "clean_markdown": (clean_markdown, None),
-    "clean_tables": (clean_tables, None),
+    "clean_markdown": (
+        clean_markdown,
+        "with r as (select doc_id, '#Title' || chr(9) || '  x' || chr(13) || chr(10) || regexp_replace(text, ' ([a-zA-Z0-9_]+)\\.', ' <b>\\1</b> ....... ', 'g') || chr(10) || chr(10) || chr(10) || chr(10) || '|  | |' || chr(10) || '| a |b|' || chr(10) || '_______ ( q ) <br/>end' as t from documents),\n"
+        + _cleaned("r", "doc_id") + "\nselect doc_id, length(t) as chars, md5(t) as digest from cleaned",
+    ),
+    "clean_tables": (
+        clean_tables,
+        "with r as (select doc_id, 'before' || chr(10) || chr(10) || '| a | b |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 1 | x\\|y | & |' || chr(10) || '| 1 | z |  |' || chr(10) || chr(10) || text as t from documents),\n"
+        + _cleaned("r", "doc_id") + "\nselect doc_id, md5(t) as clean from cleaned",
+    ),
     "plain_lines": (
         plain_lines,
         f"with l as (select doc_id, list_filter(list_transform(string_split('# Head' || chr(10) || chr(10) || '## ' || text, chr(10)), lambda s: {S.strip('s')}), lambda s: s <> '') as x from documents)"
@@ -178,7 +266,50 @@ QUERIES = {
         S.with_(_BLK, "w as (select *, row_number() over (partition by doc_id, page_index order by block_pos) = 1 as first from b)")
         + "select doc_id, '# chat ' || doc_id || chr(10) || chr(10) || string_agg(case when first then '### ' || page_label || chr(10) || chr(10) else '' end || text, chr(10) || chr(10) order by page_index, block_pos) as markdown from w group by doc_id",
     ),
-    "sidecar": (sidecar, None),
+    "page_safety_net": (
+        page_safety_net,
+        S.with_(_FEAT, "k as (select *, not trusted or images > 30 as sick, ink >= 0.005 as inked from f)", "w as (select *, max(case when page_index = 0 then sick else false end) over (partition by doc_id) as first from k)",
+                "r as (select *, case when not trusted then 'untrusted_text' when images > 30 then 'image_flood' when first then 'first_page' when chars = 0 and inked then 'no_text' when chars < 50 and inked then 'low_text' end as why from w)")
+        + "select doc_id, page_index, case when why is null and page_index % 3 = 0 then case when inked then 'render' else 'blank' end when why is not null then 'render' when chars = 0 and images = 0 then 'blank' when images > 0 then 'hybrid' else 'text' end as action,"
+        " case when why is null and page_index % 3 = 0 and inked then 'safety_net_force_render' else why end as reason from r",
+    ),
+    "visual_density": (visual_density, "select doc_id, length(regexp_replace(md5(text), '[^0-9]', '', 'g')) / 32.0 as density from documents"),
+    "reading_order": (reading_order, S.with_(_BLK) + "select doc_id, page_index, block_pos, row_number() over (partition by doc_id, page_index order by length(text) % 50, block_pos) as place from b"),
+    "settled_blocks": (
+        settled_blocks,
+        S.with_(_BLK, "x as (select doc_id, block_pos, text, case when block_pos % 2 = 0 then 'a' else 'b' end as backend, case when block_pos % 3 > 0 then ' probe ' end as probe, ([null, 413, 503, null, 0])[doc_id % 5 + 1] as status from b)",
+                "y as (select *, coalesce(status between 400 and 499 and probe is not null and backend <> 'a', false) as refused from x)")
+        + "select doc_id, block_pos, case when refused then 'probe' when status is not null then '<!-- OCR failed: status ' || status || ' -->' else trim(text) end as final_text, case when refused then 'a' when status is null then backend end as final_backend, case when not refused and status is not null then 'status ' || status end as error from y",
+    ),
+    "extraction_histograms": (
+        extraction_histograms,
+        S.with_(_BLK, "x as (select doc_id, page_index, block_pos, script, case when role <> 'user' then 'native_text' when block_pos % 4 = 0 then 'eu' when block_pos % 4 = 2 then 'asia' else 'default' end as bucket from b)",
+                "sc as (select doc_id, script, count(*) as n, min(page_index * 1000 + block_pos) as f from x group by all)", "bu as (select doc_id, bucket, count(*) as n from x group by all)",
+                "s1 as (select doc_id, string_agg(script || '=' || n, ',' order by script || '=' || n) as scripts, arg_max(script, n * 100000 - f) as dominant_script from sc group by doc_id)",
+                "b1 as (select doc_id, string_agg(bucket || '=' || n, ',' order by bucket || '=' || n) as buckets from bu group by doc_id)")
+        + "select doc_id, scripts, buckets, dominant_script from s1 join b1 using (doc_id)",
+    ),
+    "sidecar_counters": (
+        sidecar_counters,
+        S.with_(_BLK) + "select doc_id, count(distinct page_index) as pages, count(*) filter (role = 'user') as ocr_blocks, round(sum(length(text) / 8.0), 3) as seconds, arg_max('stage' || (block_pos % 3), {'a': length(text) / 8.0, 'b': 'stage' || (block_pos % 3)}) as slowest from b group by doc_id",
+    ),
+    "job_statuses": (
+        job_statuses,
+        "with r as (select conv_id, turn, conv_id % 5 = 0 as bad, conv_id % 3 > 0 or turn % 2 = 0 as told, conv_id % 7 = 0 and turn % 2 = 1 and (conv_id % 3 > 0 or turn % 2 = 0) as failed from conversations),"
+        " j as (select conv_id as job_id, bool_or(bad) as bad, count(*) filter (not told) as open, min(turn) filter (failed) as first from r group by conv_id),"
+        " k as (select job_id, case when bad then 'missing data' when first is not null then 'bad ' || first end as why, open from j)"
+        " select job_id, case when why is not null then 'failed' when open > 0 then 'Extracting' else 'extraction_success' end as status, case when why is null and open > 0 then 'Extracting files' else '' end as ui, why as error_reason, case when why is not null then 'file_extractor' end as current_stage from k",
+    ),
+    "file_statuses": (
+        file_statuses,
+        "select conv_id as job_id, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as idx, cast(turn as varchar) as attachment_id, case when not (conv_id % 3 > 0 or turn % 2 = 0) then 'extracting' when conv_id % 7 = 0 and turn % 2 = 1 then 'failed' else 'done' end as status,"
+        " case when (conv_id % 3 > 0 or turn % 2 = 0) and conv_id % 7 = 0 and turn % 2 = 1 then 'bad ' || turn end as error from conversations where conv_id % 5 > 0",
+    ),
+    "attachment_order": (attachment_order, "select conv_id as job_id, string_agg(role, ',' order by turn desc) as roles from conversations group by conv_id"),
+    "sidecar": (
+        sidecar,
+        S.with_(_BLK) + """select doc_id, '[' || string_agg('{"page_index":' || page_index || ',"block_pos":' || block_pos || ',"type":"text","source":"' || case when role = 'user' then 'ocr' else 'native' end || '","char_count":' || length(text) || ',"script":"' || script || '"}', ',' order by page_index, block_pos) || ']' as blocks from b group by doc_id""",
+    ),
     "image_fit": (
         image_fit,
         "with s as (select p_partkey, p_size * 100 as w, p_partkey % 5000 + 10 as h from part), a as (select *, floor(w * least(1.0::double, 1540.0::double / greatest(w, h))) as w1, floor(h * least(1.0::double, 1540.0::double / greatest(w, h))) as h1 from s)"

@@ -30,11 +30,9 @@ def ingest(documents: DataFrame, options: Options = Options()) -> Index:
     """
     parts = C.chunk_documents(documents.select("file_id", "filename", "text"), options.chunk_size, options.chunk_overlap)
     named = documents.select(F.col("file_id").alias("doc_id"), "text")
-    words = C.keywords(named).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
     counts = parts.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     table = (
         documents.select("file_id", "filename", "created_at", F.length(T.normalize_text(F.col("text"))).alias("text_chars"))
-        .join(words.select(F.col("doc_id").alias("file_id"), F.transform("k", lambda x: x["term"]).alias("keywords")), "file_id", "left")
         .join(C.summaries(named).withColumnRenamed("doc_id", "file_id"), "file_id", "left")
         .join(counts, "file_id", "left")
     )
@@ -78,7 +76,8 @@ def candidates(planned: DataFrame, index: Index, options: Options, scope: DataFr
         inside = located.join(allowed, ["query_id", "file_id"], "left_semi").drop("file_id")
         return inside.unionByName(pairs.join(whole, "query_id", "left_semi"))
 
-    keyword = search.keyword_ranks(within(search.bm25(q, index.chunks)), max(3 * k, 10)) if options.mode != "vector" else None
+    hits = search.oversampled(k)
+    keyword = search.keyword_ranks(search.bm25_top_k(q, index.chunks, hits, allowed), hits) if options.mode != "vector" else None
     if options.mode == "keyword":
         scored = search.hybrid(None, None, keyword, "keyword", options.relevance_threshold)
     else:

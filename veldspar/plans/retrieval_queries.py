@@ -19,11 +19,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_top(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    """The best chunks of each question by shared tokens: query_id, rank, chunk_id, score, file_id, chunk_index, text."""
-    chunks = document_chunks(spark, sf_dir)
-    scored = search.lexical(questions(spark, sf_dir), chunks).select("query_id", "chunk_id", F.round("lexical_score", 5).alias("score"))
-    best = search.top_k(scored.filter(F.col("score") >= search.THRESHOLD), k)
-    return best.join(chunks.select("chunk_id", "file_id", "filename", "chunk_index", "text"), "chunk_id")
+    """The best chunks of each question by shared tokens: query_id, rank, chunk_id, score, file_id, filename, chunk_index, text."""
+    return search.lexical_top_k(questions(spark, sf_dir), document_chunks(spark, sf_dir).select("chunk_id", "file_id", "filename", "chunk_index", "text"), k)
 
 
 _TOP_SQL = S.with_(
@@ -46,23 +43,15 @@ def lexical_overlap_topk(spark, d):
 
 
 def bm25_topk(spark, d):
-    scored = search.bm25(questions(spark, d), document_chunks(spark, d)).withColumn("score", F.round("score", 6))
-    return search.top_k(scored, 10)
+    return search.top_k(search.bm25_top_k(questions(spark, d), document_chunks(spark, d), 10, places=6), 10)
 
 
 def keyword_rank_score(spark, d):
-    return search.keyword_ranks(search.bm25(questions(spark, d), document_chunks(spark, d)), 15)
+    return search.keyword_ranks(search.bm25_top_k(questions(spark, d), document_chunks(spark, d), 15), 15)
 
 
 def cosine_topk(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), "vec_id")
-    q = v.filter("vec_id < 25").select(F.col("vec_id").cast("long").alias("query_id"), "vector")
-    best = search.dense_top_k(q, v.select("chunk_id", "vector"), 10)
-    return best.select("query_id", "chunk_id", F.round("cosine", 4).alias("cosine"))
-
-
-def cosine_topk_all(spark, d):
-    """Every vec_id that 20 divides asks, against all rows; ``cosine_topk`` has the few queries of its SQL."""
+    """Every vec_id that 20 divides asks, against all rows."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), "vec_id")
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("query_id"), "vector")
     best = search.dense_top_k(q, v.select("chunk_id", "vector"), 10)
@@ -73,7 +62,7 @@ def hybrid_topk(spark, d):
     """Blend of the lexical share and keyword rank; embeddings here belong to other rows, so the dense part is a digest."""
     q, chunks = questions(spark, d), document_chunks(spark, d)
     lex = search.lexical(q, chunks)
-    kw = search.keyword_ranks(search.bm25(q, chunks), 45)
+    kw = search.keyword_ranks(search.bm25_top_k(q, chunks, 45), 45)
     dense = lex.select("query_id", "chunk_id", (F.ascii(F.md5(F.col("chunk_id").cast("binary"))) / 1000.0).alias("cosine"))
     return search.top_k(search.hybrid(dense, lex, kw), 15)
 
@@ -83,8 +72,7 @@ def _candidates(spark, d) -> DataFrame:
     q = questions(spark, d)
     half = q.select((F.col("query_id") + 100000).alias("query_id"), F.left("query", F.floor(F.length("query") / 2).cast("int")).alias("query"))
     chunks = document_chunks(spark, d)
-    scored = search.lexical(q.unionByName(half), chunks).select("query_id", "chunk_id", F.round("lexical_score", 5).alias("score"))
-    best = search.top_k(scored, 15)
+    best = search.lexical_top_k(q.unionByName(half), chunks.select("chunk_id", "text"), 15, 0.0)
     return best.select(
         (F.col("query_id") % 100000).alias("query_id"), "chunk_id", (F.floor(F.col("query_id") / 100000) * 100 + F.col("rank")).cast("int").alias("ord"), "score", F.lit(1).alias("query_hits")
     )
@@ -119,10 +107,9 @@ def rerank(spark, d):
 
 
 def per_file_cap(spark, d):
-    ranked = _reranked(spark, d)
-    order = Window.partitionBy("query_id", "file_id").orderBy("rank")
-    kept = ranked.withColumn("r", F.row_number().over(order)).filter("r <= 1")
-    return kept.select("query_id", "chunk_id", "file_id", F.round("score", 9).alias("score"))
+    """One chunk a file by the operator; neither the budget nor the number binds."""
+    ranked = _reranked(spark, d).withColumn("file_id", F.col("file_id").cast("long"))
+    return selection.select_within_budget(ranked, 1000, 10_000_000, 1).select("query_id", "position", "chunk_id", "file_id", "score")
 
 
 def budget_select(spark, d):
@@ -161,13 +148,9 @@ def auto_context_mode(spark, d):
 
 def _file_table(spark, d) -> DataFrame:
     docs = documents(spark, d)
-    words = C.keywords(docs).groupBy("doc_id").agg(F.collect_list("term").alias("keywords"))
     name = F.concat(F.col("source"), F.lit("-"), F.col("lang"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    summary = C.summaries(docs)
     base = docs.select("doc_id", name.alias("filename"))
-    return base.join(words, "doc_id", "left").join(summary, "doc_id").select(
-        F.col("doc_id").alias("file_id"), "filename", F.coalesce("keywords", F.expr("cast(array() as array<string>)")).alias("keywords"), "summary", F.col("doc_id").alias("created_at")
-    )
+    return base.join(C.summaries(docs), "doc_id").select(F.col("doc_id").alias("file_id"), "filename", "keywords", "summary", F.col("doc_id").alias("created_at"))
 
 
 def file_search(spark, d):
@@ -177,7 +160,7 @@ def file_search(spark, d):
 
 def filename_narrowing(spark, d):
     """Each question asked of some source and number, as a file name would be."""
-    q = questions(spark, d).select("query_id", F.concat(F.lit("what does src"), (F.col("query_id") % 20).cast("string"), F.lit("-"), (F.col("query_id") * 7).cast("string"), F.lit(".txt say on "), F.left("query", F.lit(40))).alias("query"))
+    q = questions(spark, d).select("query_id", F.concat(F.lit("what does src"), (F.col("query_id") % 20).cast("string"), F.lit("-"), (F.col("query_id") * 7).cast("string"), F.lit(".txt say on "), F.col("query")).alias("query"))
     return files.narrow_by_filename(q, document_files(spark, d))
 
 
@@ -256,7 +239,7 @@ def extractive_answer(spark, d):
 def prompt_assembly(spark, d):
     top = lexical_top(spark, d).withColumnRenamed("rank", "position")
     p = evidence.prompts(questions(spark, d), top, "Answer from the sources.", "Context:\n{context}\n\nQuestion: {question}")
-    return p.select("query_id", F.length("prompt").alias("chars"))
+    return p.select("query_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
 def minimum_answerability(spark, d):
@@ -305,10 +288,9 @@ QUERIES = {
     ),
     "cosine_topk": (
         cosine_topk,
-        "with p as (select q.vec_id as query_id, cast(v.vec_id as varchar) as chunk_id, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) as c from embeddings q, embeddings v where q.vec_id < 25)"
+        "with p as (select q.vec_id as query_id, cast(v.vec_id as varchar) as chunk_id, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) as c from embeddings q, embeddings v where q.vec_id % 20 = 0)"
         " select query_id, chunk_id, round(c, 4) as cosine from p qualify row_number() over (partition by query_id order by c desc, chunk_id) <= 10",
     ),
-    "cosine_topk_all": (cosine_topk_all, None),
     "hybrid_topk": (
         hybrid_topk,
         S.with_(
@@ -321,7 +303,11 @@ QUERIES = {
     ),
     "fuse_candidates": (fuse_candidates, _CANDIDATES + "select * from fused"),
     "rerank": (rerank, _CANDIDATES + "select query_id, rank, chunk_id, round(score, 9) as score from reranked"),
-    "per_file_cap": (per_file_cap, _CANDIDATES + "select query_id, chunk_id, file_id, round(score, 9) as score from reranked qualify row_number() over (partition by query_id, file_id order by rank) <= 1"),
+    "per_file_cap": (
+        per_file_cap,
+        _CANDIDATES.rstrip() + ",\nfirsts as (select * from reranked qualify row_number() over (partition by query_id, file_id order by rank) <= 1)\n"
+        "select query_id, cast(row_number() over (partition by query_id order by rank) as int) as position, chunk_id, file_id, round(score, 5) as score from firsts",
+    ),
     "budget_select": (budget_select, None),
     "mmr_select": (mmr_select, None),
     "window_expand": (
@@ -334,7 +320,7 @@ QUERIES = {
         S.with_(_CANDIDATES[5:], "er as (select *, row_number() over (partition by query_id order by score desc, ord) as rank from fused qualify rank <= 10)",
                 "ch as (select query_id, chunk_id from best where rank <= 5 and query_id < 100000 and score >= 0.05)",
                 f"em as (select e.query_id, e.chunk_id, e.rank, e.score, e.query_hits, list_sort(list_intersect({S.meaningful('query')}, {S.meaningful('c.text')})) as m, ch.chunk_id is not null as selected from er e join base using (query_id) join chunks c on c.chunk_id = e.chunk_id left join ch on ch.query_id = e.query_id and ch.chunk_id = e.chunk_id)")
-        + "select query_id, chunk_id, rank, score, selected, array_to_string(m, ' ') as matched_terms, array_to_string(list_filter(['query_hits=' || query_hits, case when len(m) > 0 then 'matched_terms=' || len(m) end, case when selected then 'selected' end], lambda x: x is not null), ' ') as reasons from em",
+        + "select query_id, chunk_id, rank, score, selected, array_to_string(m, ' ') as matched_terms, concat_ws(' ', 'score=' || score, case when query_hits > 1 then 'query_hits=' || query_hits end, case when len(m) > 0 then 'matched_terms=' || len(m) end, case when selected then 'selected_for_context' else 'not_selected' end) as reasons from em",
     ),
     "full_context": (
         full_context,
@@ -349,7 +335,7 @@ QUERIES = {
     "file_search": (file_search, S.with_(_FILES) + "select query_id, rank, file_id, score, matched_terms, reasons from franked where rank <= 10"),
     "filename_narrowing": (
         filename_narrowing,
-        "with q as (select item_id as query_id, array_to_string(regexp_extract_all(translate(lower('what does src' || item_id % 20 || '-' || item_id * 7 || '.txt say on ' || left(text, 40)), '\\/', '  '), '[a-zA-Z0-9_.-]+'), ' ') as asked from benchmark),"
+        "with q as (select item_id as query_id, array_to_string(regexp_extract_all(translate(lower('what does src' || item_id % 20 || '-' || item_id * 7 || '.txt say on ' || text), '\\/', '  '), '[a-zA-Z0-9_.-]+'), ' ') as asked from benchmark),"
         " f as (select doc_id as file_id, lower(source) || '-' || doc_id as stem from documents),"
         " w as (select query_id, file_id, count(*) over (partition by query_id) as matches from q, f where contains(asked, stem || '.txt') or contains(asked, stem)"
         " or (len(list_filter(string_split(replace(stem, '-', ' '), ' '), lambda x: length(x) >= 3)) >= 2 and len(list_filter(list_filter(string_split(replace(stem, '-', ' '), ' '), lambda x: length(x) >= 3), lambda x: not list_contains(string_split(translate(asked, '.-_', '   '), ' '), x))) = 0))"
@@ -378,8 +364,17 @@ QUERIES = {
           string_agg(array_to_string(m, ' '), '|' order by position) as matched_terms, string_agg(e, '|' order by position) as excerpts, min(position) as f from px group by all)
         select query_id, file_id, row_number() over (partition by query_id order by top_score desc, f) as file_rank, source_count, top_score, markers, matched_terms, excerpts from pf""",
     ),
-    "extractive_answer": (extractive_answer, None),
-    "prompt_assembly": (prompt_assembly, None),
+    "extractive_answer": (
+        extractive_answer,
+        _TOP_SQL.rstrip() + ",\nsrc as (select query_id, rank as position, filename, text from top),\n" + S.quoted("queries")
+        + "\nselect query_id, coalesce(quoted, 'I do not have enough retrieved file context to answer that confidently.') as answer from queries left join quoted using (query_id)",
+    ),
+    "prompt_assembly": (
+        prompt_assembly,
+        _TOP_SQL.rstrip() + """,
+        c as (select query_id, string_agg('<source id=''' || rank || ''' file=''' || filename || ''' chunk_id=''' || chunk_id || ''' score=''' || score || '''>' || chr(10) || text || chr(10) || '</source>', chr(10) || chr(10) order by rank) as c from top group by query_id)
+        select query_id, md5('Answer from the sources.' || coalesce(chr(10) || chr(10) || 'Context:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || query, '')) as digest from queries left join c using (query_id)""",
+    ),
     "grounding": (grounding, S.with_(_ANSWERS, _GROUND) + "select * from ground"),
     "audit_sentences": (audit_sentences, S.with_(_ANSWERS, _SENTENCES) + "select * from scored"),
     "answer_quality": (

@@ -89,5 +89,15 @@ bm25 as (
   from tf join weighted using (term), stats group by query_id, chunk_id)"""
 
 
+def quoted(questions: str) -> str:
+    """The answer quoted from the first four of src (query_id, position, filename, text) for ``questions`` (query_id, query)."""
+    flat = r"regexp_replace(text, '\n', ' ', 'g')"
+    return f"""quote0 as (select query_id, position, filename, {strip(flat)} as whole, {sentences(flat)} as s, {token_set('query')} as terms from src join {questions} using (query_id) where position <= 4),
+quote1 as (select query_id, position, p, sentence, row_number() over (partition by query_id, position order by {shared(token_set('sentence'), 'terms')} desc, p) as r from (select query_id, position, terms, unnest(range(len(s))) as p, unnest(s) as sentence from quote0)),
+quote2 as (select query_id, position, string_agg(sentence, ' ' order by r) as x from quote1 where r <= 2 group by all),
+quote3 as (select query_id, position, filename, case when length(coalesce(x, whole)) > 650 then {word_cut('coalesce(x, whole)', 650)} || '...' else coalesce(x, whole) end as x from quote0 left join quote2 using (query_id, position)),
+quoted as (select query_id, 'Answer:' || chr(10) || chr(10) || string_agg('[' || position || '] ' || x, chr(10) order by position) || chr(10) || chr(10) || 'Sources: ' || string_agg('[' || position || '] ' || filename, ', ' order by position) as quoted from quote3 group by query_id)"""
+
+
 def with_(*parts: str) -> str:
     return "with " + ",\n".join(p.strip() for p in parts) + "\n"

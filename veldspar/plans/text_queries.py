@@ -60,7 +60,7 @@ def keywords_top12(spark, d):
 
 
 def extractive_summary(spark, d):
-    return C.summaries(documents(spark, d))
+    return C.summaries(documents(spark, d)).withColumn("keywords", F.array_join("keywords", " "))
 
 
 def chunk_windows(spark, d):
@@ -87,8 +87,16 @@ def script_histogram(spark, d):
     return counts.withColumn("n", F.col("n").cast("long"))
 
 
+def _many_scripts(spark, d) -> DataFrame:
+    """Documents, every other one written in one of six scripts, letter by letter, with its first word left as it is."""
+    shift = [0x0430, 0x05D0, 0x0905, 0x4E00, 0x0391, 0x0995]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    written = F.element_at(F.array(*[F.translate(F.lower("text"), letters, "".join(chr(s + i) for i in range(26))) for s in shift]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return documents(spark, d).withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat(F.element_at(F.split("text", " "), 1), F.lit(" "), written)).otherwise(F.col("text")))
+
+
 def dominant_script(spark, d):
-    return documents(spark, d).select("doc_id", scripts.dominant_script(F.col("text")).alias("script"), scripts.coarse_script(F.col("text")).alias("coarse"))
+    return _many_scripts(spark, d).select("doc_id", scripts.dominant_script(F.col("text")).alias("script"), scripts.coarse_script(F.col("text")).alias("coarse"))
 
 
 def text_trust(spark, d):
@@ -105,7 +113,7 @@ def hash_embed(spark, d):
     return v.select("chunk_id", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
-_RE2 = {n: "".join(r"\x{%s}-\x{%s}" % tuple(r.split("-")) for r in spans.split()) for n, spans in scripts.SCRIPTS.items()}
+_RE2 = scripts.RANGES
 _PLAIN = r"regexp_replace(text, '[\s\p{Nd}]', '', 'g')"
 _COUNT = lambda cls: rf"(length({_PLAIN}) - length(regexp_replace({_PLAIN}, '[{cls}]', '', 'g')))"
 _LETTERS = r"regexp_replace(lower(text), '[^a-z\x{00C0}-\x{024F}]', '', 'g')"
@@ -132,17 +140,34 @@ QUERIES = {
         extractive_summary,
         f"""with t as (select doc_id, unnest({S.keyword_terms(S.normalize('text'))}) as term from documents),
         n as (select doc_id, term, count(*) as n from t group by all),
-        k as (select doc_id, list(term) as keywords from (select * from n qualify row_number() over (partition by doc_id order by n desc, term) <= 12) group by doc_id),
+        k as (select doc_id, list(term order by n desc, term) as keywords from (select * from n qualify row_number() over (partition by doc_id order by n desc, term) <= 12) group by doc_id),
         s0 as (select doc_id, {S.sentences(S.compact(S.normalize('text')))} as s from documents),
         s1 as (select doc_id, case when len(s) = 1 and length(s[1]) > 700 then [{S.strip(S.word_cut('s[1]', 700))}] else s end as s from s0),
         s2 as (select doc_id, unnest(range(len(s))) as p, unnest(s) as sentence from s1),
         r as (select doc_id, p, sentence, {S.shared(S.token_set('sentence'), "coalesce(keywords, [])")} + cast(p = 0 as int) as score from s2 left join k using (doc_id)),
         b as (select * from r qualify row_number() over (partition by doc_id order by score desc, p) <= 3),
         j as (select doc_id, {S.strip("string_agg(sentence, ' ' order by p)")} as t from b group by doc_id)
-        select doc_id, coalesce({S.excerpt('t', 600)}, '') as summary from documents left join j using (doc_id)""",
+        select doc_id, coalesce({S.excerpt('t', 600)}, '') as summary, coalesce(array_to_string(keywords, ' '), '') as keywords from documents left join j using (doc_id) left join k using (doc_id)""",
     ),
     "chunk_windows": (chunk_windows, S.with_(S.CHUNKS) + "select chunk_id, file_id, chunk_index, md5(text) as text, start_char, end_char from chunks"),
-    "chunk_packed": (chunk_packed, None),
+    "chunk_packed": (
+        chunk_packed,
+        f"""with recursive norm as (select doc_id, {S.normalize(r"regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(10) || chr(10), 'g')")} as t from documents),
+        p0 as (select doc_id, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) as i, unnest(string_split(t, chr(10) || chr(10))) as raw from norm),
+        p1 as (select doc_id, i, raw, coalesce(sum(length(raw) + 2) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as o from p0),
+        p as (select doc_id, row_number() over (partition by doc_id order by i) as i, {S.strip('raw')} as x, o + length(raw) - length(ltrim(raw, {S.SPACE})) as a from p1 where {S.strip('raw')} <> ''),
+        g as (
+          select doc_id, i, 1 as g, length(x) as n, length(x) <= 900 as open from p where i = 1
+          union all
+          select p.doc_id, p.i, case when length(x) <= 900 and open and n + 2 + length(x) <= 900 then g else g + 1 end, case when length(x) <= 900 and open and n + 2 + length(x) <= 900 then n + 2 + length(x) else length(x) end, length(x) <= 900
+          from g join p on p.doc_id = g.doc_id and p.i = g.i + 1),
+        short as (select doc_id, g, 0 as w, string_agg(x, chr(10) || chr(10) order by i) as text, min(a) as a, max(a + length(x)) as b from g join p using (doc_id, i) where open group by doc_id, g),
+        cut as (select doc_id, g, x, a, unnest(generate_series(0, cast(ceil((length(x) - 900) / 720.0) as int))) as w from g join p using (doc_id, i) where not open),
+        long as (select doc_id, g, w, substr(x, cast(w * 720 + 1 as int), 900) as r, a + w * 720 as a from cut),
+        joint as (select * from short union all select doc_id, g, w, {S.strip('r')}, a + length(r) - length(ltrim(r, {S.SPACE})), a + length(rtrim(r, {S.SPACE})) from long where {S.strip('r')} <> ''),
+        numbered as (select *, cast(row_number() over (partition by doc_id order by g, w) - 1 as int) as k from joint)
+        select doc_id || ':' || k as chunk_id, doc_id as file_id, k as chunk_index, md5(text) as text, cast(a as int) as start_char, cast(b as int) as end_char from numbered""",
+    ),
     "chunk_neighbors": (
         chunk_neighbors,
         S.with_(S.CHUNKS, "last as (select file_id, max(chunk_index) as last from chunks group by file_id)")
@@ -153,7 +178,17 @@ QUERIES = {
         script_histogram,
         "select doc_id, script, n from (" + " union all ".join(f"select doc_id, '{n}' as script, {_COUNT(c)} as n from documents" for n, c in _RE2.items()) + ") where n > 0",
     ),
-    "dominant_script": (dominant_script, "select doc_id, case when " + _COUNT(_RE2["Latin"]) + " >= 8 then 'Latin' end as script, 'Latin' as coarse from documents"),
+    "dominant_script": (
+        dominant_script,
+        "with w as (select doc_id, case when doc_id % 2 = 1 then string_split(text, ' ')[1] || ' ' || (case doc_id % 6 "
+        + " ".join(f"when {k} then translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{''.join(chr(s + i) for i in range(26))}')" for k, s in enumerate((0x0430, 0x05D0, 0x0905, 0x4E00, 0x0391, 0x0995)))
+        + " end) else text end as text from documents),\n"
+        f"p as (select doc_id, text, {_PLAIN} as plain from w),\n"
+        "n as (" + " union all ".join(f"select doc_id, {i} as i, '{name}' as name, length(plain) - length(regexp_replace(plain, '[{c}]', '', 'g')) as n, length(regexp_extract(plain, '^[^{c}]*')) as first from p" for i, (name, c) in enumerate(_RE2.items()))
+        + "),\nb as (select doc_id, sum(n) as total, arg_max(name, n * 1000000 - first) as script from n group by doc_id)\n"
+        "select doc_id, case when total >= 8 then script end as script, case when regexp_matches(text, '[\\x{0600}-\\x{06FF}]') then 'Arabic' when regexp_matches(text, '[\\x{0900}-\\x{097F}]') then 'Devanagari' when regexp_matches(text, '[\\x{0980}-\\x{09FF}]') then 'Bengali'"
+        " when regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') then 'Han' else 'Latin' end as coarse from p join b using (doc_id)",
+    ),
     "text_trust": (
         text_trust,
         f"""with l as (select doc_id, {_LETTERS} as t from documents),

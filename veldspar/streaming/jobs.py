@@ -39,6 +39,32 @@ def latest(states: DataFrame, key: str, at: str) -> DataFrame:
     return states.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
 
+def statuses(validated: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What to show of each job and of each of its files.
+
+    ``validated`` is of ``validate``; ``results`` has job_id, attachment_id, error (null if it was read). Returns job rows (job_id, status, ui, error_reason,
+    current_stage) and file rows (job_id, idx, attachment_id, status, error). A file that no result tells of is still being extracted.
+    """
+    files = validated.filter("reason is null").select("job_id", F.posexplode("payload.attachments").alias("idx", "a")).select("job_id", "idx", F.col("a.attachment_id").alias("attachment_id"))
+    told = results.select("job_id", "attachment_id", F.col("error"), F.lit(True).alias("told"))
+    each = files.join(told, ["job_id", "attachment_id"], "left").select(
+        "job_id", "idx", "attachment_id", F.when(F.col("told").isNull(), "extracting").when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error"
+    )
+    per = each.groupBy("job_id").agg(F.count_if(F.col("status") == "extracting").alias("open"), F.min_by("error", F.when(F.col("status") == "failed", F.col("idx"))).alias("first"))
+    wrong = F.coalesce(F.col("reason"), F.col("first"))
+    status = F.when(wrong.isNotNull(), "failed").when(F.col("open") > 0, "Extracting").otherwise("extraction_success")
+    jobs = validated.select("job_id", "reason").join(per, "job_id", "left").select(
+        "job_id", status.alias("status"), F.when(status == "Extracting", "Extracting files").otherwise("").alias("ui"), wrong.alias("error_reason"), F.when(wrong.isNotNull(), "file_extractor").alias("current_stage")
+    )
+    return jobs, each
+
+
+def ordered_results(results: DataFrame) -> DataFrame:
+    """Results of a job's attachments (job_id, idx and others) in the order of the attachments, whenever they came: job_id, results."""
+    rest = [c for c in results.columns if c not in ("job_id", "idx")]
+    return results.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("idx", *rest))).alias("results"))
+
+
 def out_events(done: DataFrame) -> DataFrame:
     """The next stage's message of each finished job: the payload that was built, not the one received."""
     return done.select("job_id", F.to_json(F.struct("job_id", "payload.user_id", "payload.chat_id", "payload.message_id", F.lit("extracted").alias("op"), "payload.attachments")).alias("data"))
