@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: sources lead and fade, light ones arrive late. Points are joined by straight lines.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.5)))
 #: Rows of a source that one block of the running sums holds, about.
-BLOCK_ROWS = 1000
+BLOCK_ROWS = 300
 
 
 def word_count(text: Column) -> Column:

@@ -27,7 +27,7 @@ STEP, MISS = 42, 1e-7
 #: Pivots that a large group meets in a round, and comparisons left for each node that call for one more round.
 SALTS, LEFT = 8, 20_000
 #: Members and other members of a bucket that one task compares at a time.
-FEW, MANY = 256, 2048
+FEW, MANY = 256, 512
 
 SKETCH = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())]

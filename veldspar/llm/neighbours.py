@@ -21,6 +21,8 @@ ENTRIES, LEAST_CENTROIDS, MOST_CENTROIDS = 12, 16, 512
 RECALL, TRIAL_QUERIES = 0.96, 200
 #: Vectors and queries that a task holds at a time, and queries that it compares at a time.
 VECTORS, QUERIES, AT_ONCE = 4096, 4096, 256
+#: Queries whose cells one task looks up, about.
+ROUTED = 250
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -234,6 +236,8 @@ def search(
     wanted = min(total, max(k + 1, int(np.ceil(reach * total))))
     groups = group_rows(sizes.reshape(len(books[0]), -1).sum(1), VECTORS)
     asking = indexed.filter(is_query).groupBy("vec_id").agg(F.max("vector").alias("vector"))
+    # So many tasks that none traverses cells for very many queries; they are too small for Spark to tell.
+    asking = asking.repartition(max(1, -(-asking.count() // ROUTED)), "vec_id")
     routed = settle(asking.mapInArrow(_route(books, sizes.tolist(), groups, wanted), "query_id long, query binary, block long, down_to double"))
     group_of = F.element_at(F.array(*[F.lit(int(g)) for g in groups]), (F.floor(F.col("cell") / len(books[1])) + 1).cast("int")).cast("long")
     held = indexed.withColumn("block", group_of)
