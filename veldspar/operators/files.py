@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions.text import compact, filename_text, meaningful_terms, stem
@@ -27,6 +27,16 @@ def resolve_scope(explicit: DataFrame, chosen: DataFrame, members: DataFrame, st
     return found
 
 
+def _runs(text: Column) -> Column:
+    """All runs of letters and digits within the words of a query, whole words and parts of them."""
+
+    def inside(word: Column) -> Column:
+        ends = lambda i: F.transform(F.sequence(i, F.length(word)), lambda j: F.substring(word, i, j - i + 1))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), ends))
+
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), inside)))
+
+
 def search_files(queries: DataFrame, files: DataFrame) -> DataFrame:
     """Files that match each query, scored by name, keywords and summary.
 
@@ -53,12 +63,7 @@ def search_files(queries: DataFrame, files: DataFrame) -> DataFrame:
     opening = f.select("file_id", "name", "stem", F.explode(first_words).alias("w"))
     inside = F.when((F.col("name") != "") & F.contains("text", "name"), 3.0).when((F.col("stem") != "") & F.contains("text", "stem"), 2.0).otherwise(0.0)
 
-    def runs(word: F.Column) -> F.Column:
-        ends = lambda i: F.transform(F.sequence(i, F.length(word)), lambda j: F.substring(word, i, j - i + 1))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), ends))
-
-    tails = F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)), runs))))
-    named = q.select("query_id", "text", tails.alias("w")).join(opening, "w").withColumn("exact", inside).filter("exact > 0").groupBy("query_id", "file_id").agg(F.max("exact").alias("exact"))
+    named = q.select("query_id", "text", F.explode(_runs(F.col("text"))).alias("w")).join(opening, "w").withColumn("exact", inside).filter("exact > 0").groupBy("query_id", "file_id").agg(F.max("exact").alias("exact"))
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     both = by.join(named, ["query_id", "file_id"], "full_outer").join(f.select("file_id", "created_at"), "file_id")
     score = zero("exact", 0.0) + 1.5 * zero("n_name", 0) + 1.25 * zero("n_keyword", 0) + 0.75 * zero("n_summary", 0)
@@ -78,8 +83,9 @@ def search_files(queries: DataFrame, files: DataFrame) -> DataFrame:
 def narrow_by_filename(queries: DataFrame, files: DataFrame) -> DataFrame:
     """Files that a query names, where it names some and not all: query_id, file_id.
 
-    A file is named by its full name, by its stem, or by all words of its stem of three letters or more, two at least. The
-    queries (query_id, query) are a stated, small set; each file is held against all of them.
+    A file is named by its full name, by its stem, or by all words of its stem of three letters or more, two at least. However a file is
+    named, the first letters and digits of its name or of its stem's words stand within a word of the query: those are the key on which
+    files and queries (query_id, query) meet.
     """
     split = lambda c: F.split(compact(F.translate(c, ".-_", "   ")), " ")
     q = queries.select("query_id", filename_text(F.col("query")).alias("asked"))
@@ -92,7 +98,11 @@ def narrow_by_filename(queries: DataFrame, files: DataFrame) -> DataFrame:
         | ((F.col("stem") != "") & F.contains("asked", "stem"))
         | ((F.size("stem_words") >= 2) & (F.size(F.array_except("stem_words", "words")) == 0))
     ) & (F.col("name") != "")
-    named = f.join(q, hit)
+    first = lambda c: F.regexp_extract(c, "[a-z0-9]+", 0)
+    keys = F.array_distinct(F.array(first(F.col("name")), first(F.col("stem")), first(F.coalesce(F.get("stem_words", F.lit(0)), F.col("name")))))
+    # A name without any of them has the empty key, as has every query.
+    asked = q.withColumn("key", F.explode(F.array_append(_runs(F.col("asked")), F.lit(""))))
+    named = f.withColumn("key", F.explode(keys)).join(asked, "key").filter(hit).select("query_id", "file_id").distinct()
     whole = Window.partitionBy("query_id")
     return named.withColumn("matches", F.count(F.lit(1)).over(whole)).filter(F.col("matches") < n).select("query_id", "file_id")
 

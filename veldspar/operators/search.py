@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions.rowwise import token_list
@@ -89,7 +89,6 @@ class Asked:
         rows = queries.select("query_id", terms.alias("terms")).toArrow()
         self.ids, self.terms = rows["query_id"].to_pylist(), [t or [] for t in rows["terms"].to_pylist()]
         self.kind = dict(queries.dtypes)["query_id"]
-        self.spark = queries.sparkSession
         self.allowed: dict | None = None
         self.open = np.ones(len(self.ids), bool)
         if scope is not None:
@@ -100,8 +99,8 @@ class Asked:
                     self.open[place[query_id]] = False
                     self.allowed.setdefault(file_id, []).append(place[query_id])
 
-    def frame(self) -> DataFrame:
-        return self.spark.createDataFrame(list(enumerate(self.ids)), f"nth int, query_id {self.kind}")
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(enumerate(self.ids)), f"nth int, query_id {self.kind}")
 
     def visible(self, files: list) -> np.ndarray:
         """Which questions may see each of some files."""
@@ -119,16 +118,16 @@ def small_enough(queries: DataFrame, k: int, scope: DataFrame | None = None) ->
     return n * k <= MOST_KEPT and tokens <= 8 * MOST_TOKENS and (scope is None or scope.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS)
 
 
-def best_rows(chunks: DataFrame, asked: Asked, k: int, scores: Callable[[pa.RecordBatch], np.ndarray], number: str) -> DataFrame:
+def best_rows(chunks: DataFrame, asked: Asked, k: int, scores: Callable[[pa.RecordBatch], np.ndarray], number: str, ties: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     """The ``k`` best of ``chunks`` for each question: nth, value (``number`` type) and the columns of ``chunks``, of each task.
 
     ``scores`` gives a matrix of a batch's rows by questions, where nothing above 0 is no match. A task keeps its best ``k`` of each question by
-    value and then chunk_id, so no pair is shuffled and nothing is read twice.
+    value and then the columns in ``ties``, so no pair is shuffled and nothing is read twice.
     """
     names, kinds, n = chunks.columns, dict(chunks.dtypes), len(asked.ids)
     step = max(1, min(1024, 4_000_000 // max(1, n)))
     columns = ["nth", "value", *names]
-    by = [("nth", "ascending"), ("value", "descending"), ("chunk_id", "ascending")]
+    by = [("nth", "ascending"), ("value", "descending"), *((c, "ascending") for c in ties)]
     visible = asked.visible if asked.allowed is not None else None
     arrow = pa.int32() if number == "int" else pa.float64()
 
@@ -163,7 +162,7 @@ def best_rows(chunks: DataFrame, asked: Asked, k: int, scores: Callable[[pa.Reco
             yield from best.combine_chunks().to_batches(max_chunksize=5000)
 
     schema = ", ".join(["nth int", f"value {number}", *(f"`{c}` {kinds[c]}" for c in names)])
-    return chunks.mapInArrow(run, schema).join(F.broadcast(asked.frame()), "nth").drop("nth")  # as many rows as questions
+    return chunks.mapInArrow(run, schema).join(F.broadcast(asked.frame(chunks.sparkSession)), "nth").drop("nth")  # as many rows as questions
 
 
 def _spread(rows: list[int], hits: list[np.ndarray], weights: list | None, shape: tuple[int, int]) -> np.ndarray:
@@ -341,6 +340,46 @@ def explained(limit: int, k: int) -> int:
     return max(limit, 3 * k, k)
 
 
+def hybrid_top_k(
+    queries: DataFrame, asked_vectors: DataFrame, chunks: DataFrame, keyword: DataFrame | None, k: int, threshold: float = THRESHOLD, scope: DataFrame | None = None
+) -> DataFrame:
+    """The ``k`` best chunks of each query by ``hybrid`` in one pass over ``chunks``: query_id, chunk_id, score.
+
+    ``queries`` (query_id, query), ``asked_vectors`` (query_id, vector), ``chunks`` (chunk_id, file_id, filename, chunk_index, text, vector), ``keyword``
+    (query_id, chunk_id, keyword_score) or None. Every chunk is scored for every question that may see it, exactly, where it is read; ties go by name and
+    place. For questions that ``small_enough`` admits.
+    """
+    asked = Asked(queries, token_set(F.col("query")), scope)
+    n = len(asked.ids)
+    told = asked_vectors.toArrow()
+    by_id = dict(zip(told["query_id"].to_pylist(), told["vector"].to_pylist(), strict=True))
+    q = np.array([by_id[i] for i in asked.ids], np.float64).reshape(n, -1)
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    held: dict[str, list[tuple[int, float]]] = {}
+    if keyword is not None:
+        place = {i: at for at, i in enumerate(asked.ids)}
+        rows = keyword.select("query_id", "chunk_id", "keyword_score").toArrow()
+        for query_id, chunk_id, score in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            held.setdefault(chunk_id, []).append((place[query_id], score))
+    overlaps = overlap_scorer(asked.terms, 4)
+    sizes = np.array([max(1, len(t)) for t in asked.terms])
+    weights = WEIGHTS
+
+    def scores(part: pa.RecordBatch) -> np.ndarray:
+        v = np.array(part.column(5).to_pylist(), np.float64).reshape(len(part), -1)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        total = weights["vector"] * ((v / np.where(norm > 0, norm, 1.0)) @ q.T) + weights["lexical"] * overlaps(part) / sizes
+        for i, chunk_id in enumerate(part.column(0).to_pylist()):
+            for at, score in held.get(chunk_id, ()):
+                total[i, at] += weights["keyword"] * score
+        return np.where(total >= threshold, np.round(total, 5), 0.0)
+
+    columns = ["chunk_id", "file_id", "filename", "chunk_index", "text", "vector"]
+    found = best_rows(chunks.select(*columns), asked, k, scores, "double", ("filename", "chunk_index", "chunk_id")).withColumnRenamed("value", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "filename", "chunk_index", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score")
+
+
 def hybrid(semantic: DataFrame, lexical_scores: DataFrame, keyword_scores: DataFrame, mode: str = "hybrid", threshold: float = THRESHOLD) -> DataFrame:
     """Blend of scores, each (query_id, chunk_id, its score), where a missing one is 0: query_id, chunk_id, score."""
     if mode not in {"hybrid", "vector", "keyword"}:

@@ -122,15 +122,19 @@ def full_context(chunks: DataFrame, budget: int = 24000, scope: str = "scope_id"
     """Whole files in order of name, cut hard where the budget of their scope ends.
 
     ``chunks`` has the scope column, file_id, filename, chunk_index, text. A file that starts within the budget is
-    kept; running sums of lengths say where it is cut. Returns scope, file_id, text.
+    kept; running sums of lengths say where it is cut. A file takes one character at least, so of each scope only as many files as the budget has
+    characters are summed, whatever its size, and only the texts of those that are kept are put together. Returns scope, file_id, text.
     """
-    files = chunks.groupBy(scope, "file_id", "filename").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("parts"))
-    files = files.withColumn("text", strip(F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")))
-    order = Window.partitionBy(scope).orderBy("filename", "file_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text")).over(order), F.lit(0))
-    return files.withColumn("before", before).filter(F.col("before") < budget).select(
-        scope, "file_id", F.left("text", (F.lit(budget) - F.col("before")).cast("int")).alias("text")
-    )
+    held = chunks.select(scope, "file_id", "filename", "chunk_index", strip(F.col("text")).alias("text")).filter("text <> ''")
+    sized = held.groupBy(scope, "file_id", "filename").agg((F.sum(F.length("text")) + 2 * (F.count(F.lit(1)) - 1)).alias("n"))
+    order = Window.partitionBy(scope).orderBy("filename", "file_id")
+    first = sized.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= budget)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = first.withColumn("before", before).filter(F.col("before") < budget).select(F.col(scope).alias("own_scope"), F.col("file_id").alias("own_file"), F.col("filename").alias("own_name"), "before")
+    own = F.col(scope).eqNullSafe(F.col("own_scope")) & (F.col("file_id") == F.col("own_file")) & F.col("filename").eqNullSafe(F.col("own_name"))
+    parts = held.join(kept, own).groupBy(scope, "file_id", "filename", "before").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
+    return parts.select(scope, "file_id", F.left(text, (F.lit(budget) - F.col("before")).cast("int")).alias("text"))
 
 
 def context_mode(chunks: DataFrame, budget: int = 24000, scope: str = "scope_id") -> DataFrame:

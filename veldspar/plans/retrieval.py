@@ -57,7 +57,8 @@ def reindex(index: Index, read: DataFrame, options: Options = Options()) -> tupl
 def candidates(planned: DataFrame, index: Index, options: Options, scope: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """Fused candidates of planned queries (query_id, plan_pos, query), the best 3k of each: query_id, chunk_id, ord, score, query_hits.
 
-    ``scope`` (query_id, file_id) applies before anything is ranked; queries without rows there see all files. The dense part is
+    ``scope`` (query_id, file_id) applies before anything is ranked; queries without rows there see all files. Chunks are scored where
+    they are read, all parts of the score at once; questions too many for that meet chunks in joins, where the dense part is
     scored for chunks that share a token with the query and for its nearest ones.
     """
     k = 3 * (k or options.top_k)
@@ -80,6 +81,10 @@ def candidates(planned: DataFrame, index: Index, options: Options, scope: DataFr
     keyword = search.keyword_ranks(search.bm25_top_k(q, index.chunks, hits, allowed), hits) if options.mode != "vector" else None
     if options.mode == "keyword":
         scored = search.hybrid(None, None, keyword, "keyword", options.relevance_threshold)
+    elif search.small_enough(q, hits, allowed):
+        asked = hash_vectors(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), options.dimensions).withColumnRenamed("chunk_id", "query_id")
+        both = index.chunks.select("chunk_id", "file_id", "filename", "chunk_index", "text").join(index.vectors, "chunk_id")
+        scored = search.hybrid_top_k(q, asked, both, keyword, k, options.relevance_threshold, allowed)
     else:
         lexical = within(search.lexical(q, index.chunks))
         asked = hash_vectors(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), options.dimensions).withColumnRenamed("chunk_id", "query_id").withColumnRenamed("vector", "asked")
@@ -116,8 +121,7 @@ def retrieve(questions: DataFrame, index: Index, options: Options = Options(), s
     if options.context_mode == "none":
         chosen = located.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("position"), "chunk_id", "file_id", F.lit(0.0).alias("score"), "text")
     elif options.context_mode == "full":
-        texts = _scoped(questions, located, scope)
-        chosen = selection.full_context(texts, options.max_context_chars, "query_id").join(index.files.select(F.col("file_id").cast("long").alias("file_id"), "filename"), "file_id")
+        chosen = _whole_files(questions, located, scope, options.max_context_chars).join(index.files.select(F.col("file_id").cast("long").alias("file_id"), "filename"), "file_id")
         order = Window.partitionBy("query_id").orderBy("filename", "file_id")
         full_id = F.concat(F.col("file_id").cast("string"), F.lit(":full"))
         chosen = chosen.select("query_id", F.row_number().over(order).alias("position"), full_id.alias("chunk_id"), "file_id", F.lit(1.0).alias("score"), "text")
@@ -136,12 +140,13 @@ def retrieve(questions: DataFrame, index: Index, options: Options = Options(), s
     return sources, evidence.answerability(questions, sources)
 
 
-def _scoped(questions: DataFrame, located: DataFrame, scope: DataFrame) -> DataFrame:
-    """Chunks of each question's scope; a question without one has the whole corpus."""
-    have = scope.select("query_id").distinct()
-    inside = scope.join(located, "file_id").select("query_id", *located.columns)
-    open_ = questions.join(have, "query_id", "left_anti").select("query_id", F.lit(1).alias("one"))
-    return inside.unionByName(open_.join(located.withColumn("one", F.lit(1)), "one").select("query_id", *located.columns))
+def _whole_files(questions: DataFrame, located: DataFrame, scope: DataFrame, budget: int) -> DataFrame:
+    """Whole files for each question: of its scope, or for one without any, those of the whole corpus, which are chosen once and fit the budget."""
+    inside = selection.full_context(scope.join(located, "file_id").select("query_id", *located.columns), budget, "query_id")
+    every = selection.full_context(located.withColumn("query_id", F.lit(0).cast("long")), budget, "query_id").drop("query_id")
+    open_ = questions.select("query_id").join(scope.select("query_id").distinct(), "query_id", "left_anti")
+    # The budget bounds the one side, the questions asked the other.
+    return inside.unionByName(open_.join(F.broadcast(every), how="cross").select("query_id", "file_id", "text"))
 
 
 def ask(questions: DataFrame, index: Index, options: Options = Options(), scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from veldspar.functions import text as T
 from veldspar.operators import chunks as C
 from veldspar.operators import files
 from veldspar.plans import sql as S
+from veldspar.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,3 +21,10 @@ def session(master: str | None = None, app: str = "veldspar", **conf: str) -> Sp
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out to all of them, as for a small file of one row group; a larger scan as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    few = table._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return table.repartition(cores) if few else table
