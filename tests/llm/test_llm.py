@@ -666,9 +666,23 @@ def test_hosts_are_shrunk_towards_their_parents(spark):
     assert got["a.bad.org"]["lower"] > 0.8 and got["c.good.org"]["upper"] < 0.1
     assert got["a.bad.org"]["rate"] > got["b.bad.org"]["rate"] > got["e.co.uk"]["rate"] > got["c.good.org"]["rate"]
     assert got["d.good.org"]["lower"] < got["d.good.org"]["rate"] < 1
-    assert url_reputation.parents(F.lit("x.y.co.uk")) is not None
-    row = spark.range(1).select(*url_reputation.parents(F.lit("x.y.co.uk")), *url_reputation.parents(F.lit("host"))).first()
-    assert tuple(row) == ("y.co.uk", "co.uk", "host", "host")
+    row = spark.range(1).select(*url_reputation.parents(F.lit("x.y.co.uk")), *url_reputation.parents(F.lit("host")), *url_reputation.parents(F.lit("co.uk")), *url_reputation.parents(F.lit(""))).first()
+    assert tuple(row) == ("y.co.uk", "co.uk", "host", "host", "co.uk", "co.uk", "", "")
+    own = url_reputation.read_suffixes(["// a list", "com", "co.uk", "*.ck", "!www.ck", "", "deep.web.example  // note"])
+    assert own == ("co.uk", "deep.web.example")
+    assert tuple(spark.range(1).select(*url_reputation.parents(F.lit("a.b.deep.web.example"), own)).first()) == ("b.deep.web.example", "deep.web.example")
+
+
+def test_urls_of_odd_rows(spark):
+    pages = spark.createDataFrame([(None, "http://a.b.com/"), (1, "http://a.b.com/"), (1, "http://a.b.com/"), (2, "http://c.org/"), (3, None), (4, "")], "page_id long, url string")
+    told = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None)], "page_id long, bad int")
+    got = url_reputation.filter_urls(pages.withColumn("verdict", F.lit("clash")).withColumn("n", F.lit(1)), told).collect()
+    assert Counter((r["page_id"], r["host"], r["path"], r["rule"]) for r in got) == Counter(
+        {(None, "a.b.com", "/", "com/"): 1, (1, "a.b.com", "/", "com/"): 2, (2, "c.org", "/", None): 1, (3, "", "", None): 1, (4, "", "", None): 1}
+    )
+    # A page told of twice is bad if it is once: both rows of the host's labelled page count as bad.
+    hosts = url_reputation.host_reputation(spark.createDataFrame([("a.b.com", 2, 2), ("c.org", 0, 0), ("", 0, 0)], "host string, n long, k long")).collect()
+    assert {r["host"] for r in hosts} == {"a.b.com", "c.org", ""} and all(0 <= r["rate"] <= 1 for r in hosts)
 
 
 # pipeline

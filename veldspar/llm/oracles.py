@@ -62,7 +62,9 @@ select d.doc_id, coalesce(licenses, '') as licenses, coalesce(n, 0) as n_license
 
 
 def urls_sql(rules=url_reputation.RULES, max_bad: float = 0.25, z: float = 1.645, low: float = 2.0, high: float = 200.0) -> str:
-    two = "|".join(s.replace(".", r"\.") for s in url_reputation.TWO_LABEL_SUFFIXES)
+    two = ", ".join(f"'{s}'" for s in url_reputation.SUFFIXES if s.count(".") == 1)
+    labels = "string_split(host, '.')"
+    depth = f"case when len({labels}) >= 2 and array_to_string({labels}[-2:], '.') in ({two}) then 2 else 1 end"
     fits = []
     for what, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         host, _, path = text.partition("/")
@@ -82,8 +84,7 @@ def urls_sql(rules=url_reputation.RULES, max_bad: float = 0.25, z: float = 1.645
 with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
 told as (select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null group by doc_id),
-hosts as (select host, count(bad) as n, coalesce(sum(bad), 0) as k, regexp_extract(host, '(?:^|\.)((?:{two})|[^.]*)$', 1) as suffix,
-  case when regexp_extract(host, '((?:^|[^.]+\.)(?:(?:{two})|[^.]*))$', 1) = '' then host else regexp_extract(host, '((?:^|[^.]+\.)(?:(?:{two})|[^.]*))$', 1) end as domain
+hosts as (select host, count(bad) as n, coalesce(sum(bad), 0) as k, array_to_string({labels}[-({depth}):], '.') as suffix, array_to_string({labels}[-({depth} + 1):], '.') as domain
   from p left join told using (page_id) group by host),
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by all),
 suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by all),

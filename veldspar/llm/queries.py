@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from veldspar.llm.oracles import ORACLES  # noqa: F401
 from veldspar.llm import exact_dedup, language, licenses, mixing, near_dedup, neighbours, packing, secrets, toxicity, url_reputation
 
+from veldspar.session import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,30 @@ from pyspark.sql import functions as F
 from veldspar.llm.store import settle
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Suffixes of two labels; any other suffix is the last label alone.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+# Second-level labels under which registries of a country sell names, a selection of the public suffix list (publicsuffix.org).
+# ``read_suffixes`` takes the whole list from a copy of it.
+SECOND_LEVEL = {
+    "ar": ("com", "edu", "gob", "net", "org"),
+    "au": ("asn", "com", "edu", "gov", "id", "net", "org"),
+    "br": ("com", "edu", "gov", "net", "org"),
+    "cn": ("ac", "com", "edu", "gov", "net", "org"),
+    "hk": ("com", "edu", "gov", "net", "org"),
+    "id": ("ac", "co", "go", "net", "or", "sch", "web"),
+    "il": ("ac", "co", "gov", "net", "org"),
+    "in": ("ac", "co", "edu", "firm", "gen", "gov", "ind", "net", "nic", "org"),
+    "jp": ("ac", "ad", "co", "ed", "go", "gr", "lg", "ne", "or"),
+    "kr": ("ac", "co", "go", "ne", "or", "re"),
+    "mx": ("com", "edu", "gob", "net", "org"),
+    "my": ("com", "edu", "gov", "net", "org"),
+    "nz": ("ac", "co", "geek", "gen", "govt", "net", "org", "school"),
+    "sg": ("com", "edu", "gov", "net", "org"),
+    "th": ("ac", "co", "go", "in", "net", "or"),
+    "tr": ("com", "edu", "gen", "gov", "net", "org", "web"),
+    "tw": ("com", "edu", "gov", "net", "org"),
+    "uk": ("ac", "co", "gov", "ltd", "me", "net", "nhs", "org", "plc", "sch"),
+    "za": ("ac", "co", "gov", "net", "org", "web"),
+}
+SUFFIXES = tuple(f"{second}.{top}" for top, seconds in SECOND_LEVEL.items() for second in seconds)
 RULES = (
     ("allow", "com/"),
     ("block", "example.com/en/"),
@@ -39,12 +61,22 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return rule, action
 
 
-def parents(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host."""
-    two = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
-    suffix = F.regexp_extract(host, rf"(?:^|\.)((?:{two})|[^.]*)$", 1)
-    domain = F.regexp_extract(host, rf"((?:^|[^.]+\.)(?:(?:{two})|[^.]*))$", 1)
-    return F.when(domain == "", host).otherwise(domain), suffix
+def read_suffixes(lines: Iterable[str]) -> tuple[str, ...]:
+    """Suffixes of several labels from the lines of a copy of the public suffix list; rules with wildcards and exceptions are left out."""
+    rules = (line.split()[0].lower() for line in lines if line.strip() and not line.startswith("//"))
+    return tuple(sorted({r for r in rules if "." in r and r[0] not in "*!"}))
+
+
+def parents(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host. A suffix in ``suffixes`` that ends the host, the longest, counts; else the last label does."""
+    labels = F.split(host, r"\.", -1)
+    n = F.size(labels)
+    depth = F.lit(1)
+    for k in sorted({s.count(".") + 1 for s in suffixes}):
+        tail = F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
+        depth = F.when((n >= k) & tail.isin(*[s for s in suffixes if s.count(".") + 1 == k]), k).otherwise(depth)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    return last(depth + 1), last(depth)
 
 
 def _strength(groups: DataFrame, low: float, high: float) -> tuple[float, float]:
@@ -66,7 +98,7 @@ def _strength(groups: DataFrame, low: float, high: float) -> tuple[float, float]
 
 
 def host_reputation(
-    hosts: DataFrame, low: float = 2.0, high: float = 200.0, z: float = 1.645
+    hosts: DataFrame, low: float = 2.0, high: float = 200.0, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES
 ) -> DataFrame:
     """Posterior of each host's rate of bad pages.
 
@@ -76,7 +108,7 @@ def host_reputation(
     Returns host, n, k, rate, lower and upper (``z`` standard deviations off the mean).
     Hosts without labels have their domain's rate; without any labels it is 0.5.
     """
-    domain, suffix = parents(F.col("host"))
+    domain, suffix = parents(F.col("host"), suffixes)
     hosts = settle(hosts.select("host", "n", "k", domain.alias("domain"), suffix.alias("suffix")))
     domains = settle(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     suffixes = settle(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
@@ -105,6 +137,7 @@ def filter_urls(
     rules: Sequence[tuple[str, str]] = RULES,
     max_bad: float = 0.25,
     z: float = 1.645,
+    suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """Judge the url of every row of ``pages`` (page_id, url).
 
@@ -125,7 +158,7 @@ def filter_urls(
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     )
     reputation = settle(
-        host_reputation(hosts, z=z).select(
+        host_reputation(hosts, z=z, suffixes=suffixes).select(
             "host", F.when(F.col("lower") > max_bad, "block").otherwise("allow").alias("by_host")
         )
     )
