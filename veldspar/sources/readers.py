@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
+import io
 import json
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 from xml.dom import minidom
 
@@ -13,8 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldspar.operators.cleaning import bare
+from veldspar.sources import office
+
+#: Characters of a text and rows of a table that are read, unless more is asked for; a file that was cut says so in its note.
 MOST_CHARS, MOST_ROWS = 2_000_000, 5000
-#: Which reader takes which extension; what is absent here is an error row.
+#: Which reader takes which extension; what is absent here is an error row. ``register`` adds readers.
 FORMATS: dict[str, str] = {
     **dict.fromkeys(("txt", "text", "md", "markdown", "rst", "log", "ini", "cfg", "toml", "py", "js", "ts", "sql", "sh", "tex"), "text"),
     **dict.fromkeys(("csv", "tsv"), "csv"),
@@ -22,8 +30,18 @@ FORMATS: dict[str, str] = {
     **dict.fromkeys(("html", "htm", "xhtml"), "html"),
     **dict.fromkeys(("eml",), "email"),
     **dict.fromkeys(("rtf",), "rtf"),
-    **dict.fromkeys(("pdf", "docx", "pptx", "xlsx", "xls", "png", "jpg", "jpeg", "tif", "tiff"), "binary"),
+    **dict.fromkeys(("docx", "pptx", "xlsx", "xlsm"), "office"),
+    **dict.fromkeys(("pdf", "xls", "png", "jpg", "jpeg", "tif", "tiff"), "binary"),
 }
+#: Readers by name: from the bytes of a file and its extension to its text and, where it was cut, a note.
+Reader = Callable[[bytes, str, int, int], tuple[str, str | None]]
+READERS: dict[str, Reader] = {}
+
+
+def register(name: str, extensions: Sequence[str], reader: Reader) -> None:
+    """Let ``reader`` take files of some extensions, in place of those that took them before."""
+    READERS[name] = reader
+    FORMATS.update(dict.fromkeys((e.lower().lstrip(".") for e in extensions), name))
 
 
 def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -40,28 +58,38 @@ def decode(data: bytes) -> str:
         return data.decode("latin-1")
 
 
+def sniff(text: str, lines: int = 50) -> str:
+    """The delimiter under which most of the first lines have the same number of cells, two at least; the comma if none does."""
+    head = "\n".join(text.split("\n", lines)[:lines])
+
+    def agreeing(delimiter: str) -> tuple[int, int]:
+        widths = Counter(len(r) for r in csv.reader(io.StringIO(head), delimiter=delimiter) if any(c.strip() for c in r))
+        return max(((n, w) for w, n in widths.items() if w > 1), default=(0, 0))
+
+    return max(",;\t|", key=agreeing)
+
+
 def csv_markdown(text: str, most: int = MOST_ROWS) -> str:
-    """A delimited table as Markdown: the delimiter is the one that the first line holds most; uneven rows go."""
-    import csv
-    import io
+    """A delimited table as Markdown: uneven rows go, and of the others the first ``most`` stay."""
+    return _csv(text, most)[0]
+
 
-    head = text.split("\n", 1)[0]
-    delimiter = max(",;\t|", key=head.count)
-    rows = list(csv.reader(io.StringIO(text), delimiter=delimiter))
+def _csv(text: str, most: int) -> tuple[str, str | None]:
+    rows = csv.reader(io.StringIO(text), delimiter=sniff(text))
     rows = [r for r in rows if any(c.strip() for c in r)]
     if not rows:
-        return ""
+        return "", None
     width = len(rows[0])
     cell = lambda c: c.strip().replace("|", "\\|").replace("\n", " ")
     header = [cell(c) or f"col{i + 1}" for i, c in enumerate(rows[0])]
     line = lambda cells: "| " + " | ".join(cells) + " |"
-    body = [line([cell(c) for c in r]) for r in rows[1 : most + 1] if len(r) == width]
-    return "\n".join([line(header), line(["---"] * width), *body])
+    body = [line([cell(c) for c in r]) for r in rows[1:] if len(r) == width]
+    note = f"{len(body) - most} rows beyond the first {most} left out" if len(body) > most else None
+    return "\n".join([line(header), line(["---"] * width), *body[:most]]), note
 
 
-def structured_text(text: str, kind: str) -> str:
-    """JSON and XML evenly laid out in a fenced block; anything else, or what can't be parsed, as it stands."""
-    text = text[:MOST_CHARS]
+def structured_text(text: str, kind: str, most: int = MOST_CHARS) -> str:
+    """JSON, XML and YAML (with its library) evenly laid out in a fenced block; anything else, or what can't be parsed, as it stands."""
     try:
         if kind in ("json",):
             text = json.dumps(json.loads(text), indent=2, ensure_ascii=False)
@@ -69,9 +97,13 @@ def structured_text(text: str, kind: str) -> str:
             if "<!ENTITY" in text:
                 raise ValueError("entities are not expanded")
             text = "\n".join(x for x in minidom.parseString(text.encode()).toprettyxml(indent="  ").split("\n") if x.strip())
+        elif kind == "yaml":
+            import yaml
+
+            text = yaml.safe_dump(yaml.safe_load(text), allow_unicode=True, sort_keys=False)
     except Exception:  # a file that can't be parsed is still read
         pass
-    return f"```{kind}\n{text.strip()}\n```"
+    return f"```{kind}\n{text[:most].strip()}\n```"
 
 
 def email_text(data: bytes) -> str:
@@ -87,8 +119,6 @@ def email_text(data: bytes) -> str:
 
 def rtf_text(text: str) -> str:
     """Text of an RTF file: control words and groups of data dropped, paragraphs as line feeds."""
-    import re
-
     text = re.sub(r"\{\\(?:fonttbl|colortbl|stylesheet|info|pict|\*)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", text)
     text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), text)
     text = re.sub(r"\\u(-?\d+) ?\??", lambda m: chr(int(m[1]) % 65536), text)
@@ -99,8 +129,9 @@ def rtf_text(text: str) -> str:
 
 
 class _Markdown(HTMLParser):
+    # Tags whose content goes, and tags that part blocks.
     SKIP = frozenset({"script", "style", "noscript", "head", "meta", "link", "svg", "iframe", "form", "button"})
-    BLOCKS = frozenset({"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "blockquote", "figure", "table", "tr"})
+    BLOCKS = frozenset({"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "blockquote", "figure", "figcaption", "dl", "dt", "dd", "table", "tr"})
     MARKS = {"b": "**", "strong": "**", "i": "_", "em": "_", "code": "`"}
 
     def __init__(self) -> None:
@@ -136,6 +167,10 @@ class _Markdown(HTMLParser):
                 self.out.append(f"{depth}- ")
         elif tag == "br":
             self._break(1)
+        elif tag == "hr":
+            self._break()
+            self.out.append("---")
+            self._break()
         elif tag == "pre":
             self._break()
             self.out.append("```\n")
@@ -208,11 +243,12 @@ class _Markdown(HTMLParser):
 
 def html_markdown(source: str) -> str:
     """HTML as Markdown: headings, nested lists, code, emphasis, links and tables; scripts, styles and forms go."""
-    import re
-
     parser = _Markdown()
-    parser.feed(source or "")
-    parser.close()
+    try:
+        parser.feed(source or "")
+        parser.close()
+    except Exception:  # what the walker can't read is still read without its tags
+        return bare(source).strip()
     text = "".join(parser.out)
     text = re.sub(r"[ \t]+\n", "\n", re.sub(r"(?<=\S)[ \t]{2,}", " ", text))
     text = re.sub(r"\n[ \t]+(?=[^\s\-0-9])", "\n", text)
@@ -221,61 +257,62 @@ def html_markdown(source: str) -> str:
 
 def extract(data: bytes, name: str) -> tuple[str | None, str | None]:
     """Text of a file and what went wrong, one of them null."""
+    return extract_noted(data, name)[:2]
+
+
+def extract_noted(data: bytes, name: str, most_chars: int = MOST_CHARS, most_rows: int = MOST_ROWS) -> tuple[str | None, str | None, str | None]:
+    """Text of a file, what went wrong, and what was left out of it."""
     kind = name.rpartition(".")[2].lower()
-    reader = FORMATS.get(kind)
+    reader = READERS.get(FORMATS.get(kind, ""))
+    if reader is None:
+        return None, f"unsupported extension: {kind}", None
     try:
-        if reader == "text":
-            return decode(data)[:MOST_CHARS], None
-        if reader == "csv":
-            return csv_markdown(decode(data)), None
-        if reader == "structured":
-            return structured_text(decode(data), {"yml": "yaml"}.get(kind, kind)), None
-        if reader == "html":
-            return html_markdown(decode(data)), None
-        if reader == "email":
-            return email_text(data), None
-        if reader == "rtf":
-            return rtf_text(decode(data)), None
-        if reader == "binary":
-            return _binary(data, kind), None
+        text, note = reader(data, kind, most_chars, most_rows)
+        return text, None, note
     except ImportError as e:
-        return None, f"no library for {kind}: {e.name}"
+        return None, f"no library for {kind}: {e.name}", None
     except Exception as e:
-        return None, f"{type(e).__name__}: {e}"[:200]
-    return None, f"unsupported extension: {kind}"
+        return None, f"{type(e).__name__}: {e}"[:200], None
+
+
+def _cut(text: str, most: int) -> tuple[str, str | None]:
+    return text[:most], f"{len(text) - most} characters beyond the first {most} left out" if len(text) > most else None
+
 
+def _structured(data: bytes, kind: str, chars: int, rows: int) -> tuple[str, str | None]:
+    text = decode(data)
+    return structured_text(text, {"yml": "yaml"}.get(kind, kind), chars), _cut(text, chars)[1]
 
-def _binary(data: bytes, kind: str) -> str:
-    """Office files and PDF by libraries that may be absent; images need a recognition connector."""
-    import io
 
-    if kind == "docx":
-        import docx
+def _office(data: bytes, kind: str, chars: int, rows: int) -> tuple[str, str | None]:
+    found = list(office.xlsx(data, rows)) if kind in ("xlsx", "xlsm") else office.blocks(data, kind)
+    cuts = [b.text for b in found if b.kind == "text" and b.text.startswith("(cut to ")]
+    return office.markdown(found), "; ".join(cuts) or None
 
-        return "\n\n".join(p.text for p in docx.Document(io.BytesIO(data)).paragraphs if p.text.strip())
-    if kind == "pptx":
-        import pptx
 
-        slides = pptx.Presentation(io.BytesIO(data)).slides
-        return "\n\n".join("\n".join(s.text_frame.text for s in slide.shapes if s.has_text_frame) for slide in slides)
-    if kind in ("xlsx", "xls"):
-        import openpyxl
+def _binary(data: bytes, kind: str, chars: int, rows: int) -> tuple[str, str | None]:
+    """PDF by a library that may be absent; images and old office files need a connector."""
+    if kind != "pdf":
+        raise ValueError("images and old office files need a connector")
+    import pypdf
 
-        book = openpyxl.load_workbook(io.BytesIO(data), read_only=True, data_only=True)
-        quote = lambda v: "" if v is None else str(v).replace("|", "\\|")
-        return "\n\n".join(
-            f"### {sheet.title}\n" + "\n".join("| " + " | ".join(map(quote, row[:200])) + " |" for row in sheet.iter_rows(max_row=MOST_ROWS, values_only=True))
-            for sheet in book.worksheets
-        )
-    if kind == "pdf":
-        import pypdf
+    return "\n\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages), None
 
-        return "\n\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages)
-    raise ValueError("images need a recognition connector")
+
+READERS |= {
+    "text": lambda data, kind, chars, rows: _cut(decode(data), chars),
+    "csv": lambda data, kind, chars, rows: _csv(decode(data), rows),
+    "structured": _structured,
+    "html": lambda data, kind, chars, rows: (html_markdown(decode(data)), None),
+    "email": lambda data, kind, chars, rows: (email_text(data), None),
+    "rtf": lambda data, kind, chars, rows: (rtf_text(decode(data)), None),
+    "office": _office,
+    "binary": _binary,
+}
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` in any supported format: path, filename, format, text, error.
+def read_files(spark: SparkSession, path: str, most_chars: int = MOST_CHARS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Files below ``path`` in any supported format: path, filename, format, text, error, note (what was left out).
 
     Files are listed and read by Spark, so the path may be in any store it knows.
     """
@@ -289,10 +326,34 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            texts, errors = zip(*(extract(c, n) for c, n in zip(b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True)), strict=True) if len(b) else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "filename", "format", "text", "error"])
+            found = [extract_noted(c, n, most_chars, most_rows) for c, n in zip(b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            columns = [pa.array([f[i] for f in found], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], names=["path", "filename", "format", "text", "error", "note"])
+
+    return files.select("path", "filename", "format", "content").mapInArrow(run, "path string, filename string, format string, text string, error string, note string")
+
 
-    return files.select("path", "filename", "format", "content").mapInArrow(run, "path string, filename string, format string, text string, error string")
+def read_remote(files: DataFrame, send: Callable[[bytes, str], Mapping[str, str]], fallback: bool = True) -> DataFrame:
+    """Files (path, filename, content) read by a remote service, and where it fails, unless ``fallback`` is off, by the readers here.
+
+    ``send`` gives the service's answer, of which markdown is taken before text. Returns path, filename, text, error, reader.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for name, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                try:
+                    answer = send(content, name)
+                    rows.append((answer.get("markdown") or answer.get("text") or "", None, "remote"))
+                except Exception as e:  # one file that fails doesn't end the task
+                    rows.append((*extract(content, name), "local") if fallback else (None, f"{type(e).__name__}: {e}"[:200], "remote"))
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["path", "filename", "text", "error", "reader"])
+
+    return files.select("path", "filename", "content").mapInArrow(run, "path string, filename string, text string, error string, reader string")
 
 
 def pages_markdown(pages: DataFrame) -> DataFrame:
