@@ -50,13 +50,23 @@ def licenses_sql(templates=licenses.TEMPLATES, threshold: float = licenses.THRES
     rows = ", ".join(f"({quote(name)}, [{', '.join(quote(g) for g in licenses.bigrams_of(text))}])" for name, text in sorted(templates.items()))
     normal = "trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
     several = r"lambda u: regexp_matches(u, '\n|\r')"
+    places = licenses.anchored(templates, licenses.anchor_words(templates, threshold))
+    offsets = ", ".join(f"({quote(name)}, {quote(g)}, {k}, {len(licenses.words_of(templates[name]))})" for name, own in sorted(places.items()) for g, at in own.items() for k in at)
+    bigrams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return rf"""
 with t as (select * from (values {rows}) as t(name, grams)),
+o as (select * from (values {offsets}) as o(name, gram, k, n)),
 u as (select doc_id, unnest(list_distinct(list_transform(list_concat(string_split_regex(coalesce(text, ''), '\n|\r'),
   list_filter(list_concat(string_split_regex(coalesce(text, ''), '\n[ \t\r]*\n'), [coalesce(text, '')]), {several})), lambda u: {normal}))) as unit from documents),
-g as (select doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as grams from (select doc_id, string_split(unit, ' ') as w from u)),
-s as (select g.doc_id, t.name, max(2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams))) as dice from g, t
-  where len(g.grams) between {threshold / (2 - threshold)} * len(t.grams) - 1e-9 and {(2 - threshold) / threshold} * len(t.grams) + 1e-9 group by all),
+g as (select doc_id, {bigrams} as grams from (select doc_id, string_split(unit, ' ') as w from u)),
+ww as (select doc_id, string_split({normal}, ' ') as words from (select doc_id, coalesce(text, '') as u from documents)),
+p as (select doc_id, unnest(range(1, len(words))) as p from ww),
+m as (select p.doc_id, p, words[p] || ' ' || words[p + 1] as gram from p join ww using (doc_id)),
+b as (select distinct doc_id, name, greatest(p - 1 - k, 0) as s, n from m join o using (gram)),
+x as (select doc_id, name, {bigrams} as grams from (select doc_id, name, words[s + 1 : s + n] as w from b join ww using (doc_id))),
+every as (select g.doc_id, t.name, g.grams, t.grams as own from g, t union all select x.doc_id, t.name, x.grams, t.grams from x join t using (name)),
+s as (select doc_id, name, max(2.0 * len(list_intersect(grams, own)) / (len(grams) + len(own))) as dice from every
+  where len(grams) between {threshold / (2 - threshold)} * len(own) - 1e-9 and {(2 - threshold) / threshold} * len(own) + 1e-9 group by all),
 h as (select doc_id, string_agg(name, ',' order by name) as licenses, count(*) as n, max(dice) as best from s where dice >= {threshold} group by doc_id)
 select d.doc_id, coalesce(licenses, '') as licenses, coalesce(n, 0) as n_licenses, coalesce(best, 0)::double as best from documents d left join h using (doc_id)"""
 
