@@ -25,6 +25,10 @@ from veldspar.llm.queries import tokenizer_path
 REMEMBERED = 80_000
 
 
+#: Documents are near duplicates from 80 % on; a pair at that similarity misses all bands with probability (1 - 0.8**6)**46 < 1e-6.
+SIMILAR = {"percent": 80, "bands": 46, "rows": 6}
+
+
 def stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(run)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +53,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of each component of documents that share 80 % of their shingles of five words the smallest doc_id stays."""
+    return drop_near_duplicates(docs, **SIMILAR)
 
 
 @stage

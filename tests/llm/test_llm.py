@@ -99,9 +99,30 @@ def test_schedules_invert(spark):
         assert at == pytest.approx(np.interp(np.array(shares) * area[-1], area, grid).tolist(), abs=1e-3)
 
 
-def test_mix_of_odd_rows(odd, empty):
-    assert mixing.mix_plan_of(odd).count() == len(ODD)
-    mixing.mix_documents(odd).collect()
+def test_mix_of_odd_rows(spark, odd, empty):
+    plan = mixing.mix_plan_of(odd).collect()
+    sizes = Counter((x[0], len(WORD.findall(x[1] or ""))) for x in ODD)
+    assert Counter((r["doc_id"], r["size"]) for r in plan) == sizes
+    words, taken, target = Counter(), Counter(), {}
+    own = defaultdict(list)
+    for x in ODD:
+        own[x[0], len(WORD.findall(x[1] or ""))].append(x[3])
+    for r in plan:  # rows alike in id and size are of one source here
+        source = own[r["doc_id"], r["size"]][0]
+        words[source] += r["size"]
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+        assert r["taken"] <= 2 * r["size"] and (r["position"] is None) == (r["taken"] == 0)
+    assert all(r["source_size"] == words[own[r["doc_id"], r["size"]][0]] for r in plan)
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items()) and target[None] == 0
+    out = mixing.mix_documents(odd)
+    assert out.columns == odd.columns
+    mixed = out.collect()
+    assert sum(len(WORD.findall(r["text"])) for r in mixed) == sum(taken.values())
+    assert all(r["size"] == "clash" and r["kept"] == 1 for r in mixed)
+    # Copies of one row are separate documents, and a source may be null throughout.
+    same = spark.createDataFrame([(1, "a b c", None)] * 6 + [(None, "d e", None)], "doc_id long, text string, source string")
+    assert sum(r["taken"] for r in mixing.mix_plan_of(same).collect()) == 30
     assert mixing.mix_plan_of(empty).count() == 0 == mixing.mix_documents(empty).count()
 
 
@@ -131,10 +152,59 @@ def test_toxicity_on_held_out(spark):
     assert sum(p and not t for t, p in held) <= 0.02 * len(held)
 
 
+def brute_toxicity(chain, text):
+    """Score and tagged tokens by the textbook recursions, token by token."""
+    found = list(toxicity.TOKEN.finditer(text))
+    odds = [np.exp(np.clip(sum(chain.weights[k] for k in toxicity.features(m[0])) - 3.0, -30, 30)) for m in found]
+    pairs = np.exp(chain.pairs)
+    forward, backward = [], [np.ones(2)] * len(odds)
+    for k, o in enumerate(odds):
+        a = np.array([1.0, o]) * (np.ones(2) if k == 0 else forward[-1] @ pairs)
+        forward.append(a / a.sum())
+    for k in range(len(odds) - 2, -1, -1):
+        b = pairs @ (np.array([1.0, odds[k + 1]]) * backward[k + 1])
+        backward[k] = b / b.sum()
+    p = np.array([(f * b)[1] / (f * b).sum() for f, b in zip(forward, backward, strict=True)])
+    score = 1 / (1 + np.exp(-np.clip(toxicity.summary(p, len(p)) @ chain.layer, -30, 30)))
+    runs = []
+    for k in np.flatnonzero(p >= 0.5):
+        if runs and runs[-1][2] == k - 1:
+            runs[-1] = (runs[-1][0], found[k].end(), k)
+        else:
+            runs.append((found[k].start(), found[k].end(), k))
+    return score, [(s, e) for s, e, _ in runs]
+
+
+def test_toxicity_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    chain = toxicity.train(docs, labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = queries.op2_toxicity(spark, d).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    tagged = 0
+    for r in got:
+        score, spans = brute_toxicity(chain, texts[r["doc_id"]])
+        assert r["score"] == pytest.approx(score, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
+        assert [(x["start"], x["end"]) for x in r["spans"]] == spans
+        tagged += bool(spans)
+    assert tagged > 10
+
+
+def test_the_sample_is_bounded_by_characters(spark):
+    rows = [(i, "fine words here " * 20 + ("vile " * 8 if i % 2 else ""), i % 2) for i in range(200)] + [(999, "long vile " * 10000, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    few, again, all_ = (toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), 3000, chars) for chars in (20_000, 20_000, 10**7))
+    assert np.array_equal(few.weights, again.weights) and not np.array_equal(few.weights, all_.weights)
+    assert all_.weights.any() and few.weights.any()
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (6, 1), (None, 1), (7, None)], "doc_id long, toxic int")
-    got = toxicity.score_toxicity(odd, labels).collect()
-    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    got = toxicity.score_toxicity(odd.withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(1)), labels).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(x[0] for x in ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1  # null, empty and blank texts alike
+    assert not any(r["held_out"] for r in got if r["doc_id"] is None)
     assert toxicity.score_toxicity(empty, labels).count() == 0
     assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(odd, labels.limit(0)).collect())
 
@@ -384,7 +454,10 @@ def test_language_of_odd_rows(odd, empty):
     assert Counter(r["doc_id"] for r in got) == Counter(x[0] for x in ODD)
     assert {r["doc_id"] for r in got if r["rejected"]} >= {1, 2, 3}
     assert language.identify_language(language.document_rows(empty)).count() == 0
-    assert 7 in {r["doc_id"] for r in language.drop_unidentified(odd).collect()}
+    kept = language.drop_unidentified(odd)
+    assert kept.columns == odd.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(x[0] for x in ODD if x[0] not in (1, 2, 3) and x[0] in {r["doc_id"] for r in got if not r["rejected"]})
+    assert 7 in {r["doc_id"] for r in kept.collect()} and language.drop_unidentified(empty).count() == 0
 
 
 # 5 neighbours
@@ -478,6 +551,24 @@ def test_packing_round_trip(spark, docs, rows):
     assert packing.pack_documents(frame.limit(0), path).count() == 0
 
 
+def test_packing_of_odd_rows(odd, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.tokenizer_path())
+    clash = odd.withColumn("start", F.lit(1)).withColumn("ids", F.lit(2)).withColumn("sequence_id", F.lit("x"))
+    got = packing.pack_documents(clash, queries.tokenizer_path(), task_tokens=9000).collect()
+    want = Counter()
+    for doc_id, text, *_ in ODD:
+        want[doc_id] += len(whole.encode(text or "", add_special_tokens=False).ids) + 1
+    assert Counter({k: sum(r["length"] for r in got if r["doc_id"] == k) for k in want}) == want
+    assert sum(r["start"] == 0 for r in got) == len(ODD)  # repeated rows are packed each
+    fill = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     grid = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), -1).reshape(-1, 3)
@@ -490,7 +581,7 @@ def test_hilbert_curve_visits_neighbours():
 # 7 near duplicates
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets = {}
     for k, t in texts.items():
         w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -506,7 +597,7 @@ def brute_components(texts):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((top(a), top(b)))
                 up[y] = x
     return {k: (len(sets[k]), top(k)) for k in ids}
@@ -546,13 +637,19 @@ def test_blocks_link_what_pivots_do_not(spark, rows, monkeypatch, left):
     assert got == brute_components(texts)
 
 
-def test_near_duplicates_of_odd_rows(odd, empty):
+def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
     assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
     assert {r["component_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
-    assert near_dedup.near_duplicates(empty).count() == 0
-    assert near_dedup.drop_near_duplicates(odd).columns == odd.columns
+    assert near_dedup.near_duplicates(empty).count() == 0 == near_dedup.drop_near_duplicates(empty).count()
+    kept = near_dedup.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == {1: 1, 2: 1, 3: 1, None: 1, 4: 3, 6: 1, 7: 1}
+    # Blank texts are linked with nothing, and a hot id with many texts is one document.
+    many = [(1, f"w{i} x y z q"[: 12 + i % 3]) for i in range(40)] + [(2, "w3 x y z q"), (2, "other words stand here now"), (3, ""), (3, "")]
+    out = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert out == {(1, 1), (2, 1), (3, 3)}
 
 
 def test_pruning_bound_keeps_links():
@@ -723,18 +820,56 @@ def test_urls_of_odd_rows(spark):
 # pipeline
 
 
-def test_pipeline_against_brute_force(spark, sf_dir, rows):
+def run_stages(spark, docs):
+    """What each stage keeps of some documents."""
     import corpus_pipeline
 
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    kept = []
+    for _, step in corpus_pipeline.STAGES:
+        frame = step(spark, docs, "")
+        kept.append(frame.collect())
+        docs = spark.createDataFrame(kept[-1], frame.schema)
+    return kept
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, docs, rows):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "MinHash near-dedup", "mixing sources", "packing"]
+    from tokenizers import Tokenizer
+
+    rejected = {r["doc_id"] for r in language.identify_language(language.document_rows(docs)).collect() if r["rejected"]}
+    known = [r for r in rows if r["doc_id"] not in rejected]
     groups = defaultdict(list)
-    for r in rows:
+    for r in known:
         groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"])].append((-len(r["text"]), r["doc_id"]))
-    kept = {min(g)[1] for g in groups.values()}
-    near = brute_components({r["doc_id"]: r["text"] for r in rows if r["doc_id"] in kept})
-    kept = {k for k, (_, c) in near.items() if k == c}
-    plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan_of(spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in rows if r["doc_id"] in kept], "doc_id long, text string, source string")).collect()}
-    assert {p["doc_id"] for p in pieces} == {k for k, n in plan.items() if n}
-    assert {p["sequence_id"] for p in pieces} and all(p["length"] > 0 for p in pieces)
+    single = {min(g)[1] for g in groups.values()}
+    near = brute_components({r["doc_id"]: r["text"] for r in known if r["doc_id"] in single}, 80)
+    left = {k for k, (_, c) in near.items() if k == c}
+    frame = spark.createDataFrame([r for r in rows if r["doc_id"] in left], docs.schema)
+    mixed = [r["doc_id"] for r in mixing.mix_documents(frame).collect()]
+    kept = run_stages(spark, docs)
+    ids = lambda found: sorted(r["doc_id"] for r in found)
+    assert ids(kept[0]) == sorted(r["doc_id"] for r in known) and ids(kept[1]) == sorted(single) and ids(kept[2]) == sorted(left)
+    assert [r["doc_id"] for r in kept[3]] == mixed
+    assert all(tuple(r.asDict()) == tuple(docs.columns) for r in kept[3][:1])
+    whole = Tokenizer.from_file(queries.tokenizer_path())
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    want, got = Counter(), defaultdict(Counter)
+    for r in kept[3]:
+        want[r["doc_id"]] += len(whole.encode(r["text"], add_special_tokens=False).ids) + 1
+    fill = Counter()
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert p["offset"] == fill[p["sequence_id"]]
+        fill[p["sequence_id"]] += p["length"]
+        got[p["doc_id"]]["tokens"] += p["length"]
+    assert {k: v["tokens"] for k, v in got.items()} == want  # each token of what is mixed is in exactly one piece
+    assert all(n == 4096 or n & (n - 1) == 0 for n in fill.values())
+
+
+def test_pipeline_of_odd_and_no_rows(spark, odd, empty):
+    kept = run_stages(spark, odd)
+    ids = [Counter(r["doc_id"] for r in found) for found in kept]
+    assert {1, 2, 3}.isdisjoint(ids[0]) and ids[1][4] >= 1 and ids[1] <= ids[0] and ids[2] <= ids[1] and set(ids[4]) <= set(ids[2])
+    assert all(r["size"] == "clash" and r["rank"] == 2 for found in kept[:4] for r in found)
+    assert [len(found) for found in run_stages(spark, empty)] == [0] * 5

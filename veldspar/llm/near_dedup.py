@@ -353,8 +353,9 @@ def _components(links: DataFrame) -> DataFrame | None:
 def _composed(label: DataFrame, step: DataFrame) -> DataFrame:
     """``label`` (node, component) with components moved on by ``step``, and what ``step`` alone has."""
     named = step.select(F.col("node").alias("was"), F.col("component").alias("now"))
-    both = label.join(named, label["component"] == named["was"], "full_outer")
-    return both.select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "component").alias("component"))
+    moved = label.join(named, label["component"] == named["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+    alone = named.join(label.select("node"), F.col("was") == F.col("node"), "left_anti")
+    return moved.unionByName(alone.select(F.col("was").alias("node"), F.col("now").alias("component")))
 
 
 def _open_buckets(at: DataFrame) -> DataFrame:
@@ -391,6 +392,9 @@ def _across(at: DataFrame, main: DataFrame, sigs: DataFrame, texts: DataFrame, p
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document stays: the smallest doc_id of each component."""
+    """The rows of ``docs`` whose document stays, with all their columns: the smallest doc_id of each component.
+
+    Rows without an id stay, and so do all rows of a document that stays.
+    """
     gone = written(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
