@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,22 @@ def answer(questions: DataFrame, sources: DataFrame, tools: DataFrame, history:
     return both.select("query_id", kind.alias("kind"), text.alias("answer"))
 
 
+Answerer = Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]
+#: Ways to answer by name; a language model's connector takes the rows of ``prompt_messages``.
+ANSWERERS: dict[str, Answerer] = {"extractive": answer}
+
+
+def register(name: str, run: Answerer) -> None:
+    """Add a way to answer: of questions, sources, tools and history it returns query_id, kind, answer."""
+    ANSWERERS[name] = run
+
+
+def answer_by(name: str, questions: DataFrame, sources: DataFrame, tools: DataFrame, history: DataFrame) -> DataFrame:
+    if name not in ANSWERERS:
+        raise ValueError(f"unknown answerer: {name}")
+    return ANSWERERS[name](questions, sources, tools, history)
+
+
 def source_block() -> Column:
     """A source as the prompt shows it, from its columns."""
     named = lambda label, *parts: F.concat(F.lit(f" {label}='"), *[p if isinstance(p, Column) else F.lit(p) for p in parts], F.lit("'"))

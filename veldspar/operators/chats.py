@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.functions import arithmetic
 from veldspar.functions.text import compact, strip, token_set, tokens, word_cut
 
 MESSAGES, MEMORIES, MEMORY_CHARS, SUMMARY_CHARS = 12, 40, 3000, 3000
@@ -114,6 +115,28 @@ def prune_branch(messages: DataFrame, targets: DataFrame, include: bool = False)
     return both.filter(keep).drop("target_pos")
 
 
+def rerun(messages: DataFrame, targets: DataFrame, edits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chats cut before the user message at ``targets`` (chat_id, target_pos), and that message as the question to ask again: chat_id, content.
+
+    ``edits`` (chat_id, content) are new wordings of it. A target that is no user message asks nothing and leaves its chat whole.
+    """
+    at = targets.select(F.col("chat_id").alias("own"), F.col("target_pos").alias("cut"))
+    asked = messages.join(at, (F.col("chat_id") == F.col("own")) & (F.col("pos") == F.col("cut")) & (F.col("role") == "user")).select("chat_id", "cut", "content")
+    kept = messages.join(asked.select(F.col("chat_id").alias("own"), "cut"), F.col("chat_id") == F.col("own"), "left").filter("cut is null or pos < cut").select(*messages.columns)
+    if edits is None:
+        return kept, asked.select("chat_id", "content")
+    new = edits.select(F.col("chat_id").alias("own"), F.col("content").alias("edited"))
+    return kept, asked.join(new, F.col("chat_id") == F.col("own"), "left").select("chat_id", F.coalesce("edited", "content").alias("content"))
+
+
+def regenerate(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chats without their last turn, and its question, where the last two messages are the user's and an answer; other chats stay whole."""
+    order = Window.partitionBy("chat_id").orderBy(F.desc("pos"))
+    last = messages.withColumn("r", F.row_number().over(order)).filter("r <= 2")
+    turns = last.groupBy("chat_id").agg(F.max_by("role", "r").alias("first"), F.min_by("role", "r").alias("second"), F.min("pos").alias("target_pos"), F.count(F.lit(1)).alias("n"))
+    return rerun(messages, turns.filter("n = 2 and first = 'user' and second = 'assistant'").select("chat_id", "target_pos"))
+
+
 def previous_question(messages: DataFrame) -> DataFrame:
     """Each assistant message with the nearest user message before it, empty if there is none: chat_id, pos, question."""
     before = Window.partitionBy("chat_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,6 +213,27 @@ def tool_triggers(messages: DataFrame, content: str = "content") -> DataFrame:
     return messages.withColumn("tools", F.array_compact(F.array(*hit)))
 
 
+#: What tools do: from a message's text to what they tell; those that need tables are run by their own operators.
+TOOLS: dict[str, Callable[[Column], Column]] = {
+    "calculator": arithmetic.calculate,
+    "time": lambda content: F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"),
+}
+
+
+def register_tool(name: str, patterns: Sequence[str], run: Callable[[Column], Column]) -> None:
+    """Add a tool that messages call for by any of ``patterns``."""
+    TOOL_TRIGGERS[name] = tuple(patterns)
+    TOOLS[name] = run
+
+
+def run_tools(selected: DataFrame, content: str = "content") -> DataFrame:
+    """What the selected tools of each message (query_id, content, tools) tell: query_id, ord, name, output; a tool that finds nothing tells nothing."""
+    told = [F.struct(F.lit(i).alias("ord"), F.lit(t).alias("name"), F.when(F.array_contains("tools", t), run(F.col(content))).alias("output")) for i, t in enumerate(TOOL_TRIGGERS) if (run := TOOLS.get(t))]
+    each = selected.select("query_id", F.explode(F.filter(F.array(*told), lambda x: x["output"].isNotNull())).alias("t"))
+    order = Window.partitionBy("query_id").orderBy("t.ord")
+    return each.select("query_id", (F.row_number().over(order) - 1).alias("ord"), "t.name", "t.output")
+
+
 def select_tools(triggered: DataFrame, requested: Sequence[str] | None = None, forced: Sequence[str] = ()) -> DataFrame:
     """Tools that run: the forced ones, and those requested or else triggered; unknown names are an error."""
     unknown = sorted({*(requested or ()), *forced} - TOOL_TRIGGERS.keys())

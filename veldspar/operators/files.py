@@ -137,6 +137,19 @@ def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str = "fi
     return {name: t.join(gone.select(key).distinct(), key, "left_anti") for name, t in tables.items()}
 
 
+def reindex_scope(files: DataFrame, members: DataFrame, chosen: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
+    """Files to read and index anew: those of ``chosen`` (file_id) and of the knowledge bases in ``bases`` (knowledge_id), or all if neither names any."""
+    named = None
+    if chosen is not None:
+        named = chosen.select("file_id")
+    if bases is not None:
+        own = members.join(bases.select("knowledge_id").distinct(), "knowledge_id", "left_semi").select("file_id")
+        named = own if named is None else named.unionByName(own)
+    if named is None or named.isEmpty():
+        return files
+    return files.join(named.distinct(), "file_id", "left_semi")
+
+
 def slice_text(docs: DataFrame, start: int, end: int) -> DataFrame:
     """Characters ``start`` to ``end`` (exclusive) of each text, clamped: doc_id, text, start, end."""
     if start < 0 or end < start:

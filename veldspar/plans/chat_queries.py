@@ -71,10 +71,35 @@ def tool_trigger(spark, d):
 
 
 def calculator(spark, d):
-    asked = messages(spark, d).filter("role = 'user'").select("chat_id", "pos", F.concat(F.lit("Calculate ("), F.col("chat_id").cast("string"), F.lit(" + "), F.col("pos").cast("string"), F.lit(") * 6")).alias("q"))
+    """Four forms of expressions, with brackets, powers, signs and fractions."""
+    a, b = F.col("chat_id").cast("string"), F.col("pos").cast("string")
+    forms = F.array(
+        F.concat(F.lit("Calculate ("), a, F.lit(" + "), b, F.lit(") * 6")), F.concat(F.lit("what is "), a, F.lit(" - "), b, F.lit(" * 3 - -2?")), F.concat(F.lit("2 ^ "), b, F.lit(" + "), a, F.lit(" please")),
+        F.concat(F.lit("sum: ("), a, F.lit(" * 4 + 2) / 4")),
+    )
+    asked = messages(spark, d).filter("role = 'user'").select("chat_id", "pos", F.element_at(forms, ((F.col("chat_id") + F.col("pos")) % 4 + 1).cast("int")).alias("q"))
     return asked.select("chat_id", "pos", arithmetic.calculate(F.col("q")).alias("value"))
 
 
+def rerun_branch(spark, d):
+    """The second message of each chat is asked again if it is the user's; every other chat has it edited."""
+    m = messages(spark, d)
+    targets = m.groupBy("chat_id").agg(F.lit(2).cast("long").alias("target_pos"))
+    kept, asked = chats.rerun(m, targets, m.select("chat_id").distinct().filter("chat_id % 2 = 0").withColumn("content", F.lit("edited")))
+    return kept.groupBy("chat_id").agg(F.count(F.lit(1)).alias("kept")).join(asked, "chat_id", "left")
+
+
+def regenerate_last(spark, d):
+    kept, asked = chats.regenerate(messages(spark, d))
+    return kept.groupBy("chat_id").agg(F.count(F.lit(1)).alias("kept")).join(asked, "chat_id", "full_outer")
+
+
+def reindex_scope(spark, d):
+    f = documents(spark, d).select(F.col("doc_id").alias("file_id"), F.col("source").alias("knowledge_id"))
+    chosen = f.filter("file_id % 50 = 0").select("file_id")
+    return files.reindex_scope(f.select("file_id"), f, chosen, f.filter("knowledge_id like '%7'").select("knowledge_id"))
+
+
 def skill_match(spark, d):
     skills = spark.createDataFrame([("brief", True, ["th", "en"]), ("french", True, [" la ", " le "]), ("off", False, ["a"])], "skill_id string, enabled boolean, triggers array<string>")
     return chats.match_skills(messages(spark, d), skills)
@@ -202,7 +227,23 @@ QUERIES = {
         r" case when regexp_matches(c, '(?i)\b(list|show|what).*\b(files|documents|uploads)\b') then 'list_files' end, case when regexp_matches(c, '(?i)\b(stats|statistics|how many|count).*\b(files|chunks|documents)\b') then 'file_stats' end,"
         r" case when regexp_matches(c, '(?i)\b(time|date|today|now)\b') then 'time' end], lambda x: x is not null), ',') as tools from t",
     ),
-    "calculator": (calculator, S.with_(_MSG) + "select chat_id, pos, cast((chat_id + pos) * 6 as varchar) as value from m where role = 'user'"),
+    "calculator": (
+        calculator,
+        S.with_(_MSG) + "select chat_id, pos, case (chat_id + pos) % 4 when 0 then cast((chat_id + pos) * 6 as varchar) when 1 then cast(chat_id - pos * 3 + 2 as varchar) when 2 then cast(cast(2 ** pos as bigint) + chat_id as varchar)"
+        " else cast(chat_id as varchar) || '.5' end as value from m where role = 'user'",
+    ),
+    "rerun_branch": (
+        rerun_branch,
+        S.with_(_MSG, "t as (select chat_id, content from m where pos = 2 and role = 'user')")
+        + "select m.chat_id, count(*) filter (t.chat_id is null or pos < 2) as kept, any_value(case when m.chat_id % 2 = 0 and t.chat_id is not null then 'edited' else t.content end) as content from m left join t using (chat_id) group by m.chat_id having kept > 0",
+    ),
+    "regenerate_last": (
+        regenerate_last,
+        S.with_(_MSG, "l as (select chat_id, arg_max(role, pos) as r1, max(pos) as p1, count(*) as n from m group by chat_id)", "b as (select m.chat_id, max(pos) as p2, arg_max(role, pos) as r2, arg_max(content, pos) as c2 from m join l using (chat_id) where pos < p1 group by m.chat_id)",
+                "g as (select chat_id, p2, c2 from l join b using (chat_id) where r1 = 'assistant' and r2 = 'user')", "k as (select m.chat_id, count(*) as kept from m left join g using (chat_id) where p2 is null or pos < p2 group by m.chat_id)")
+        + "select chat_id, kept, c2 as content from k full join g using (chat_id)",
+    ),
+    "reindex_scope": (reindex_scope, "select doc_id as file_id from documents where doc_id % 50 = 0 or source like '%7'"),
     "skill_match": (
         skill_match,
         S.with_(_MSG) + "select chat_id, pos, 'brief' as skill_id from m where contains(lower(content), 'th') or contains(lower(content), 'en') union all select chat_id, pos, 'french' from m where contains(lower(content), 'la') or contains(lower(content), 'le')",

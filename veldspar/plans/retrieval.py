@@ -54,14 +54,14 @@ def reindex(index: Index, read: DataFrame, options: Options = Options()) -> tupl
     ), failed
 
 
-def candidates(planned: DataFrame, index: Index, options: Options, scope: DataFrame | None = None, k: int | None = None) -> DataFrame:
-    """Fused candidates of planned queries (query_id, plan_pos, query), the best 3k of each: query_id, chunk_id, ord, score, query_hits.
+def candidates(planned: DataFrame, index: Index, options: Options, scope: DataFrame | None = None, k: int | None = None, fetch: int | None = None) -> DataFrame:
+    """Fused candidates of planned queries (query_id, plan_pos, query), the best 3k (or ``fetch``) of each: query_id, chunk_id, ord, score, query_hits.
 
     ``scope`` (query_id, file_id) applies before anything is ranked; queries without rows there see all files. Chunks are scored where
     they are read, all parts of the score at once; questions too many for that meet chunks in joins, where the dense part is
     scored for chunks that share a token with the query and for its nearest ones.
     """
-    k = 3 * (k or options.top_k)
+    k = fetch or 3 * (k or options.top_k)
     keyed = planned.select("query_id", "plan_pos", (F.col("query_id") * 64 + F.col("plan_pos")).alias("pid"), "query")
     q = keyed.select(F.col("pid").alias("query_id"), "query")
     allowed = None
@@ -149,6 +149,14 @@ def _whole_files(questions: DataFrame, located: DataFrame, scope: DataFrame, bud
     return inside.unionByName(open_.join(F.broadcast(every), how="cross").select("query_id", "file_id", "text"))
 
 
+def explain(questions: DataFrame, index: Index, options: Options = Options(), scope: DataFrame | None = None, planned: DataFrame | None = None) -> DataFrame:
+    """Why a retrieval chose what it did: the candidates of each question, ``options.explain_limit`` at most, with reasons."""
+    planned = planned if planned is not None else questions.select("query_id", F.lit(0).alias("plan_pos"), "query")
+    chosen, _ = retrieve(questions, index, options, scope, planned)
+    found = candidates(planned, index, options, scope, fetch=search.explained(options.explain_limit, options.top_k))
+    return search.explain(questions, found.join(index.chunks.select("chunk_id", "text"), "chunk_id"), chosen, options.explain_limit)
+
+
 def ask(questions: DataFrame, index: Index, options: Options = Options(), scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Quoted answers, their audit against the sources, and the diagnostics.
 

@@ -124,7 +124,7 @@ def mmr_select(spark, d):
 
 def window_expand(spark, d):
     top = lexical_top(spark, d, 3).select("query_id", F.col("rank").alias("position"), "file_id", "chunk_index")
-    wide = selection.expand_windows(top, document_chunks(spark, d), 1, 100000)
+    wide = selection.expand_windows(top, document_chunks(spark, d), 1, 4000)
     return wide.select("query_id", "position", F.md5(F.col("text").cast("binary")).alias("digest"), "context_start_index", "context_end_index", "start_char", "end_char")
 
 
@@ -312,8 +312,16 @@ QUERIES = {
     "mmr_select": (mmr_select, None),
     "window_expand": (
         window_expand,
-        _TOP_SQL.rstrip() + ",\nw as (select t.query_id, t.rank as position, c.chunk_index as i, c.text, c.start_char as a, c.end_char as b from top t join chunks c on c.file_id = t.file_id and c.chunk_index between t.chunk_index - 1 and t.chunk_index + 1 where t.rank <= 3)\n"
-        "select query_id, position, md5(string_agg('[chunk ' || i || ']' || chr(10) || text, chr(10) || chr(10) order by i)) as digest, min(i) as context_start_index, max(i) as context_end_index, min(a) as start_char, max(b) as end_char from w group by query_id, position",
+        _TOP_SQL.replace("with ", "with recursive ", 1).rstrip() + f""",
+        w as (select t.query_id, t.rank as position, c.chunk_index as i, c.text, c.start_char as a, c.end_char as b from top t join chunks c on c.file_id = t.file_id and c.chunk_index between t.chunk_index - 1 and t.chunk_index + 1 where t.rank <= 3),
+        e as (select query_id, cast(position as int) as position, string_agg('[chunk ' || i || ']' || chr(10) || text, chr(10) || chr(10) order by i) as text, min(i) as context_start_index, max(i) as context_end_index, min(a) as start_char, max(b) as end_char from w group by query_id, position),
+        f as (
+          select query_id, 0 as position, 0 as used, cast(null as varchar) as text from (select distinct query_id from e)
+          union all
+          select e.query_id, e.position, f.used + length(coalesce(case when length(e.text) <= 4000 - f.used then e.text when f.used < 4000 then {S.strip(S.word_cut('e.text', 'greatest(4000 - f.used, 0)'))} end, '')),
+            case when length(e.text) <= 4000 - f.used then e.text when f.used < 4000 then {S.strip(S.word_cut('e.text', 'greatest(4000 - f.used, 0)'))} end
+          from f join e on e.query_id = f.query_id and e.position = f.position + 1)
+        select query_id, position, md5(f.text) as digest, context_start_index, context_end_index, start_char, end_char from f join e using (query_id, position) where f.text is not null and f.text <> ''""",
     ),
     "explain_candidates": (
         explain_candidates,
