@@ -21,7 +21,7 @@ def strip_html(spark, d):
 
 def html_to_markdown(spark, d):
     m = readers.pages_markdown(table(spark, d, "pages"))
-    return m.select("page_id", F.length("markdown").alias("chars"), F.regexp_count("markdown", F.lit(r"(?m)^#{1,6} ")).alias("headings"))
+    return m.select("page_id", F.length("markdown").alias("chars"), F.regexp_count("markdown", F.lit(r"(?m)^#{1,6} ")).alias("headings"), F.md5(F.col("markdown").cast("binary")).alias("digest"))
 
 
 def clean_markdown(spark, d):

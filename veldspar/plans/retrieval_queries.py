@@ -308,7 +308,19 @@ QUERIES = {
         _CANDIDATES.rstrip() + ",\nfirsts as (select * from reranked qualify row_number() over (partition by query_id, file_id order by rank) <= 1)\n"
         "select query_id, cast(row_number() over (partition by query_id order by rank) as int) as position, chunk_id, file_id, round(score, 5) as score from firsts",
     ),
-    "budget_select": (budget_select, None),
+    "budget_select": (
+        budget_select,
+        _CANDIDATES.replace("with ", "with recursive ", 1).rstrip() + f""",
+        budget as (
+          select query_id, cast(0 as bigint) as rank, cast(0 as bigint) as used, cast([] as bigint[]) as files, false as done, cast(null as varchar) as chunk_id, cast(0 as double) as score, cast(0 as bigint) as chars from (select distinct query_id from reranked)
+          union all
+          select query_id, rank, used + case when take then length(t) else 0 end, case when take then list_append(files, file_id) else files end, done, case when take then chunk_id end, score, length(t)
+          from (select *, not capped and not done and t <> '' as take from (
+            select *, was or (not capped and (lft <= 0 or len(files) >= 5)) as done, case when length(whole) > lft then {S.strip(S.word_cut('whole', 'greatest(lft, 0)'))} else whole end as t from (
+              select b.query_id, x.rank, b.used, b.files, b.done as was, x.chunk_id, x.file_id, x.score, 3000 - b.used as lft, {S.strip('x.text')} as whole, len(list_filter(b.files, lambda f: f = x.file_id)) >= 2 as capped
+              from budget b join reranked x on x.query_id = b.query_id and x.rank = b.rank + 1))))
+        select query_id, cast(row_number() over (partition by query_id order by rank) as int) as position, chunk_id, round(score, 5) as score, chars from budget where chunk_id is not null""",
+    ),
     "mmr_select": (mmr_select, None),
     "window_expand": (
         window_expand,

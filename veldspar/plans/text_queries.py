@@ -111,7 +111,7 @@ def content_hash_dedupe(spark, d):
 
 def hash_embed(spark, d):
     v = hashing.hash_vectors(document_chunks(spark, d).select("chunk_id", "text"))
-    return v.select("chunk_id", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    return v.select("chunk_id", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), F.md5(F.array_join(F.transform("vector", lambda x: F.round(x, 9).cast("string")), ",").cast("binary")).alias("digest"))
 
 
 _RE2 = scripts.RANGES
