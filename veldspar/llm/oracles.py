@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldspar.llm import licenses, mixing, url_reputation
+from veldspar.llm import licenses, mixing, secrets, url_reputation
 
 
 def exact_dedup_sql() -> str:
@@ -71,6 +71,40 @@ h as (select doc_id, string_agg(name, ',' order by name) as licenses, count(*) a
 select d.doc_id, coalesce(licenses, '') as licenses, coalesce(n, 0) as n_licenses, coalesce(best, 0)::double as best from documents d left join h using (doc_id)"""
 
 
+def secrets_sql(scope: int = secrets.SCOPE) -> str:
+    """Spans by lengths of what stands before; a weak secret is a run that holds a digit and letters of both cases."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    run = r"[A-Za-z0-9+/_=-]{20,}"
+    mixed = lambda x: f"regexp_matches({x}, '[0-9]') and regexp_matches({x}, '[a-z]') and regexp_matches({x}, '[A-Z]')"
+
+    def spans(text: str, pattern: str, kind: str, source: str, keep: str = "true") -> str:
+        found, gaps = f"regexp_extract_all({text}, {quote(pattern)})", f"string_split_regex({text}, {quote(pattern)})"
+        each = f"select doc_id, f, g, unnest(range(1, len(f) + 1)) as i from (select doc_id, {found} as f, {gaps} as g from {source})"
+        start = "cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) as int)"
+        return f"select doc_id, '{kind}' as kind, a, a + length(v) as b from (select doc_id, {start} as a, f[i] as v from ({each})) where {keep}"
+
+    def masked(text: str, pattern: str, when: str = "true") -> str:
+        found, gaps = f"regexp_extract_all({text}, {quote(pattern)})", f"string_split_regex({text}, {quote(pattern)})"
+        fill = f"list_transform({found}, lambda x: case when {when} then repeat('{secrets.FILL}', length(x)) else x end)"
+        return f"array_to_string(list_transform(list_zip({gaps}, {fill}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+    value = f"length(regexp_extract(v, {quote(secrets.ASSIGN)}, 1)) >= 8"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+r as (select doc_id, {masked('t', secrets.STRONG)} as t from d),
+n0 as (select doc_id, {masked('t', secrets.ENDPOINT)} as t from r),
+n as (select doc_id, {masked('t', run, mixed('x'))} as t from n0),
+base as ({spans('t', secrets.ASSIGN, 'assign', 'd', value)} union all {spans('t', secrets.ACCESS, 'access', 'd')} union all {spans('t', secrets.HEX, 'hex', 'd')}),
+weak as ({spans('t', run, 'linked', 'r', mixed('v'))}),
+part as (select * from base where kind <> 'hex' union all {spans('t', secrets.ENDPOINT, 'endpoint', 'r')} union all {spans('t', secrets.IDENTIFIER, 'identifier', 'n')}),
+linked as (select w.doc_id, w.kind, w.a, w.b from weak w join part p on p.doc_id = w.doc_id and p.a - w.b <= {scope} and w.a - p.b <= {scope} group by all
+  having count(distinct p.kind) >= 2 and count(*) filter (p.kind in ('identifier', 'endpoint')) > 0),
+listed as (select *, list_position(['assign', 'access', 'hex', 'linked'], kind) as k, kind || ':' || a || ':' || b as s from (select * from base union all select * from linked)),
+told as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  string_agg(s, ',' order by a, k, b) filter (kind <> 'linked') as base, string_agg(s, ',' order by a, k, b) as spans from listed group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join told using (doc_id)"""
+
+
 def urls_sql(rules=url_reputation.RULES, max_bad: float = 0.25, z: float = 1.645, low: float = 2.0, high: float = 200.0) -> str:
     two = ", ".join(f"'{s}'" for s in url_reputation.SUFFIXES if s.count(".") == 1)
     labels = "string_split(host, '.')"
@@ -108,6 +142,7 @@ select page_id, host, path, {rule} as rule, {verdict} as verdict from p left joi
 
 ORACLES = {
     "op1_mixing": mixing_sql(),
+    "op3_secrets": secrets_sql(),
     "op8_licenses": licenses_sql(),
     "op9_exact_dedup": exact_dedup_sql(),
     "op10_urls": urls_sql(),
