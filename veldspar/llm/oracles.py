@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldspar.llm import licenses, mixing, secrets, url_reputation
+from veldspar.llm import licenses, mixing, near_dedup, secrets, url_reputation
 
 
 def exact_dedup_sql() -> str:
@@ -105,6 +105,20 @@ told as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join told using (doc_id)"""
 
 
+def near_dedup_sql(percent: int = near_dedup.PERCENT, width: int = near_dedup.WIDTH) -> str:
+    """Every pair that shares a shingle, and what is reachable by links."""
+    return rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= {width} then list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i : i + {width - 1}], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from d),
+e as (select doc_id, len(s) as n, unnest(s) as x from s),
+pair as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+link as (select a, b from pair where 100 * k >= {percent} * (na + nb - k)),
+sym as (select a, b from link union all select b, a from link),
+reach as (select a, b from sym union select r.a, l.b from reach r join sym l on r.b = l.a),
+lowest as (select a, min(b) as b from reach group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(b, doc_id)) as component_id, doc_id <= coalesce(b, doc_id) as kept from s left join lowest on a = doc_id"""
+
+
 def urls_sql(rules=url_reputation.RULES, max_bad: float = 0.25, z: float = 1.645, low: float = 2.0, high: float = 200.0) -> str:
     two = ", ".join(f"'{s}'" for s in url_reputation.SUFFIXES if s.count(".") == 1)
     labels = "string_split(host, '.')"
@@ -143,6 +157,7 @@ select page_id, host, path, {rule} as rule, {verdict} as verdict from p left joi
 ORACLES = {
     "op1_mixing": mixing_sql(),
     "op3_secrets": secrets_sql(),
+    "op7_near_dedup": near_dedup_sql(),
     "op8_licenses": licenses_sql(),
     "op9_exact_dedup": exact_dedup_sql(),
     "op10_urls": urls_sql(),
