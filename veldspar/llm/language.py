@@ -14,6 +14,8 @@ from veldspar.llm.store import settle, small_batches
 
 #: Rows of each language that the text model is fitted on, about.
 TRAIN_ROWS = 20_000
+#: Of these, those that one task counts, about.
+ROWS_A_TASK = 4000
 BUCKETS = 1 << 16
 #: A text's evidence counts as that of so many independent n-grams at most.
 EVIDENCE = 40.0
@@ -83,7 +85,9 @@ def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[
     sample = told.filter(pick).select("declared", F.col("text").cast("binary").alias("text"))
     at, table = {k: i for i, k in enumerate(names)}, np.zeros((len(names), BUCKETS))
     # Part by part, as the driver needn't hold the counts of all tasks at once.
-    for label, counts in settle(sample.repartition(8).mapInArrow(_count, "label string, counts binary")).toLocalIterator():
+    shares = -(-train_rows // ROWS_A_TASK)
+    dealt = sample.repartition(len(names) * shares, "declared", F.pmod(F.xxhash64("text"), F.lit(shares)))
+    for label, counts in settle(dealt.mapInArrow(_count, "label string, counts binary")).toLocalIterator():
         table[at[label]] += np.frombuffer(counts, np.int64)
     share = table / np.maximum(table.sum(1, keepdims=True), 1.0)
     table += 0.5
