@@ -569,6 +569,24 @@ def test_packing_of_odd_rows(odd, empty):
     assert packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_ranges_hold_alike_many_tokens(spark):
+    rng = np.random.default_rng(3)
+    top = 1 << (packing.DIMENSIONS * packing.BITS)
+    rows = [(int(rng.integers(0, top // 3)), int(rng.integers(1, 1 << 60)), 50) for _ in range(2000)]  # short ones here
+    rows += [(int(rng.integers(top // 2, top)), int(rng.integers(1, 1 << 60)), 2000) for _ in range(300)]  # and long ones there
+    rows += [(7, int(rng.integers(1, 1 << 60)), 500) for _ in range(600)]  # copies of one text
+    frame = spark.createDataFrame(rows, "curve long, digest long, n_tokens long")
+    tasks, deal = packing.ranges(frame, 20_000)
+    got = defaultdict(list)
+    for r in frame.withColumn("task", deal(F.col("curve"), F.col("digest"))).collect():
+        got[r["task"]].append((r["curve"], r["n_tokens"]))
+    loads = [sum(n for _, n in x) for x in got.values()]
+    assert sorted(got) == list(range(tasks)) and max(loads) <= 45_000 and tasks <= 100
+    spans = sorted((min(c for c, _ in x if c != 7), max(c for c, _ in x)) for x in got.values() if any(c != 7 for c, _ in x))
+    later = [s for s in spans if s[0] > top >> 8]
+    assert all(a[1] < b[0] for a, b in zip(later, later[1:], strict=False))  # each task has a range of the curve of its own
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     grid = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), -1).reshape(-1, 3)

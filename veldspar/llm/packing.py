@@ -5,14 +5,16 @@ from __future__ import annotations
 import gc
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from veldspar.llm.kernels import mix, tidy
 from veldspar.llm.store import small_batches, written
@@ -23,6 +25,8 @@ END_ID = 2
 FEATURES, DIMENSIONS, BITS = 512, 3, 12
 #: Tokens that one task packs, about.
 TASK_TOKENS = 8_000_000
+#: Stretches of the curve whose tokens the driver sums up.
+MOST_STRETCHES = 1 << 20
 #: Distinct chunks of text whose ids a worker remembers; when so many have come, those before them go.
 WORDS = 600_000
 #: A chunk that is one token and hardly occurs.
@@ -265,7 +269,7 @@ def pack_documents(
     ``tokenizer`` is the path of a tokenizer file whose tokens never cross white space; a worker remembers
     the ids of ``remember`` to twice as many chunks of text, with ``keep`` from task to task, which trades memory for time. Documents, each with ``end_id``
     behind its ids, are range-sorted by Hilbert key; ties, as of copies, fall by a digest of the ids and the doc_id,
-    so copies of one text are no single range. A task lays its range end to end: only its last sequences
+    so copies of one text are no single range. Ranges hold about ``task_tokens`` tokens each. A task lays its range end to end: only its last sequences
     are shorter than ``length``, of powers of two, so nothing is padded.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null
@@ -277,12 +281,42 @@ def pack_documents(
             _encode(tokenizer, end_id, remember, keep), "doc_id long, curve long, tie long, n_tokens long, ids binary"
         )
     )
-    tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    tasks = max(1, -(-tokens // task_tokens))
+    tasks, deal = ranges(encoded, task_tokens)
     ordered = encoded.withColumn("deal", F.xxhash64("tie", "doc_id"))
     return (
-        ordered.repartitionByRange(tasks, "curve", "deal")
+        ordered.withColumn("task", deal(F.col("curve"), F.col("deal")))
+        .repartitionById(tasks, "task")
         .sortWithinPartitions("curve", "deal", "doc_id")
         .select("doc_id", "ids")
         .mapInArrow(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     )
+
+
+def ranges(encoded: DataFrame, task_tokens: int) -> tuple[int, Callable[[Column, Column], Column]]:
+    """How many tasks share the curve, about ``task_tokens`` tokens each, and which of them a document goes to by its key and a digest.
+
+    Tokens are summed by stretches of the curve, about four to a task: documents of one kind are alike in length, so ranges of as many
+    documents would differ widely. Neighbouring stretches are joined up to a task's share; one that holds more, as that of a text with very many
+    copies, is dealt to several tasks by the digest. The driver gets a number for each stretch, ``MOST_STRETCHES`` at most.
+    """
+    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    wanted = max(1, -(-4 * total // task_tokens))
+    bits = DIMENSIONS * BITS - min(MOST_STRETCHES, max(1, wanted)).bit_length()
+    sums = encoded.groupBy(F.shiftright("curve", bits).alias("stretch")).agg(F.sum("n_tokens").alias("n")).toArrow().sort_by("stretch")
+    stretches, first, parts = np.asarray(sums["stretch"]), np.zeros(len(sums), np.int64), np.ones(len(sums), np.int64)
+    task, filled = 0, 0
+    for i, n in enumerate(sums["n"].to_pylist()):
+        if filled and filled + n > task_tokens:
+            task, filled = task + 1, 0
+        first[i] = task
+        filled += n
+        if n > task_tokens:
+            parts[i] = -(-n // task_tokens)
+            task, filled = task + parts[i], 0
+
+    @F.pandas_udf(IntegerType())
+    def deal(curve: pd.Series, digest: pd.Series) -> pd.Series:
+        at = np.searchsorted(stretches, curve.to_numpy() >> bits)
+        return pd.Series((first[at] + digest.to_numpy() % parts[at]).astype(np.int32))
+
+    return int(max(1, task + bool(filled))), deal
