@@ -775,6 +775,25 @@ def test_exact_groups_at_any_table_size(spark, rows, table_bytes):
     assert got == want
 
 
+def test_a_hot_text_is_passed_on_once_a_task(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    rng = random.Random(1)
+    hot, groups, out, best = b"hot text", exact_dedup._Groups(100, 2000), [], {}
+    rows = [(k, rng.randrange(8, 30), hot if k % 3 else b"other %d" % rng.randrange(200)) for k in range(2000)]
+    for doc_id, points, content in rows:
+        groups.add(doc_id, points, content)
+        if groups.full:
+            out += [r for b in groups.flush(False) for r in b.to_pylist()]
+    out += [r for b in groups.flush(True) for r in b.to_pylist()]
+    assert sorted(r["doc_id"] for r in out) == list(range(2000))
+    bearers = [r for r in out if r["best"]]
+    assert sum(r["content"] == hot for r in bearers) == 1 and sum(r["members"] for r in bearers) == 2000
+    for doc_id, points, content in rows:
+        best[content] = min(best.get(content, (1, 0)), (-points, doc_id))
+    (own,) = [r for r in bearers if r["content"] == hot]
+    assert (-own["points"], own["doc_id"]) == best[hot] and len({r["gid"] for r in out if r["gid"] == own["gid"]}) == 1
+
+
 def test_copies_without_an_id_go(spark):
     frame = spark.createDataFrame([(1, " t"), (None, "t"), (2, "u"), (None, "v")], "doc_id long, text string")
     assert sorted(r["text"] for r in exact_dedup.drop_copies(frame.limit(3)).collect()) == [" t", "u"]

@@ -19,6 +19,8 @@ from veldspar.llm.store import settle, small_batches, written
 #: Bytes of distinct content that a table holds before it passes the rest on.
 TABLE_BYTES = 24 << 20
 FAN_OUT = 16
+#: Members from which a group may wait when a task's table is passed on.
+HOT = 16
 
 LOCAL = pa.schema(
     [("doc_id", pa.int64()), ("gid", pa.int64()), ("best", pa.bool_()), ("points", pa.int64()), ("members", pa.int64()), ("bucket", pa.int64()), ("content", pa.binary())]
@@ -73,53 +75,99 @@ def _better(points: int, doc_id: int | None, than: tuple[int, int | None]) -> bo
     return doc_id is not None and (than[1] is None or doc_id < than[1])
 
 
+class _Groups:
+    """A task's groups of equal content: their numbers, members, and best rows so far.
+
+    A row is (doc_id, gid, points). The best row of a group bears its content. What is passed on when the table is full goes without
+    the groups of most members, whose best rows wait: a text with very many copies is passed on once a task.
+    """
+
+    def __init__(self, base: int, table_bytes: int) -> None:
+        self.next, self.table_bytes = base, table_bytes
+        self.table = ContentTable()
+        self.rows: list[tuple[int | None, int, int]] = []
+        #: Of each content: gid, members, the best row's points and doc_id, and where in ``rows`` it is, or -1 where it waits.
+        self.groups: list[list] = []
+
+    def add(self, doc_id: int | None, points: int, content: bytes) -> None:
+        h = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little")
+        k, new = self.table.find(h, content)
+        if new:
+            self.groups.append([self.next, 1, points, doc_id, len(self.rows)])
+            self.next += 1
+        else:
+            g = self.groups[k]
+            g[1] += 1
+            if _better(points, doc_id, (g[2], g[3])):
+                if g[4] < 0:
+                    self.rows.append((g[3], g[0], g[2]))
+                g[2:] = [points, doc_id, len(self.rows)]
+        self.rows.append((doc_id, self.groups[k][0], points))
+
+    @property
+    def full(self) -> bool:
+        return self.table.bytes > self.table_bytes or len(self.rows) >= 500_000
+
+    def waiting(self) -> set[int]:
+        """The groups of at least ``HOT`` members, as many as fit a quarter of the table."""
+        chosen, size = set(), 0
+        for k in sorted((k for k, g in enumerate(self.groups) if g[1] >= HOT), key=lambda k: -self.groups[k][1]):
+            size += len(self.table.contents[k]) + 100
+            if 4 * size > self.table_bytes:
+                break
+            chosen.add(k)
+        return chosen
+
+    def flush(self, last: bool) -> Iterator[pa.RecordBatch]:
+        stay = set() if last else self.waiting()
+        bearer: dict[int, int] = {}
+        gone = set()
+        for k, (gid, _, points, doc_id, at) in enumerate(self.groups):
+            if k in stay:
+                gone.add(at)
+            elif at < 0:
+                bearer[len(self.rows)] = k
+                self.rows.append((doc_id, gid, points))
+            else:
+                bearer[at] = k
+        gone.discard(-1)
+        kept = [i for i in range(len(self.rows)) if i not in gone]
+        for at in range(0, len(kept), 2000):
+            part = kept[at : at + 2000]
+            held = [bearer.get(i) for i in part]
+            of = lambda use: [None if k is None else use(k) for k in held]  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array([self.rows[i][c] for i in part], pa.int64()) for c in (0, 1)),
+                    pa.array([k is not None for k in held], pa.bool_()),
+                    pa.array([self.rows[i][2] for i in part], pa.int64()),
+                    pa.array(of(lambda k: self.groups[k][1]), pa.int64()),
+                    pa.array(of(lambda k: self.table.hashes[k] - (1 << 63)), pa.int64()),
+                    pa.array(of(lambda k: self.table.contents[k]), pa.binary()),
+                ],
+                schema=LOCAL,
+            )
+        table, groups = self.table, self.groups
+        self.table, self.rows, self.groups = ContentTable(), [], []
+        for k in sorted(stay):
+            self.table.find(table.hashes[k], table.contents[k])
+            self.groups.append([*groups[k][:4], -1])
+
+
 def _gather(table_bytes: int):
     """Within a task, collapse equal contents: a row per document, with the content once per group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 33
-        table, rows, best, members, first = ContentTable(), [], [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal table, rows, best, members, first
-            holders = {b[2] for b in best}
-            for at in range(0, len(rows), 2000):
-                part = rows[at : at + 2000]
-                at_best = [at + i in holders for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in part], pa.int64()),
-                        pa.array([base + first + r[1] for r in part], pa.int64()),
-                        pa.array(at_best, pa.bool_()),
-                        pa.array([r[2] for r in part], pa.int64()),
-                        pa.array([members[r[1]] if x else None for r, x in zip(part, at_best, strict=True)], pa.int64()),
-                        pa.array([table.hashes[r[1]] - (1 << 63) if x else None for r, x in zip(part, at_best, strict=True)], pa.int64()),
-                        pa.array([table.contents[r[1]] if x else None for r, x in zip(part, at_best, strict=True)], pa.binary()),
-                    ],
-                    schema=LOCAL,
-                )
-            first += len(best)
-            table, rows, best, members = ContentTable(), [], [], []
-
+        groups = _Groups(TaskContext.get().partitionId() << 33, table_bytes)
         for batch in batches:
             ids, points, texts = (batch.column(i).to_pylist() for i in range(3))
             for doc_id, n, text in zip(ids, points, texts, strict=True):
-                content = (text or b"").translate(None, SPACE)
-                h = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little")
-                k, new = table.find(h, content)
-                if new:
-                    best.append((n, doc_id, len(rows)))
-                    members.append(1)
-                else:
-                    members[k] += 1
-                    if _better(n, doc_id, best[k][:2]):
-                        best[k] = (n, doc_id, len(rows))
-                rows.append((doc_id, k, n))
-                if table.bytes > table_bytes or len(rows) >= 500_000:
-                    yield from flush()
-        yield from flush()
+                groups.add(doc_id, n, (text or b"").translate(None, SPACE))
+                if groups.full:
+                    yield from groups.flush(False)
+        yield from groups.flush(True)
 
     return tidy(run)
 
@@ -204,8 +252,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def assign_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Group the rows of ``docs`` (doc_id, text) whose texts are equal but for white space.
 
-    First each task collapses its own copies, so a group of any size sends its content at most once a
-    task and flush. Contents are then dealt by hash to buckets, each of which an
+    First each task collapses its own copies; when its table is full it passes groups on, but for those of most members, so a text with very
+    many copies sends its content once a task. Contents are then dealt by hash to buckets, each of which an
     open-addressing table settles, spilling to files as it must. Members find their class by the task's group number,
     which is even however large the class is.
 
@@ -241,7 +289,7 @@ def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     kept = written(groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")))
     bare = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE.decode(), "").cast("binary")
     # An aggregate keeps one row of a key in each task, however many rows share it.
-    order = F.struct(-F.length("text"), F.col("text"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]))
+    order = F.struct(-F.length("text"), F.col("text"), F.xxhash64(F.lit(0), *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]))
     return (
         docs.withColumn("own_sha", F.sha2(bare, 256))
         .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha")), "left_semi")
