@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,22 @@ _MARKS = "".join(f"\\x{c:02x}" for c in range(33, 256) if not chr(c).isalnum() a
 _RUN = re.compile(f"(?<![{_MARKS}'])[{_MARKS}]++(?!')".encode("ascii"))
 
 
+#: A pattern of pieces under which a run of letters is one piece.
+_LETTERS_WHOLE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _for_letters(path: str):
+    """The tokenizer without its patterns, for runs of letters in lower case, of which they'd leave each as it is; None if its file has others."""
+    from tokenizers import Tokenizer
+
+    rules = json.loads(Path(path).read_text("utf-8"))
+    steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    forms = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers") or []]
+    if [x.get("type") for x in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"].get("Regex") != _LETTERS_WHOLE or steps[1].get("use_regex") or forms != ["NFC", "Replace", "Lowercase"]:
+        return None
+    return Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}))
+
+
 class ChunkEncoder:
     """Token ids of texts, by the chunks between plain spaces and line feeds.
 
@@ -65,6 +83,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _for_letters(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         #: Chunks as bytes where the text was taken as Latin-1, else as they stand.
@@ -102,12 +121,20 @@ class ChunkEncoder:
         return [b"".join(ids[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, fresh: list) -> None:
-        """Encode chunks many at a time, with a mark between them that none of them holds."""
+        """Encode chunks many at a time; those that were taken as Latin-1 and are letters only need no patterns."""
+        plain, rest = [], []
+        for w in fresh:
+            text = w if isinstance(w, str) else w.decode("latin-1")
+            (plain if self.letters is not None and text is not w and text.isalpha() else rest).append((w, text))
+        self._encode(plain, self.letters)
+        self._encode(rest, self.tokenizer)
+
+    def _encode(self, pairs: list[tuple], tokenizer) -> None:
+        """Learn chunks (and their texts) with a mark between them that none of them holds."""
         kind, mark = f"<u{self.width}", self.mark
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            texts = [w if isinstance(w, str) else w.decode("latin-1") for w in part]
-            found = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(texts)], add_special_tokens=False)[0].ids, kind)
+        for at in range(0, len(pairs), 20_000):
+            part, texts = zip(*pairs[at : at + 20_000], strict=True)
+            found = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(texts)], add_special_tokens=False)[0].ids, kind)
             cuts = np.flatnonzero(found == mark)
             if len(cuts) == len(part) - 1:
                 ids, width = found.tobytes(), self.width
@@ -115,7 +142,7 @@ class ChunkEncoder:
                 ends = [*(cuts * width).tolist(), len(ids)]
                 self.known.update(zip(part, map(ids.__getitem__, map(slice, starts, ends)), strict=True))
             else:  # some chunk holds the mark itself
-                each = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+                each = tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
                 self.known.update((w, np.array(x.ids, kind).tobytes()) for w, x in zip(part, each, strict=True))
 
 
