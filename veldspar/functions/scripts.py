@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 # Inclusive ranges of code points of each writing system, in order of precedence.
 SCRIPTS: dict[str, tuple[tuple[int, int], ...]] = {
@@ -46,27 +49,47 @@ COMMON_PAIRS = (
 )
 
 
+@lru_cache(1)
+def _ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last code points of all ranges in order, the writing system of each, and the digits of all systems."""
+    rows = sorted((low, high, i) for i, spans in enumerate(SCRIPTS.values()) for low, high in spans)
+    digits = [c for c in range(0x660, 0x11000) if unicodedata.category(chr(c)) == "Nd"]
+    return *(np.array(x, np.int64) for x in zip(*rows, strict=True)), np.array(digits, np.int64)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _tallies(texts: pd.Series) -> pd.Series:
+    """Of each text: the characters of each writing system, and then which of its characters is the first of each; digits don't count."""
+    first, last, owner, digits = _ranges()
+    n = len(SCRIPTS)
+
+    def tally(text: str | None) -> np.ndarray:
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.searchsorted(first, points, side="right") - 1
+        inside = (at >= 0) & (points <= last[at])
+        if (points > 0x65F).any():
+            inside &= ~np.isin(points, digits)
+        found = owner[at[inside]]
+        begins = np.full(n, len(points))
+        which, where = np.unique(found, return_index=True)
+        begins[which] = where
+        return np.concatenate([np.bincount(found, minlength=n), begins]).astype(np.int32)
+
+    return texts.map(tally)
+
+
 def script_counts(text: Column) -> Column:
     """Characters of each writing system, as a map; systems without any are absent. Digits and white space don't count."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\p{Nd}]", "")
-    pairs = F.array(*[F.struct(F.lit(name), F.regexp_count(plain, F.lit(f"[{r}]"))) for name, r in RANGES.items()])
+    tallies = _tallies(text)
+    pairs = F.array(*[F.struct(F.lit(name), F.get(tallies, F.lit(i))) for i, name in enumerate(SCRIPTS)])
     return F.map_from_entries(F.filter(pairs, lambda p: p["col2"] > 0))
 
 
 def dominant_script(text: Column, least: int = 8) -> Column:
     """The most frequent writing system, the one met first among equals; null with fewer than ``least`` characters."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\p{Nd}]", "")
-    each = F.array(
-        *[
-            F.struct(
-                F.regexp_count(plain, F.lit(f"[{r}]")).alias("n"),
-                (-F.length(F.regexp_extract(plain, f"\\A([^{r}]*)", 1))).alias("first"),
-                F.lit(name).alias("name"),
-            )
-            for name, r in RANGES.items()
-        ]
-    )
-    total = F.aggregate(each, F.lit(0), lambda s, x: s + x["n"])
+    tallies, n = _tallies(text), len(SCRIPTS)
+    each = F.array(*[F.struct(F.get(tallies, F.lit(i)).alias("n"), (-F.get(tallies, F.lit(n + i))).alias("first"), F.lit(name).alias("name")) for i, name in enumerate(SCRIPTS)])
+    total = F.aggregate(F.slice(tallies, 1, n), F.lit(0), lambda s, x: s + x)
     return F.when(total >= least, F.array_max(each)["name"])
 
 
