@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldspar.llm import licenses, mixing, near_dedup, secrets, url_reputation
+from veldspar.llm import language, licenses, mixing, near_dedup, secrets, url_reputation
 
 
 def exact_dedup_sql() -> str:
@@ -119,6 +119,47 @@ lowest as (select a, min(b) as b from reach group by a)
 select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(b, doc_id)) as component_id, doc_id <= coalesce(b, doc_id) as kept from s left join lowest on a = doc_id"""
 
 
+def language_sql() -> str:
+    """The fusion for documents, whose languages have no more rows than the model's sample takes: byte trigrams, a model of all rows, and sums by host."""
+    word = 4294967296
+    gram = f"((((b0 * 40507 + b1 * 548533 + b2 * 204155619) % {word}) * 668265263) % {word}) >> 16"
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, nullif(lower(trim(split_part(split_part(coalesce(lang, ''), '-', 1), '_', 1))), '') as declared, source as host from documents),
+hx as (select r, hex(encode(' ' || translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ')) as h from d),
+octets as (select r, i, cast('0x' || substr(h, 2 * i + 1, 2) as bigint) as b from (select r, h, unnest(range(0, length(h) // 2)) as i from hx)),
+k as (select r, i, case when b between 9 and 13 then 32 else b end as b, case when b between 97 and 122 or b >= 128 then 2 when b between 9 and 13 or b = 32 then 1 else 0 end as kind from octets),
+g0 as (select r, b as b0, lead(b) over w as b1, lead(b, 2) over w as b2, kind as k0, lead(kind) over w as k1, lead(kind, 2) over w as k2 from k window w as (partition by r order by i)),
+g as (select r, {gram} as bucket from g0 where k0 > 0 and k1 > 0 and k2 > 0 and greatest(k0, k1, k2) = 2),
+n as (select declared as l, bucket, count(*) as c from g join d using (r) where declared is not null and t <> '' group by all),
+tot as (select l, sum(c)::double as total from n group by l),
+tab as (select l, bucket, ln((c + 0.5) / (total + {0.5 * language.BUCKETS})) as x, c / total as share from n join tot using (l)),
+low as (select l, ln(0.5 / (total + {0.5 * language.BUCKETS})) as floor from tot),
+level as (select l, sum(share * x) as usual, any_value(floor) as floor from tab join low using (l) group by l),
+langs as (select l, floor, usual + {language.UNKNOWN_LEVEL} * (floor - usual) as unknown from level),
+cnt as (select r, count(*) as n from g group by r),
+seen as (select r, l, sum(cast(cast(x as float) as double) - cast(cast(floor as float) as double)) as s from g join tab using (bucket) join low using (l) group by all),
+ll as (select cnt.r, langs.l, n, (coalesce(s, 0) + n * cast(cast(floor as float) as double)) as s, unknown from cnt, langs left join seen on seen.r = cnt.r and seen.l = langs.l),
+best as (select r, n, arg_max(unknown, s) as u from ll group by r, n),
+raw as (
+  select d.r, langs.l, coalesce(ll.s * least(ll.n, {language.EVIDENCE}) / ll.n, 0) as x from d cross join langs left join ll on ll.r = d.r and ll.l = langs.l
+  union all select d.r, '~', coalesce(u * least(n, {language.EVIDENCE}), 0) from d left join best on best.r = d.r),
+e as (select r, l, exp(x - max(x) over (partition by r)) as e from raw),
+p as (select r, l, e / sum(e) over (partition by r) as p from e),
+pd as (select p.*, d.doc_id, d.declared, d.host from p join d using (r)),
+everywhere as (select l, (sum(p) + 1) / (sum(sum(p)) over () + count(*) over ()) as q from p group by l),
+dl as (select declared, l, sum(p) as c from pd where declared is not null group by all),
+dlog as (select declared, l, ln((c + 1) / (sum(c) over (partition by l) + (select count(distinct declared) from dl))) as x from dl),
+hs as (select host, l, sum(p) as c from pd where host is not null group by all),
+own as (select pd.*, greatest(coalesce(c, p) - p, 0) as c from pd left join hs using (host, l)),
+pri as (select own.*, c / 1.0 as cc, sum(c) over (partition by r) as total, q from own join everywhere using (l)),
+logs as (select r, doc_id, pri.l, p, ln(greatest(p, 1e-30)) + coalesce(dlog.x, 0) + ln((cc + {language.HOST_WEIGHT} * q) / (total + {language.HOST_WEIGHT})) as x from pri left join dlog on dlog.declared = pri.declared and dlog.l = pri.l),
+mass as (select r, max(x) as top from logs group by r),
+post as (select r, doc_id, arg_max(l, x) filter (l <> '~') as lang, arg_max(l, p) filter (l <> '~') as by_text, round(exp(max(x) filter (l <> '~') - any_value(top)) / sum(exp(x - top)), 6) as confidence from logs join mass using (r) group by all)
+select post.doc_id, lang, confidence, case when regexp_matches(t, '[A-Za-z]|[^\x00-\x7F]') then by_text end as text_lang,
+  not regexp_matches(t, '[A-Za-z]|[^\x00-\x7F]') or confidence < {language.MIN_POSTERIOR} as rejected, not (not regexp_matches(t, '[A-Za-z]|[^\x00-\x7F]') or confidence < {language.MIN_POSTERIOR}) as kept
+from post join d using (r)"""
+
+
 def urls_sql(rules=url_reputation.RULES, max_bad: float = 0.25, z: float = 1.645, low: float = 2.0, high: float = 200.0) -> str:
     two = ", ".join(f"'{s}'" for s in url_reputation.SUFFIXES if s.count(".") == 1)
     labels = "string_split(host, '.')"
@@ -157,6 +198,7 @@ select page_id, host, path, {rule} as rule, {verdict} as verdict from p left joi
 ORACLES = {
     "op1_mixing": mixing_sql(),
     "op3_secrets": secrets_sql(),
+    "op4_language": language_sql(),
     "op7_near_dedup": near_dedup_sql(),
     "op8_licenses": licenses_sql(),
     "op9_exact_dedup": exact_dedup_sql(),
