@@ -77,7 +77,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         if not around.agg(F.max("open")).first()[0]:
             return around.select("node", F.col("least").alias("component"))
-        large = held.join(around, held["parent"] == around["node"]).select("child", F.col("least").alias("parent"))
+        # Most neighbours of a node are told the same; each task sends it once.
+        large = held.join(around, held["parent"] == around["node"]).select("child", F.col("least").alias("parent")).distinct()
         low = large.groupBy("child").agg(F.min("parent").alias("least"))
         moved = large.join(low, "child").filter("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent"))
         held = settle(moved.union(low.select("child", F.col("least").alias("parent"))).distinct())
