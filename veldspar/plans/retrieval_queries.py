@@ -58,8 +58,26 @@ def cosine_topk(spark, d):
     return best.select("query_id", "chunk_id", F.round("cosine", 4).alias("cosine"))
 
 
+#: Letters whose numbers make a text's vector where SQL has to say the same.
+LETTERS = "aeinorst"
+
+
+def letter_vectors(text: str) -> F.Column:
+    return F.array(*[(F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+
+
 def hybrid_topk(spark, d):
-    """Blend of the lexical share and keyword rank; embeddings here belong to other rows, so the dense part is a digest."""
+    """Blend of cosine, lexical share and keyword rank of every chunk for every question, in one pass; vectors are numbers of letters."""
+    q, chunks = questions(spark, d), document_chunks(spark, d)
+    keyword = search.keyword_ranks(search.bm25_top_k(q, chunks, 45), 45)
+    best = search.hybrid_top_k(q, q.select("query_id", letter_vectors("query").alias("vector")), chunks.withColumn("vector", letter_vectors("text")), keyword, 15)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "filename", "chunk_index", "chunk_id")
+    named = best.join(chunks.select("chunk_id", "filename", "chunk_index"), "chunk_id")
+    return named.select("query_id", "chunk_id", "score", F.row_number().over(order).alias("rank"))
+
+
+def hybrid_join(spark, d):
+    """The same blend where the parts come from joins; the dense part is a digest of the pairs that share a token."""
     q, chunks = questions(spark, d), document_chunks(spark, d)
     lex = search.lexical(q, chunks)
     kw = search.keyword_ranks(search.bm25_top_k(q, chunks, 45), 45)
@@ -293,6 +311,19 @@ QUERIES = {
     ),
     "hybrid_topk": (
         hybrid_topk,
+        S.with_(
+            S.CHUNKS, S.QUERIES, S.LEXICAL, S.BM25,
+            "kr as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from bm25 qualify rank <= 45)",
+            "kw as (select query_id, chunk_id, 1.0 - (rank - 1) / count(*) over (partition by query_id) as k from kr)",
+            "qv as (select query_id, [" + ", ".join(f"length(query) - length(replace(query, '{c}', ''))" for c in LETTERS) + "]::double[] as v from queries)",
+            "cv as (select chunk_id, filename, chunk_index, [" + ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in LETTERS) + "]::double[] as v from chunks)",
+            "cs as (select query_id, chunk_id, filename, chunk_index, coalesce(list_dot_product(qv.v, cv.v) / nullif(sqrt(list_dot_product(qv.v, qv.v)) * sqrt(list_dot_product(cv.v, cv.v)), 0), 0) as cosine from qv, cv)",
+            "b as (select query_id, chunk_id, filename, chunk_index, 0.7 * cosine + 0.2 * coalesce(lexical_score, 0) + 0.35 * coalesce(k, 0) as raw from cs left join lexical using (query_id, chunk_id) left join kw using (query_id, chunk_id))",
+        )
+        + "select query_id, chunk_id, round(raw, 5) as score, row_number() over (partition by query_id order by round(raw, 5) desc, filename, chunk_index, chunk_id) as rank from b where raw >= 0.05 qualify rank <= 15",
+    ),
+    "hybrid_join": (
+        hybrid_join,
         S.with_(
             S.CHUNKS, S.QUERIES, S.LEXICAL, S.BM25,
             "kr as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from bm25 qualify rank <= 45)",
