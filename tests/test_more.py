@@ -393,3 +393,19 @@ def test_whole_files_are_cut_where_the_budget_ends(spark):
     got = {(r["scope_id"], r["file_id"]): r["text"] for r in selection.full_context(frame, 100).collect()}
     assert got == {("s", 0): "x" * 40 + "\n\n" + "x" * 40, ("s", 1): "x" * 18, ("t", 1): "y" * 100}
     assert T.TOKEN and search.explained(5, 4) == 12 and search.oversampled(1) == 10
+
+
+@pytest.mark.parametrize("template", ["Use:\n{context}\n\nQ: {question}", "Q: {question}\n{context} {question}\n{context}", "no sources: {question}"])
+def test_digests_of_prompts_that_share_sources(spark, template):
+    q = spark.createDataFrame([(1, "a?", 7), (2, "b?", 7), (3, "c?", None), (4, "d?", 8), (5, "e?", 9), (6, None, 7)], "query_id long, query string, pack long")
+    texts = {7: ["one", "asks {question} twice {question}", None, "four"], 8: [None], 10: ["unasked"]}
+    rows = [(k, i + 1, "f.txt", i, f"{i}:0", 0, 0, 1, 0, 9, 0.5, t) for k, all_ in texts.items() for i, t in enumerate(all_)]
+    sources = spark.createDataFrame(rows, "pack long, position int, filename string, file_id int, chunk_id string, chunk_index int, context_start int, context_end int, start_char int, end_char int, score double, text string")
+    tools = spark.createDataFrame([(2, 0, "time", "noon"), (3, 0, "time", "noon")], "query_id long, ord int, name string, output string")
+    history = spark.createDataFrame([(2, 0, "system", "note"), (2, 1, "user", "hi"), (2, 2, "assistant", "ho"), (4, 0, "system", "")], "query_id long, pos long, role string, content string")
+    own = q.select("query_id", "query"), sources.join(q.select("query_id", "pack"), "pack")
+    want = answers.prompt_messages(*own, tools, history, "System.", template).withColumn("content", F.md5(F.col("content").cast("binary")))
+    rows_of = lambda df: sorted(df.collect(), key=lambda r: (r["query_id"], r["pos"]))
+    assert rows_of(answers.prompt_messages(q, sources, tools, history, "System.", template, "pack", digest=True)) == rows_of(want)
+    shared = answers.prompt_messages(q, sources, tools, history, "System.", template, "pack").withColumn("content", F.md5(F.col("content").cast("binary")))
+    assert rows_of(shared) == rows_of(want)

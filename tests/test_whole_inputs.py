@@ -51,3 +51,15 @@ def test_blocks_of_queries_are_joined(spark, sf_dir):
     q = v.filter("query_id % 20 = 0").select("query_id", "vector")
     rows = lambda block: sorted((r[0], r[1]) for r in search.dense_top_k(q, v.select("chunk_id", "vector"), 5, block).collect())
     assert rows(7) == rows(2000)
+
+
+@pytest.mark.parametrize("name", ["prompt_messages"])
+def test_sources_that_questions_share_cross_once(spark, tmp_path, name):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz ."], 20_000)) for _ in range(20)]
+    spark.createDataFrame([(200 * i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(400 * i, 0, "user", f"a question {i}?") for i in range(100)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert len(catalog.QUERIES[name](spark, str(tmp_path)).collect()) >= 100
+    assert written() - before < 3 * sum(map(len, texts))
