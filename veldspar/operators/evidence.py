@@ -10,21 +10,23 @@ from veldspar.functions.text import answer_sentences, citation_numbers, excerpt,
 LEVELS = {"none": 0, "low": 1, "medium": 2, "high": 3}
 
 
-def answerability(queries: DataFrame, sources: DataFrame) -> DataFrame:
+def answerability(queries: DataFrame, sources: DataFrame, by: str = "query_id") -> DataFrame:
     """Coverage and level of each query's sources.
 
     ``queries`` (query_id, query), ``sources`` (query_id, score, text). Terms of all sources count together. A
-    query without sources is ``none``. Returns query_id, selected_count, coverage, top_score, average_score, answerability.
+    query without sources is ``none``. Where queries share sources, both have a column ``by`` instead, and sources are given once.
+    Returns query_id, selected_count, coverage, top_score, average_score, answerability.
     """
-    q = queries.select("query_id", meaningful_terms(F.col("query")).alias("terms"))
-    asked = q.select("query_id", F.explode("terms").alias("term"))
-    held = sources.select("query_id", F.explode(meaningful_terms(F.col("text"))).alias("term")).distinct()
-    covered = asked.join(held, ["query_id", "term"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("covered"))
-    scores = sources.select("query_id", F.greatest("score", F.lit(0.0)).alias("s")).groupBy("query_id").agg(
+    keys = list(dict.fromkeys(["query_id", by]))
+    q = queries.select(*keys, meaningful_terms(F.col("query")).alias("terms"))
+    asked = q.select(*keys, F.explode("terms").alias("term"))
+    held = sources.select(by, F.explode(meaningful_terms(F.col("text"))).alias("term")).distinct()
+    covered = asked.join(held, [by, "term"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("covered"))
+    scores = sources.select(by, F.greatest("score", F.lit(0.0)).alias("s")).groupBy(by).agg(
         F.count(F.lit(1)).alias("selected_count"), F.max("s").alias("top"), F.avg("s").alias("mean")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    both = q.join(covered, "query_id", "left").join(scores, "query_id", "left")
+    both = q.join(covered, "query_id", "left").join(scores, by, "left")
     coverage = zero("covered") / F.greatest(F.size("terms"), F.lit(1))
     top = F.coalesce("top", F.lit(0.0))
     level = (
