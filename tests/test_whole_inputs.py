@@ -53,7 +53,7 @@ def test_blocks_of_queries_are_joined(spark, sf_dir):
     assert rows(7) == rows(2000)
 
 
-@pytest.mark.parametrize("name", ["prompt_messages", "retrieval_diagnostics"])
+@pytest.mark.parametrize("name", ["prompt_messages", "retrieval_diagnostics", "answer_ladder"])
 def test_sources_that_questions_share_cross_once(spark, tmp_path, name):
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz ."], 20_000)) for _ in range(20)]

@@ -155,12 +155,15 @@ def audit(answers: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def extractive_answer(queries: DataFrame, sources: DataFrame, most: int = 4) -> DataFrame:
-    """An answer quoted from the first ``most`` sources (query_id, position, filename, text): query_id, answer."""
+def extractive_answer(queries: DataFrame, sources: DataFrame, most: int = 4, by: str = "query_id") -> DataFrame:
+    """An answer quoted from the first ``most`` sources (query_id, position, filename, text): query_id, answer.
+
+    Where queries share sources, both have a column ``by`` instead, and sources are given once.
+    """
     from veldspar.functions.text import token_set
 
-    q = queries.select("query_id", token_set(F.col("query")).alias("terms"))
-    items = sources.filter(F.col("position") <= most).join(q, "query_id")
+    q = queries.select(*dict.fromkeys(["query_id", by]), token_set(F.col("query")).alias("terms"))
+    items = sources.filter(F.col("position") <= most).join(q, by)
     sentences = split_sentences(F.translate(F.col("text"), "\n", " "))
     ranked = F.array_sort(F.transform(sentences, lambda s, i: F.struct((-F.size(F.array_intersect("terms", token_set(s)))).alias("n"), i.alias("i"), s.alias("s"))))
     quoted = F.when(F.size(sentences) > 0, F.array_join(F.transform(F.slice(ranked, 1, 2), lambda x: x["s"]), " ")).otherwise(strip(F.translate(F.col("text"), "\n", " ")))
