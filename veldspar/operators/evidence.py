@@ -163,10 +163,13 @@ def extractive_answer(queries: DataFrame, sources: DataFrame, most: int = 4, by:
     from veldspar.functions.text import token_set
 
     q = queries.select(*dict.fromkeys(["query_id", by]), token_set(F.col("query")).alias("terms"))
-    items = sources.filter(F.col("position") <= most).join(q, by)
-    sentences = split_sentences(F.translate(F.col("text"), "\n", " "))
-    ranked = F.array_sort(F.transform(sentences, lambda s, i: F.struct((-F.size(F.array_intersect("terms", token_set(s)))).alias("n"), i.alias("i"), s.alias("s"))))
-    quoted = F.when(F.size(sentences) > 0, F.array_join(F.transform(F.slice(ranked, 1, 2), lambda x: x["s"]), " ")).otherwise(strip(F.translate(F.col("text"), "\n", " ")))
+    flat = F.translate(F.col("text"), "\n", " ")
+    split = {"parts": F.transform(split_sentences(flat), lambda s: F.struct(s.alias("s"), token_set(s).alias("tokens"))), "whole": strip(flat)}
+    first = sources.filter(F.col("position") <= most)
+    # Shared texts are split once, before queries meet them; others after the join, as texts are smaller than their tokens.
+    items = first.join(q, by).withColumns(split) if by == "query_id" else first.withColumns(split).drop("text").join(q, by)
+    ranked = F.array_sort(F.transform("parts", lambda x, i: F.struct((-F.size(F.array_intersect("terms", x["tokens"]))).alias("n"), i.alias("i"), x["s"].alias("s"))))
+    quoted = F.when(F.size("parts") > 0, F.array_join(F.transform(F.slice(ranked, 1, 2), lambda x: x["s"]), " ")).otherwise(F.col("whole"))
     from veldspar.functions.text import word_cut
 
     quoted = F.when(F.length(quoted) > 650, F.concat(word_cut(quoted, 650), F.lit("..."))).otherwise(quoted)
