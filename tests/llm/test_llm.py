@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -569,6 +570,23 @@ def test_packing_of_odd_rows(odd, empty):
     assert packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["ABCdefgh0123+/", "\u6f22\u5b57\u6587\u7ae0\u7684\u4e00"])
+def test_chunks_are_remembered_by_bytes_too(letters):
+    """Texts without spaces are a chunk each, and few chunks then hold much."""
+    from tokenizers import Tokenizer
+
+    rng, whole = np.random.default_rng(4), Tokenizer.from_file(queries.tokenizer_path())
+    encoder = packing.ChunkEncoder(queries.tokenizer_path(), remember=1000)
+    texts = ["".join(rng.choice(list(letters), 2000)) for _ in range(400)]
+    for i in range(0, len(texts), 20):
+        got = encoder.encode(["ab cd", *texts[i : i + 20]])
+        assert got[1:] == [np.array(whole.encode(t, add_special_tokens=False).ids, f"<u{encoder.width}").tobytes() for t in texts[i : i + 20]]
+        one = sum(sys.getsizeof(x) for pair in zip(texts[i : i + 20], got[1:], strict=True) for x in pair)
+        held = sum(sys.getsizeof(x) for known in (encoder.known, encoder.former) for pair in known.items() for x in pair)
+        assert held <= 2 * (1000 * packing.CHUNK_BYTES + 2 * one)
+        assert len(encoder.encode(["ab cd"])[0]) == len(got[0])
+
+
 def test_ranges_hold_alike_many_tokens(spark):
     rng = np.random.default_rng(3)
     top = 1 << (packing.DIMENSIONS * packing.BITS)

@@ -6,6 +6,7 @@ import gc
 import json
 import os
 import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ TASK_TOKENS = 8_000_000
 MOST_STRETCHES = 1 << 20
 #: Distinct chunks of text whose ids a worker remembers; when so many have come, those before them go.
 WORDS = 600_000
+#: Bytes that a remembered chunk takes with its ids, on average at most: of longer ones, as of texts without spaces, fewer are remembered.
+CHUNK_BYTES = 128
 #: A chunk that is one token and hardly occurs.
 MARK = "~"
 
@@ -73,7 +76,7 @@ class ChunkEncoder:
 
     The tokenizer drops white space, lets no token cross it and doesn't tell cases apart, so a
     text's ids are those of its chunks one after the other. Each distinct chunk is encoded once
-    while it is remembered. The tokenizer parts runs of marks from letters and digits too, so where a text has only Latin-1 characters
+    while it is remembered, which both the number of chunks and their bytes bound. The tokenizer parts runs of marks from letters and digits too, so where a text has only Latin-1 characters
     these runs are chunks of their own, and the case is dropped before: this leaves fewer chunks to tell apart and the same ids.
     """
 
@@ -89,6 +92,8 @@ class ChunkEncoder:
         #: Chunks as bytes where the text was taken as Latin-1, else as they stand.
         self.known: dict[bytes | str, bytes] = {b"": b"", "": b""}
         self.former: dict[bytes | str, bytes] = {}
+        #: Bytes of what is known, with its ids.
+        self.held = 0
 
     def _split(self, text: str) -> list:
         try:
@@ -104,8 +109,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian and ``width`` bytes each."""
-        if len(self.known) > self.remember:
-            self.former, self.known = self.known, {b"": b"", "": b""}
+        if len(self.known) > self.remember or self.held > self.remember * CHUNK_BYTES:
+            self.former, self.known, self.held = self.known, {b"": b"", "": b""}, 0
         split = [self._split(t) for t in texts]
         known, former = self.known, self.former
         flat = list(chain.from_iterable(split))
@@ -115,6 +120,7 @@ class ChunkEncoder:
         if former:
             known.update((w, former[w]) for w in fresh if w in former)
         self._learn([w for w in fresh if w not in known])
+        self.held += sum(map(sys.getsizeof, fresh)) + sum(map(sys.getsizeof, map(known.__getitem__, fresh)))
         for i in missing:
             ids[i] = known[flat[i]]
         ends = list(accumulate(map(len, split)))
@@ -301,7 +307,7 @@ def pack_documents(
     """Pack ``docs`` (doc_id, text) into sequences of ``length`` tokens (a power of two), neighbours on the curve together.
 
     ``tokenizer`` is the path of a tokenizer file whose tokens never cross white space; a worker remembers
-    the ids of ``remember`` to twice as many chunks of text, with ``keep`` from task to task, which trades memory for time. Documents, each with ``end_id``
+    the ids of ``remember`` to twice as many chunks of text (fewer if they are long), with ``keep`` from task to task, which trades memory for time. Documents, each with ``end_id``
     behind its ids, are range-sorted by Hilbert key; ties, as of copies, fall by a digest of the ids and the doc_id,
     so copies of one text are no single range. Ranges hold about ``task_tokens`` tokens each. A task lays its range end to end: only its last sequences
     are shorter than ``length``, of powers of two, so nothing is padded.
